@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import chat, exact_dedup, mixing, warc
 
-_MODULES = (exact_dedup, mixing)
+_MODULES = (chat, warc, exact_dedup, mixing)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
