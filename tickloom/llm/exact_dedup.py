@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,9 +104,18 @@ def bit_filter(digests: DataFrame, rows: int) -> tuple[DataFrame, Callable[[Data
     return bitmap, keep
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, digest: Digest) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Runs, hits (``digest, keep_id, n``), and, for digests that unequal texts
-    share, their rows ``id, norm, digest, keep_id, n``; None if there are none."""
+class Copies(NamedTuple):
+    """``runs``: ``digest, id`` of every row; ``hits``: ``digest, keep_id, n``;
+    ``mixed``: rows ``id, norm, digest, keep_id, n`` of digests that unequal texts
+    share, or None if there are none."""
+
+    runs: DataFrame
+    hits: DataFrame
+    mixed: DataFrame | None
+
+
+def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Digest = sha256) -> Copies:
+    """Builds the index of ``docs`` and compares the bytes of its hits."""
     keyed = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")).withColumn("digest", digest(F.col("norm")))
     index = DigestIndex(docs.sparkSession)
     index.add(keyed)
@@ -121,11 +131,11 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, digest: Digest) -> tupl
     shared = stored(compared, "digest-shared")
     n_shared = shared.count()
     if not n_shared:
-        return index.runs(), hits, None
+        return Copies(index.runs(), hits, None)
     shared = broadcast_if_small(shared, n_shared)
     rows = keyed.join(shared, "digest", "left_semi")
     whole = rows.groupBy("norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    return (
+    return Copies(
         index.runs().join(shared, "digest", "left_anti"),
         hits.join(shared, "digest", "left_anti"),
         rows.join(whole, "norm"),
@@ -140,7 +150,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows (same id and text) one stays. Other columns of ``docs`` are ignored, so
     their names cannot clash. An empty table gives an empty result.
     """
-    runs, hits, mixed = _groups(docs, id_col, text_col, digest)
+    return verdicts(find_copies(docs, id_col, text_col, digest))
+
+
+def verdicts(copies: Copies) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, digest`` of all rows."""
+    runs, hits, mixed = copies
     rows = (
         runs.groupBy("digest", "id")
         .agg(F.count(F.lit(1)).alias("copies"))
@@ -171,10 +186,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: Copies | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Texts of rows that
     have no copy are not shuffled while the hits are few enough to broadcast."""
-    runs, hits, mixed = _groups(docs, id_col, text_col, sha256)
+    _, hits, mixed = copies or find_copies(docs, id_col, text_col)
     hits = broadcast_if_small(hits.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")))
     keyed = docs.withColumn("__digest", sha256(normalised(text_col))).join(hits.withColumn("__hit", F.lit(True)), "__digest", "left")
     if mixed is not None:
