@@ -243,8 +243,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` in whose text a language is found, with all columns."""
     model = fit(training_sample(docs, is_held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col))
-    rows = docs.withColumn("__text", F.col(text_col))
-    return predict(rows, model, "__text").where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return predict(rows, model).where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

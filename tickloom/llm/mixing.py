@@ -149,8 +149,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     once_more = F.col("__cut").isNotNull() & ((here < cut) | ((here == cut) & F.col("__cut.whole")))
     times = F.col("__epochs") + F.when(once_more, 1).otherwise(0)
     return (
-        docs.withColumn("skey", source_key(options.get("source_col", "source")))
-        .join(broadcast_if_small(cuts), "skey")
+        docs.withColumn("__skey", source_key(options.get("source_col", "source")))
+        .join(broadcast_if_small(cuts.withColumnRenamed("skey", "__skey")), "__skey")
         .withColumn("__times", times.cast("int"))
         .where("__times > 0")
         .withColumn("__time", F.explode(F.sequence(F.lit(1), "__times")))
