@@ -30,7 +30,9 @@ from .common import read, stored, text_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer documents, in characters, are giant: they are split into such chunks.
 CHUNK = 32_768
-BLOCK_CHARS = 4_000_000
+#: Rows that are encoded or decoded at a time; their Python objects take many times
+#: the room of the text.
+BLOCK_ROWS = 128
 SPACE = "▁"
 #: A boundary state: where the piece ends, counted from the border, and the piece.
 State = tuple[int, str]
@@ -240,16 +242,10 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(shared.value)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and chars < BLOCK_CHARS:
-                    chars += len(texts[end])
-                    end += 1
-                ids = pa.array(m.whole.encode(texts[start:end], num_threads=1), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, end - start) for c in carried), ids], names=[*carried, ids_col])
-                start = end
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                ids = pa.array(m.whole.encode(part.column("__text").to_pylist(), num_threads=1), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), ids], names=[*carried, ids_col])
 
     short = said.where(F.length("__text") < chunk).mapInArrow(small, schema)
 
@@ -271,15 +267,18 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
         )
     )
 
-    def chunks(batch: pa.RecordBatch) -> Iterator[tuple[dict, Chunk]]:
-        for r in batch.to_pylist():
-            yield r, Chunk(r["part"], r["start"], r["end"], r["first"], r["last"])
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Chunk]]:
+        """One by one, so that a task holds the objects of one chunk only."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
+                yield r, Chunk(r["part"], r["start"], r["end"], r["first"], r["last"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(shared.value)
         out = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("rows", pa.int32()), ("weights", pa.list_(pa.float64()))])
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist([{"doc": r["doc"], "n": r["n"], "rows": len(t := transfer(m, c)), "weights": t.ravel().tolist()} for r, c in chunks(batch)], schema=out)
+        for r, c in chunks(batches):
+            yield pa.RecordBatch.from_pylist([{"doc": r["doc"], "n": r["n"], "rows": len(t := transfer(m, c)), "weights": t.ravel().tolist()}], schema=out)
 
     def borders(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["n"])
@@ -289,8 +288,8 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(shared.value)
         out = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist([{"doc": r["doc"], "n": r["n"], "ids": chunk_ids(m, c, r["begin"], r["finish"])} for r, c in chunks(batch)], schema=out)
+        for r, c in chunks(batches):
+            yield pa.RecordBatch.from_pylist([{"doc": r["doc"], "n": r["n"], "ids": chunk_ids(m, c, r["begin"], r["finish"])}], schema=out)
 
     parts = stored(parts.repartition("doc", "n"), "giant-chunks")
     states = parts.mapInArrow(matrices, "doc long, n int, rows int, weights array<double>").groupBy("doc").applyInArrow(borders, "doc long, n int, begin int, finish int")
@@ -311,8 +310,8 @@ def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
                 texts = m.whole.decode([x or [] for x in part.column(ids_col).to_pylist()], num_threads=1)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(texts, pa.string())], names=[*carried, text_col])
 
