@@ -199,12 +199,9 @@ class Compiler:
         """Nested statements, each only while nothing has stopped the run."""
         for b in blocks:
             try:
-                f = self.statement(b, r)
-                f(s)
+                s = let(s, self.running(self.statement(b, r)))
             except (Unsupported, KindError) as e:
                 self.warn("dropped_statement", f"{b['type']}: {e}")
-                continue
-            s = let(s, self.running(f))
         return s if blocks else s.withField("t_ms", s["t_ms"] + 100)
 
     @staticmethod
@@ -339,12 +336,9 @@ class Compiler:
         s = let(s, lambda x: x.withField("flow", F.when(x["flow"] == WAITING, RUN).otherwise(x["flow"])))
         for i, b in enumerate([*self.program.setup, *self.program.loop]):
             try:
-                f = self.wait(b, r) if b["type"] == "eb_wait_until" else self.statement(b, r)
-                self.kinds_of(f)
+                s = let(s, self.placed(self.wait(b, r) if b["type"] == "eb_wait_until" else self.statement(b, r), i))
             except (Unsupported, KindError) as e:
                 self.warn("dropped_statement", f"{b['type']}: {e}")
-                continue
-            s = let(s, self.placed(f, i))
         end = ENDED if not self.program.has_loop else RUN
         return let(s, lambda x: x.withField("pc", F.when(x["flow"] == WAITING, x["pc"]).otherwise(F.lit(m))).withField("flow", F.when(x["flow"] == BREAK, ENDED).when(x["flow"].isin(CONTINUE, RUN), end).otherwise(x["flow"])))
 
@@ -352,11 +346,6 @@ class Compiler:
         self.keeps_state = True
         return lambda s: F.when(self.truth_in(block, "COND", s, r), s).otherwise(s.withField("flow", F.lit(WAITING)))
 
-    def kinds_of(self, f: State) -> None:
-        """Builds a statement once, which finds the kinds of variables, and raises
-        what it cannot do."""
-        f(F.col("state"))
-
 
 def compile_program(program: Program, seed: int = 0) -> Compiler:
     """A compiler whose variables' kinds are settled."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import board
@@ -21,10 +21,14 @@ from .sources import serial
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-DAY = F.date_trunc("day", F.col("ts"))
 ORDER = ("ts", "event_id")
 
 
+def _day() -> Column:
+    """Cuts a device's events into ranges."""
+    return F.date_trunc("day", F.col("ts"))
+
+
 def query(sql: str | None = None) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
     """Registers a query over ``events``; its function gets the table."""
     return table_query("events", sql)
@@ -47,9 +51,18 @@ def _int(name: str) -> Value:
     return Value(F.col(name).cast("bigint"), "int")
 
 
-VALUE = Value(F.col("value"), "float")
-SIGNED = Value(F.col("event_id") % 41 - 20, "int")
-DIVISOR = Value(F.when(F.col("user_id") % 2 == 0, F.lit(7)).otherwise(F.lit(-7)).cast("bigint"), "int")
+def _value() -> Value:
+    return Value(F.col("value"), "float")
+
+
+def _signed() -> Value:
+    return Value(F.col("event_id") % 41 - 20, "int")
+
+
+def _divisor() -> Value:
+    return Value(F.when(F.col("user_id") % 2 == 0, F.lit(7)).otherwise(F.lit(-7)).cast("bigint"), "int")
+
+
 
 # Sources and sinks
 
@@ -102,7 +115,7 @@ def tone_write(e: DataFrame) -> DataFrame:
 def no_tone(e: DataFrame) -> DataFrame:
     """Switched off only where an earlier tone made the pin's handle."""
     made = F.when(F.col("event_type") == "purchase", 1).otherwise(0)
-    rows = ticks.scan(e, "user_id", ORDER, DAY, maxima={"handle": made}, exclusive=True)
+    rows = ticks.scan(e, "user_id", ORDER, _day(), maxima={"handle": made}, exclusive=True)
     return rows.where("event_type = 'error' and handle = 1").select("event_id", "user_id")
 
 
@@ -144,25 +157,25 @@ def code_export(e: DataFrame) -> DataFrame:
 @query("""SELECT event_id, s + 3 AS plus, s - user_id AS minus, s * 11 AS times, s + value AS mixed, abs(s) AS abs_s, -s AS neg_s
 FROM (SELECT *, event_id % 41 - 20 AS s FROM events)""")
 def arithmetic(e: DataFrame) -> DataFrame:
-    out = {"plus": BINARY["+"](SIGNED, number(3)), "minus": BINARY["-"](SIGNED, _int("user_id")), "times": BINARY["*"](SIGNED, number(11)), "mixed": BINARY["+"](SIGNED, VALUE), "abs_s": py_abs(SIGNED), "neg_s": py_neg(SIGNED)}
+    out = {"plus": BINARY["+"](_signed(), number(3)), "minus": BINARY["-"](_signed(), _int("user_id")), "times": BINARY["*"](_signed(), number(11)), "mixed": BINARY["+"](_signed(), _value()), "abs_s": py_abs(_signed()), "neg_s": py_neg(_signed())}
     return e.select("event_id", *[v.col.alias(k) for k, v in out.items()])
 
 
 @query("SELECT event_id, CAST(event_id % 41 - 20 AS DOUBLE) / CASE WHEN user_id % 2 = 0 THEN 7 ELSE (-7) END AS quotient FROM events")
 def division(e: DataFrame) -> DataFrame:
-    return e.select("event_id", BINARY["/"](SIGNED, DIVISOR).col.alias("quotient"))
+    return e.select("event_id", BINARY["/"](_signed(), _divisor()).col.alias("quotient"))
 
 
 @query("""SELECT event_id, CASE WHEN s % d <> 0 AND ((s % d < 0) <> (d < 0)) THEN s % d + d ELSE s % d END AS remainder
 FROM (SELECT event_id, event_id % 41 - 20 AS s, CASE WHEN user_id % 2 = 0 THEN CAST(7 AS BIGINT) ELSE -7 END AS d FROM events)""")
 def modulo(e: DataFrame) -> DataFrame:
-    return e.select("event_id", BINARY["%"](SIGNED, DIVISOR).col.alias("remainder"))
+    return e.select("event_id", BINARY["%"](_signed(), _divisor()).col.alias("remainder"))
 
 
 @query("SELECT event_id, s * s * s AS cube, CASE WHEN s = 0 THEN NULL ELSE 1.0::DOUBLE / CAST(s AS DOUBLE) END AS inverse FROM (SELECT event_id, event_id % 41 - 20 AS s FROM events)")
 def power(e: DataFrame) -> DataFrame:
-    inverse = F.when(SIGNED.col != 0, py_pow(SIGNED, number(-1), -1).col)
-    return e.select("event_id", py_pow(SIGNED, number(3), 3).col.alias("cube"), inverse.alias("inverse"))
+    inverse = F.when(_signed().col != 0, py_pow(_signed(), number(-1), -1).col)
+    return e.select("event_id", py_pow(_signed(), number(3), 3).col.alias("cube"), inverse.alias("inverse"))
 
 
 @query()
@@ -194,8 +207,8 @@ def default_pin(e: DataFrame) -> DataFrame:
 @query("""SELECT event_id, s = 5 AS eq, s <> 5 AS ne, s < value AS lt, s <= 3 AS le, s > 3 AS gt, s >= value AS ge, false AS text_eq
 FROM (SELECT *, event_id % 41 - 20 AS s FROM events)""")
 def comparisons(e: DataFrame) -> DataFrame:
-    out = {"eq": ("==", number(5)), "ne": ("!=", number(5)), "lt": ("<", VALUE), "le": ("<=", number(3)), "gt": (">", number(3)), "ge": (">=", VALUE), "text_eq": ("==", Value(F.col("event_type"), "str"))}
-    return e.select("event_id", *[py_compare(op, SIGNED, b).col.alias(k) for k, (op, b) in out.items()])
+    out = {"eq": ("==", number(5)), "ne": ("!=", number(5)), "lt": ("<", _value()), "le": ("<=", number(3)), "gt": (">", number(3)), "ge": (">=", _value()), "text_eq": ("==", Value(F.col("event_type"), "str"))}
+    return e.select("event_id", *[py_compare(op, _signed(), b).col.alias(k) for k, (op, b) in out.items()])
 
 
 @query("""SELECT event_id, CASE WHEN s = 0 THEN s ELSE user_id END AS both, CASE WHEN s <> 0 THEN s ELSE user_id END AS either, s = 0 AS neither
@@ -208,7 +221,7 @@ def logic(e: DataFrame) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN value < 20 THEN 'low' WHEN value < 100 THEN 'mid' ELSE 'high' END AS level FROM events")
 def if_elif_else(e: DataFrame) -> DataFrame:
-    low, mid = py_compare("<", VALUE, number(20)), py_compare("<", VALUE, number(100))
+    low, mid = py_compare("<", _value(), number(20)), py_compare("<", _value(), number(100))
     return e.select("event_id", F.when(py_truthy(low), "low").when(py_truthy(mid), "mid").otherwise("high").alias("level"))
 
 
@@ -246,7 +259,7 @@ def while_loop(e: DataFrame) -> DataFrame:
   SELECT *, max(CASE WHEN value > 120 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS broke FROM events
 ) WHERE broke = 0""")
 def break_prefix(e: DataFrame) -> DataFrame:
-    return ticks.until_break(e, "user_id", ORDER, DAY, F.col("value") > 120).select("event_id", "user_id")
+    return ticks.until_break(e, "user_id", ORDER, _day(), F.col("value") > 120).select("event_id", "user_id")
 
 
 @query("SELECT event_id, CAST(i AS INTEGER) AS i FROM events, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE NOT (event_type = 'view' AND i >= 2)")
@@ -263,7 +276,7 @@ def wait_until(e: DataFrame) -> DataFrame:
 
 @query("""SELECT event_id, CAST(coalesce(sum(CAST(trunc(value * 10) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS t_ms FROM events""")
 def sleep_clock(e: DataFrame) -> DataFrame:
-    return ticks.clock(e, "user_id", ORDER, DAY, (F.col("value") * 10).cast("bigint")).select("event_id", "t_ms")
+    return ticks.clock(e, "user_id", ORDER, _day(), (F.col("value") * 10).cast("bigint")).select("event_id", "t_ms")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
@@ -273,7 +286,7 @@ def set_variable(e: DataFrame) -> DataFrame:
 
 @query("SELECT event_id, CAST(sum(CAST(trunc(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events")
 def change_variable(e: DataFrame) -> DataFrame:
-    return ticks.accumulate(e, "user_id", ORDER, DAY, F.col("value").cast("bigint")).select("event_id", "total")
+    return ticks.accumulate(e, "user_id", ORDER, _day(), F.col("value").cast("bigint")).select("event_id", "total")
 
 
 @query("""SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY k) - 1 AS INTEGER) AS seq, kind FROM (
@@ -286,7 +299,7 @@ def statement_chain(e: DataFrame) -> DataFrame:
 @query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 100 AS t_ms FROM events")
 def empty_body(e: DataFrame) -> DataFrame:
     """An empty nested body waits 100 ms."""
-    return ticks.clock(e, "user_id", ORDER, DAY, F.lit(100).cast("bigint")).select("event_id", "t_ms")
+    return ticks.clock(e, "user_id", ORDER, _day(), F.lit(100).cast("bigint")).select("event_id", "t_ms")
 
 
 # Serial text
