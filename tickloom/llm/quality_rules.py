@@ -36,7 +36,7 @@ RATES = (
     ("chars_per_word", "word_chars", "n_words", 100, 300, 200),
     ("symbols", "n_symbols", "word_chars", 1000, 50, None),
     ("dup_lines", "n_dup_lines", "n_words", 1000, 50, None),
-    ("repeats", "n_repeat_words", "n_words", 1000, 150, None),
+    ("repeats", "n_repeat_words", "n_words", 1000, 200, None),
 )
 FENCE = 3
 
