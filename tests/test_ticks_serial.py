@@ -76,3 +76,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r.changes for r in stream.debounced(events, "k", "t").collect()) == [1, 2]
     assert sorted(r.chunks for r in stream.drained(events, "k", "t").collect()) == [1, 1, 1]
     assert stream.totals(events.withColumn("v", F.lit(2)), "k", "v").first().total == 6
+
+
+def test_program_on_a_stream(spark, tmp_path):
+    from tickloom.plans.examples import EXAMPLES
+    from tickloom.plans.program import run_program
+    from tickloom.queries import COUNTER
+    from tickloom.streaming.programs import actions, program_sink
+
+    schema = "device long, tick long, reads map<int,long>, waits map<int,long>"
+    r = random.Random(9)
+    rows = [(d, t, {4: r.randrange(2), 14: r.choice([580, 9000])}, {14: 1}) for d in range(3) for t in range(24)]
+    for part in range(3):
+        own = [x for x in rows if x[1] // 8 == part and not (x[0] == 2 and part == 1)]
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for name, program in (("counter", COUNTER), ("alarm", EXAMPLES["alarm"])):
+        stream_ = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        q = stream_.writeStream.foreachBatch(program_sink(program, f"{tmp_path}/{name}")).option("checkpointLocation", f"{tmp_path}/{name}-cp").start()
+        q.processAllAvailable()
+        q.stop()
+        want = run_program(spark.read.parquet(f"{tmp_path}/in"), program)
+        assert sorted(map(repr, actions(spark, f"{tmp_path}/{name}").collect())) == sorted(map(repr, want.collect()))

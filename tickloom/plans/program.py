@@ -389,12 +389,28 @@ def run_program(readings: DataFrame, workspace: str | dict, span: Column | None
         start = compile_program(Program(program.setup, [], False), seed)
         acts = first.withColumn("state", start.tick(start.initial(), F.col("r"))).select("device", F.posexplode("state.actions").alias("seq", "a"))
         return out.unionByName(acts.select("device", "a.tick", "seq", "a.t_ms", "a.kind", "a.pin", "a.num_val", "a.str_val"))
-    folded = readings.groupBy("device").agg(F.array_sort(F.collect_list(reading), _by_tick).alias("ticks"))
-    none = F.array().cast(ACTION)
-    keep = lambda done, s: F.struct(s.withField("actions", none).alias("state"), F.concat(done, F.array(s["actions"])).alias("done"))
-    start = F.struct(c.initial().alias("state"), F.array().cast(f"array<{ACTION}>").alias("done"))
-    state = F.aggregate("ticks", start, lambda acc, r: let(c.tick(acc["state"], r), lambda s: keep(acc["done"], s)))
-    rows = folded.select("device", F.posexplode(F.flatten(state["done"])).alias("at", "a"))
+    return numbered(fold(readings, c))
+
+
+def fold(readings: DataFrame, c: Compiler, before: DataFrame | None = None) -> DataFrame:
+    """``device, state, done`` after each device's readings in order of tick;
+    ``done`` holds the actions of each tick. ``before``: ``device, state`` from which
+    devices go on; others start anew."""
+    reading = F.struct("tick", "reads", "waits")
+    ticks = readings.groupBy("device").agg(F.array_sort(F.collect_list(reading), _by_tick).alias("ticks"))
+    begin = c.initial()
+    if before is not None:
+        ticks = ticks.join(before.withColumnRenamed("state", "before"), "device", "left")
+        begin = F.coalesce(F.col("before"), begin)
+    keep = lambda done, s: F.struct(s.withField("actions", F.array().cast(ACTION)).alias("state"), F.concat(done, F.array(s["actions"])).alias("done"))
+    start = F.struct(begin.alias("state"), F.array().cast(f"array<{ACTION}>").alias("done"))
+    out = F.aggregate("ticks", start, lambda acc, r: let(c.tick(acc["state"], r), lambda s: keep(acc["done"], s)))
+    return ticks.select("device", out.alias("out")).select("device", "out.state", "out.done")
+
+
+def numbered(folded: DataFrame) -> DataFrame:
+    """The actions of ``fold``, numbered in each tick."""
+    rows = folded.select("device", F.posexplode(F.flatten("done")).alias("at", "a"))
     seq = F.row_number().over(W.partitionBy("device", "a.tick").orderBy("at")) - 1
     return rows.withColumn("seq", seq).select("device", "a.tick", "seq", "a.t_ms", "a.kind", "a.pin", "a.num_val", "a.str_val")
 
