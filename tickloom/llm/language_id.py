@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import broadcast_if_small, read, stored
 
 #: Bounds of the training sample: documents per language, characters of each, and
 #: characters of a language's reference in all.
@@ -94,7 +94,7 @@ def training_sample(
         F.substring(F.col(text_col), 1, chars_per_doc).alias("text"),
     )
     counts = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
-    return rows.join(F.broadcast(counts), "lang").where(F.col("at") * F.col("n") < docs_per_lang).select("lang", "at", "text")
+    return rows.join(broadcast_if_small(counts), "lang").where(F.col("at") * F.col("n") < docs_per_lang).select("lang", "at", "text")
 
 
 def fit(sample: DataFrame, reference_chars: int = REFERENCE_CHARS, letters: int = LETTERS) -> Model:

@@ -170,10 +170,10 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, fence: int = FENC
     found = stored(fences(sketch(rows.where("not base_failed")), fence), "quality-fences")
     limits = [c for c in found.columns if c[:3] in ("hi_", "lo_")]
     by = lambda k: found.where(F.col("level") == k)
-    own, lang, every = by(0), by(1), by(2)
+    own, lang, every = by(0), by(1), by(2).first()
     pick = lambda t, p: t.select(*[F.col(c).alias(f"{p}_{c}") for c in ("lang", "source", "docs", *limits)])
-    own = pick(own, "a").join(broadcast_if_small(pick(lang, "b")), F.col("a_lang").eqNullSafe(F.col("b_lang")), "left").crossJoin(F.broadcast(pick(every, "c")))
-    use = lambda c: F.when(F.col("a_docs") >= min_group, F.col(f"a_{c}")).when(F.col("b_docs") >= min_group, F.col(f"b_{c}")).otherwise(F.col(f"c_{c}"))
+    own = pick(own, "a").join(broadcast_if_small(pick(lang, "b")), F.col("a_lang").eqNullSafe(F.col("b_lang")), "left")
+    use = lambda c: F.when(F.col("a_docs") >= min_group, F.col(f"a_{c}")).when(F.col("b_docs") >= min_group, F.col(f"b_{c}")).otherwise(F.lit(every[c]).cast("long") if every else F.lit(None).cast("long"))
     own = stored(own.select("a_lang", "a_source", *[use(c).alias(c) for c in limits]), "quality-limits")
     joined = rows.join(broadcast_if_small(own), F.col("lang").eqNullSafe(F.col("a_lang")) & F.col("source").eqNullSafe(F.col("a_source")), "left")
     inside = F.lit(True)
