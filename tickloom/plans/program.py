@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import board
-from ..functions.pysem import BINARY, COMPARE, SPARK_TYPE, KindError, Value, number, py_abs, py_compare, py_join, py_not, py_pow, py_str, py_truthy
+from ..functions.pysem import BINARY, SPARK_TYPE, KindError, Value, number, py_abs, py_compare, py_join, py_not, py_pow, py_str, py_truthy
 from ..operators.ticks import clock
 
 #: Most rounds of a while loop in one tick; one that goes on is ended there.

@@ -190,6 +190,13 @@ def text_join(e: DataFrame) -> DataFrame:
     return e.select("event_id", py_join(items).col.alias("joined"))
 
 
+@query("SELECT event_id, CAST(value AS VARCHAR) AS plain, CAST(value * 1e-6::DOUBLE AS VARCHAR) AS small, CAST(value * 1e14::DOUBLE AS VARCHAR) AS large FROM events")
+def number_text(e: DataFrame) -> DataFrame:
+    """``str()`` of floats: the shortest digits, with an exponent where Python has one."""
+    scaled = {"plain": 1.0, "small": 1e-6, "large": 1e14}
+    return e.select("event_id", *[py_str(BINARY["*"](_value(), number(by))).col.alias(k) for k, by in scaled.items()])
+
+
 @query("SELECT event_id, CAST(trunc(value - 100) AS BIGINT) AS whole FROM events")
 def int_coercion(e: DataFrame) -> DataFrame:
     return e.select("event_id", py_int(Value(F.col("value") - 100, "float")).col.alias("whole"))
