@@ -76,6 +76,7 @@ def _sweep(by: int) -> dict:
     return repeat(18, change("angle", by), block("eb_swrite", {"PIN": "13"}, {"ANGLE": var("angle")}), sleep(20))
 
 
+# The pins, tones and delays of the example programs.
 EXAMPLES = {
     "blink": workspace([say(text("hello"))], [dwrite(2, 1), sleep(500), dwrite(2, 0), sleep(500)]),
     "button": workspace(
