@@ -9,7 +9,7 @@
    with the smallest time, so two texts agree in a register with the probability of
    their weighted Jaccard similarity.
 3. Signatures are cut into bands; texts that share a band are candidates.
-4. Candidates are compared exactly. First every text is compared with one pivot of
+4. Candidates are compared exactly. First every text is compared with three pivots of
    each of its buckets. Buckets whose texts already are in one component need
    nothing more. In what is left, all pairs of different components are compared:
    as pairs in small buckets, and in large ones by blocks of texts that are compared
@@ -40,7 +40,7 @@ ROWS = 8
 #: Buckets up to this size are compared as pairs, larger ones in blocks.
 PAIRED = 48
 BLOCK = 1024
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -230,7 +230,7 @@ def block_links(sets: list[np.ndarray], comps: list, least: float, columns: int
 
     union = sizes[:, None] + sizes[None, :] - common
     links = []
-    for i, j in zip(*np.nonzero(np.triu(common >= least * union - 1e-3, 1)), strict=True):
+    for i, j in zip(*np.nonzero(np.triu((common >= least * union - 1e-3) & (union > 0), 1)), strict=True):
         if common[i, j] / union[i, j] >= least and (a := find(comps[i])) != (b := find(comps[j])):
             root[a] = b
             links.append((int(i), int(j)))
@@ -264,8 +264,7 @@ def components(links: DataFrame) -> DataFrame:
     """``id, comp`` for every id of ``links`` (``a, b``) that is not the smallest
     of its connected component; ``comp`` is the smallest."""
     edges = stored(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
@@ -274,17 +273,20 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "v")
         small = small.select("v", F.col("m").alias("u")).unionByName(small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct()
         edges = stored(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("v").alias("id"), F.col("u").alias("comp"))
-        state = now
+    return edges.select(F.col("v").alias("id"), F.col("u").alias("comp"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each ``v`` has one ``u`` only, and none is another edge's ``u``."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def classes(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, paired: int = PAIRED, block: int = BLOCK, pivots: int = 2) -> DataFrame:
+def classes(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
     """``id, comp`` of the rows ``id, text`` that are linked to a smaller id.
     Ids should be unique and not null."""
     sig = stored(sign(texts, bands, rows), "signatures")
@@ -296,31 +298,19 @@ def classes(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, row
     _, maybe = bit_filter(ids.select(F.col("id").alias("digest")), n_ids)
     texts = maybe(texts.withColumn("digest", F.col("id"))).drop("digest").join(broadcast_if_small(ids, n_ids), "id", "left_semi")
     texts = stored(texts, "candidate-texts")
-    links = tested = None
-    comp = shared.select("id", F.col("id").alias("comp")).limit(0)
-
-    def with_comp() -> DataFrame:
-        """Bucket rows of the buckets that hold more than one component."""
-        now = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = now.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
-        return stored(now.join(open_, ["band", "h"], "left_semi"), "open-buckets")
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        return stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-
-    for k in range(pivots):
-        rest = with_comp()
-        pivot = rest.groupBy("band", "h").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("at"), "id", "comp")).alias("p")) if k else rest.groupBy("band", "h").agg(F.min(F.struct("id", "comp")).alias("p"))
-        pairs = untested(rest.join(pivot, ["band", "h"]).where(F.col("id") != F.col("p.id")).where(F.col("comp") != F.col("p.comp")).select(*_ordered(F.col("id"), F.col("p.id"))))
-        found = stored(compare(pairs, texts, least), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        comp = components(links)
-    rest = with_comp()
+    at = F.struct(F.xxhash64("id", F.lit("pivot")), "id")
+    pivot = shared.groupBy("band", "h").agg(F.array(F.min("id"), F.min(at)["id"], F.max(at)["id"]).alias("pivots"))
+    with_pivot = shared.join(pivot, ["band", "h"]).select("id", F.explode(F.array_distinct("pivots")).alias("p")).where("id <> p")
+    tested = stored(with_pivot.select(*_ordered(F.col("id"), F.col("p"))).distinct(), "pairs")
+    links = stored(compare(tested, texts, least), "links")
+    comp = components(links)
+    now = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_ = now.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
+    rest = stored(now.join(open_, ["band", "h"], "left_semi"), "open-buckets")
     few = rest.where(F.col("n") <= paired)
     other = few.select("band", "h", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    pairs = untested(few.join(other, ["band", "h"]).where("id < id2 and comp <> comp2").select(*_ordered(F.col("id"), F.col("id2"))))
+    pairs = few.join(other, ["band", "h"]).where("id < id2 and comp <> comp2").select(*_ordered(F.col("id"), F.col("id2"))).distinct()
+    pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     more = [compare(pairs, texts, least)]
     many = rest.where(F.col("n") > paired)
     if not many.isEmpty():
