@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, read, stored
+from .common import broadcast_if_small, give_back, read, stored
 
 #: Bounds of the training sample: documents per language, characters of each, and
 #: characters of a language's reference in all.
@@ -218,6 +218,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", block_chars:
                 start = end
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*carried, "lang_pred", "score"])
+        give_back()
 
     return docs.mapInArrow(label, schema)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, read, stored
+from .common import broadcast_if_small, give_back, read, stored
 from .exact_dedup import bit_filter, find_copies, keep_first, verdicts
 
 WIDTH = 5
@@ -176,6 +176,7 @@ def sign(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, bands), pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, end - start).take(pa.array(has)), lists], names=["id", "bands"])
                 start = end
+        give_back()
 
     return texts.mapInArrow(run, f"id {ids}, bands array<long>")
 

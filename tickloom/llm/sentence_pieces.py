@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored, text_of
+from .common import give_back, read, stored, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer documents, in characters, are giant: they are split into such chunks.
@@ -246,6 +246,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
                 part = batch.slice(start, BLOCK_ROWS)
                 ids = pa.array(m.whole.encode(part.column("__text").to_pylist(), num_threads=1), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), ids], names=[*carried, ids_col])
+        give_back()
 
     short = said.where(F.length("__text") < chunk).mapInArrow(small, schema)
 
@@ -293,6 +294,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
 
     parts = stored(parts.repartition("doc", "n"), "giant-chunks")
     states = parts.mapInArrow(matrices, "doc long, n int, rows int, weights array<double>").groupBy("doc").applyInArrow(borders, "doc long, n int, begin int, finish int")
+    states = stored(states, "giant-borders")
     traced = parts.join(states, ["doc", "n"]).select("doc", "n", "part", "start", "end", "first", "last", "begin", "finish").mapInArrow(backtrace, "doc long, n int, ids array<int>")
     whole = traced.groupBy("doc").agg(F.flatten(F.sort_array(F.collect_list(F.struct("n", "ids"))).getField("ids")).alias("ids"))
     giant = whole.join(long.select("doc", "__row"), "doc").select(*[F.col("__row")[c].alias(c) for c in carried], F.col("ids").alias(ids_col))
@@ -314,6 +316,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col:
                 part = batch.slice(start, BLOCK_ROWS)
                 texts = m.whole.decode([x or [] for x in part.column(ids_col).to_pylist()], num_threads=1)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(texts, pa.string())], names=[*carried, text_col])
+        give_back()
 
     return rows.select(*carried, ids_col).mapInArrow(run, rows.select(*carried).withColumn(text_col, F.lit("").cast("string")).schema)
 
