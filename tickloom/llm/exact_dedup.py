@@ -189,8 +189,11 @@ def verdicts(copies: Copies) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: Copies | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Texts of rows that
     have no copy are not shuffled while the hits are few enough to broadcast."""
-    _, hits, mixed = copies or find_copies(docs, id_col, text_col)
-    hits = broadcast_if_small(hits.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")))
+    runs, hits, mixed = copies or find_copies(docs, id_col, text_col)
+    hits = broadcast_if_small(hits.select("digest", "keep_id"))
+    twice = runs.join(hits, "digest").where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = mixed is not None or not twice.isEmpty()
+    hits = hits.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
     keyed = docs.withColumn("__digest", sha256(normalised(text_col))).join(hits.withColumn("__hit", F.lit(True)), "__digest", "left")
     if mixed is not None:
         whole = mixed.select(F.col("norm").alias("__norm"), F.col("keep_id").alias("__keep2")).distinct()
@@ -198,6 +201,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed = keyed.withColumn("__keep", F.coalesce("__keep", "__keep2")).withColumn("__hit", F.coalesce("__hit", F.col("__keep2").isNotNull()))
         keyed = keyed.drop("__norm", "__keep2")
     hit = F.coalesce("__hit", F.lit(False))
+    if not repeated:
+        return keyed.where(~hit | F.col(id_col).eqNullSafe(F.col("__keep"))).select(*docs.columns)
     alone = keyed.where(~hit)
     first = keyed.where(hit & F.col(id_col).eqNullSafe(F.col("__keep"))).dropDuplicates(["__digest", id_col])
     return alone.unionByName(first).select(*docs.columns)

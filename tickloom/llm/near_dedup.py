@@ -287,9 +287,10 @@ def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def classes(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
+def classes(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, paired: int = PAIRED, block: int = BLOCK, lookup: DataFrame | None = None) -> DataFrame:
     """``id, comp`` of the rows ``id, text`` that are linked to a smaller id.
-    Ids should be unique and not null."""
+    Ids should be unique and not null. ``lookup``: a table ``id, text`` that is
+    cheaper to scan and holds at least the rows of ``texts``."""
     sig = stored(sign(texts, bands, rows), "signatures")
     banded = sig.select("id", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -297,6 +298,7 @@ def classes(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, row
     ids = stored(shared.select("id").distinct(), "candidates")
     n_ids = ids.count()
     _, maybe = bit_filter(ids.select(F.col("id").alias("digest")), n_ids)
+    texts = texts if lookup is None else lookup
     texts = maybe(texts.withColumn("digest", F.col("id"))).drop("digest").join(broadcast_if_small(ids, n_ids), "id", "left_semi")
     texts = stored(texts, "candidate-texts")
     at = F.struct(F.xxhash64("id", F.lit("pivot")), "id")
@@ -342,8 +344,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _classes(docs: DataFrame, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     copies = find_copies(docs, id_col, text_col)
     first = keep_first(docs, id_col, text_col, copies)
-    texts = first.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return verdicts(copies), first, stored(classes(texts, **options), "classes")
+    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    texts, every = (t.select(*columns).where("id is not null and text is not null") for t in (first, docs))
+    return verdicts(copies), first, stored(classes(texts, lookup=every, **options), "classes")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
