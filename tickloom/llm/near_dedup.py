@@ -39,7 +39,7 @@ BANDS = 32
 ROWS = 8
 #: Buckets up to this size are compared as pairs, larger ones in blocks.
 PAIRED = 48
-BLOCK = 1024
+BLOCK = 512
 BLOCK_CHARS = 2_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
@@ -197,6 +197,7 @@ def compare(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 hit += [i for i in range(start, end) if similarity(sets[ta[i]], sets[tb[i]]) >= least]
             took = pa.array(hit, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(took), batch.column("b").take(took)], names=["a", "b"])
+        give_back()
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, f"a {ids}, b {ids}")
 
@@ -256,6 +257,8 @@ def compare_blocks(rows: DataFrame, texts: DataFrame, least: float, block: int =
         sets = copy_sets(group.column("text").to_pylist())
         links = block_links(sets, group.column("comp").to_pylist(), least)
         a, b = ([x[k] for x in links] for k in (0, 1))
+        del sets
+        give_back()
         return pa.table({"a": group.column("id").take(pa.array(a, pa.int64())), "b": group.column("id").take(pa.array(b, pa.int64()))})
 
     return dealt.groupBy("band", "h", "i", "j").applyInArrow(run, f"a {ids}, b {ids}")
