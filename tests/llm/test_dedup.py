@@ -161,6 +161,18 @@ def test_passages(spark):
     assert got[3, 1].words >= 56
 
 
+def test_parts_of_a_chain():
+    """Chains that are unlike as a whole are cut: equal passages around other words
+    of their own length, and every other paragraph rewritten."""
+    a, b = words(71, 60), words(72, 60)
+    pivot, text = [" ".join(words(k, 30) + a + words(k + 1, 60) + b + words(k + 2, 30)) for k in (73, 83)]
+    assert [f[1:] for f in passages.passages(pivot, [text])] == [(30, 90, 30, 90, 60), (150, 210, 150, 210, 60)]
+    old = [words(90 + k, 100) for k in range(6)]
+    new = [p if k % 2 else words(190 + k, 100) for k, p in enumerate(old)]
+    got = passages.passages(" ".join(sum(old, [])), [" ".join(sum(new, []))])
+    assert [f[1:3] for f in got] == [(100, 200), (300, 400), (500, 600)]
+
+
 def test_chain_scores():
     best = passages.chain([(0, 0, 10), (12, 12, 10), (5, 40, 6), (24, 30, 10)])
     assert best[0] == [(0, 0, 10), (12, 12, 10), (24, 30, 10)]

@@ -10,7 +10,8 @@
    less a cost for gaps on both sides, and a Fenwick tree holds the best score up to
    each place of the pivot.
 4. Chains are aligned: the words in gaps by their longest common subsequence. Chains
-   that are long and similar enough are passages.
+   that are long and similar enough are passages. Of other chains, the parts that are
+   so are passages.
 """
 
 from __future__ import annotations
@@ -168,16 +169,40 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(b) - row.bit_count()
 
 
-def align(own: list[Segment], a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Start and end in the document and in the pivot, and words in common."""
-    matched = 0
-    at = None
-    for i, j, n in own:
-        if at:
-            matched += common_words(a[at[0] : i].tolist(), b[at[1] : j].tolist())
-        matched += n
-        at = (i + n, j + n)
-    return own[0][0], at[0], own[0][1], at[1], matched
+def parts(own: list[Segment], a: np.ndarray, b: np.ndarray, min_words: int, least: float) -> list[tuple[int, int, int, int, int]]:
+    """Start and end in the document and in the pivot, and words in common, of the
+    parts of a chain that are passages: the whole if it is one, else disjoint runs of
+    its segments with the most words in common, as few as have them."""
+    i, j, n = np.array(own).T
+    if i[-1] + n[-1] - i[0] < min_words:
+        return []
+    gaps = [common_words(a[x + m : y].tolist(), b[z + m : w].tolist()) for x, y, z, w, m in zip(i[:-1], i[1:], j[:-1], j[1:], n[:-1], strict=True)]
+    # Words in common before each segment, the gap before it included.
+    before = np.append(0, np.cumsum(n[:-1] + np.array(gaps, np.int64)))
+    end, end_p = i + n, j + n
+    best, back = np.zeros(len(own) + 1, np.int64), [-1] * (len(own) + 1)
+    whole = _passes(before[-1] + n[-1], end[-1] - i[0], end_p[-1] - j[0], min_words, least)
+    for k in range(len(own) - 1 if whole else 0, len(own)):
+        matched = before[k] + n[k] - before[: k + 1]
+        fits = np.flatnonzero(_passes(matched, end[k] - i[: k + 1], end_p[k] - j[: k + 1], min_words, least))
+        best[k + 1] = best[k]
+        if len(fits):
+            total = matched[fits] + best[fits]
+            at = int(total.argmax())
+            if total[at] > best[k]:
+                best[k + 1], back[k + 1] = total[at], int(fits[at])
+    out, k = [], len(own)
+    while k > 0:
+        if (f := back[k]) < 0:
+            k -= 1
+            continue
+        out.append((int(i[f]), int(end[k - 1]), int(j[f]), int(end_p[k - 1]), int(before[k - 1] + n[k - 1] - before[f])))
+        k = f
+    return out[::-1]
+
+
+def _passes(matched, words, words_p, min_words: int, least: float):
+    return (words >= min_words) & (matched >= least * np.maximum(words, words_p))
 
 
 def disjoint(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> list[Segment]:
@@ -220,9 +245,7 @@ def passages(pivot: str, texts: list[str], min_words: int = MIN_WORDS, least: fl
         a, b = bounds[t], bounds[t + 1]
         own_words = words[starts[t] : starts[t] + sizes[t]]
         for own in chain(trimmed(disjoint(at[a:b], other[a:b], runs[a:b]))):
-            start, end, start_p, end_p, matched = align(own, own_words, words_p)
-            if end - start >= min_words and matched >= least * max(end - start, end_p - start_p):
-                out.append((int(t), start, end, start_p, end_p, matched))
+            out += [(int(t), *found) for found in parts(own, own_words, words_p, min_words, least)]
     return out
 
 
