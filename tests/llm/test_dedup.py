@@ -173,6 +173,33 @@ def test_parts_of_a_chain():
     assert [f[1:3] for f in got] == [(100, 200), (300, 400), (500, 600)]
 
 
+def test_passage_repeated_in_part():
+    """The pivot holds the start of a passage before the passage."""
+    shared = words(61, 60)
+    pivot = words(62, 20) + shared[:35] + words(63, 500) + shared + words(64, 20)
+    got = passages.passages(" ".join(pivot), [" ".join(words(65, 10) + shared + words(66, 10))])
+    assert got == [(0, 10, 70, 555, 615, 60)]
+
+
+def test_maximal_runs():
+    """All of them, as by comparing every place with every place."""
+    r = random.Random(3)
+    for _ in range(100):
+        a, b, c = ([f"{r.randrange(3)}" for _ in range(r.randrange(40))] for _ in range(3))
+        expected = set()
+        for t, x in enumerate((a, b)):
+            for i in range(len(x)):
+                for j in range(len(c)):
+                    n = 0
+                    while i + n < len(x) and j + n < len(c) and x[i + n] == c[j + n]:
+                        n += 1
+                    if n >= 5 and not (i and j and x[i - 1] == c[j - 1]):
+                        expected.add((t, i, j, n))
+        sizes, h = passages.word_hashes([" ".join(a), " ".join(b)])
+        got = passages.maximal_runs(sizes, h, passages.word_hashes([" ".join(c)])[1], 5)
+        assert Counter(zip(*(x.tolist() for x in got), strict=True)) == Counter(expected)
+
+
 def test_chain_scores():
     best = passages.chain([(0, 0, 10), (12, 12, 10), (5, 40, 6), (24, 30, 10)])
     assert best[0] == [(0, 0, 10), (12, 12, 10), (24, 30, 10)]

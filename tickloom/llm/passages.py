@@ -5,10 +5,12 @@
 2. A seed's documents are joined with the smallest document that has it, its
    pivot; a seed in n documents gives n - 1 pairs.
 3. Partners of a pivot are dealt into blocks, and each block meets its pivot's text
-   once. There all five-word windows are matched, matches on one diagonal become
-   segments, and segments are chained in order: a chain's score is its matched words
-   less a cost for gaps on both sides, and a Fenwick tree holds the best score up to
-   each place of the pivot.
+   once. There the longest runs of five or more equal words, from every place of the
+   text to every place of the pivot, are segments. They are found by their first and
+   last windows, beside which the words differ, and so one by one even in repeated
+   lines. Segments are chained in order: a chain's score is its matched words less a
+   cost for gaps on both sides, and a Fenwick tree holds the best score up to each
+   place of the pivot. A segment may give up its first words to follow another.
 4. Chains are aligned: the words in gaps by their longest common subsequence. Chains
    that are long and similar enough are passages. Of other chains, the parts that are
    so are passages.
@@ -123,11 +125,13 @@ class Fenwick:
 Segment = tuple[int, int, int]
 
 
-def chain(segments: list[Segment], gap_cost: float = GAP_COST) -> list[list[Segment]]:
+def chain(segments: list[Segment], gap_cost: float = GAP_COST, origin: list[int] | None = None) -> list[list[Segment]]:
     """Disjoint chains of segments that follow each other in both texts, best
     first. A segment scores its words; a step costs ``gap_cost`` for each word
-    between, in either text."""
-    segments = sorted(segments)
+    between, in either text. Of segments with the same ``origin``, one is used."""
+    order = sorted(range(len(segments)), key=segments.__getitem__)
+    origin = [origin[k] for k in order] if origin else order
+    segments = [segments[k] for k in order]
     places = sorted({s[1] + s[2] for s in segments})
     index = {p: i for i, p in enumerate(places)}
     starts = np.searchsorted(places, [s[1] for s in segments], side="right") - 1
@@ -144,11 +148,11 @@ def chain(segments: list[Segment], gap_cost: float = GAP_COST) -> list[list[Segm
         best -= gap_cost * (i + j)
         score[k] = n + max(0.0, best)
         back[k] = before if best > 0 else -1
-    used, out = [False] * len(segments), []
+    used, out = set(), []
     for k in sorted(range(len(segments)), key=lambda k: (-score[k], k)):
         own = []
-        while k >= 0 and not used[k]:
-            used[k] = True
+        while k >= 0 and origin[k] not in used:
+            used.add(origin[k])
             own.append(segments[k])
             k = back[k]
         if own:
@@ -205,63 +209,127 @@ def _passes(matched, words, words_p, min_words: int, least: float):
     return (words >= min_words) & (matched >= least * np.maximum(words, words_p))
 
 
-def disjoint(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> list[Segment]:
+def segments_of(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> list[Segment]:
     return [(int(x), int(y), int(z)) for x, y, z in zip(i, j, n, strict=True)]
 
 
-def passages(pivot: str, texts: list[str], min_words: int = MIN_WORDS, least: float = MIN_SIMILARITY, width: int = MATCH_WORDS) -> list[tuple[int, int, int, int, int, int]]:
-    """Text number, start, end, start and end in the pivot, words in common. A
-    window that a text has r times is matched with the pivot's r-th, or last, such
-    window, so that there is at most one match for each place of a text."""
-    size_p, words_p = word_hashes([pivot])
-    sizes, words = word_hashes(texts)
-    _, at_p, h_p = window_hashes(size_p, words_p, width)
-    doc, at, h = window_hashes(sizes, words, width)
-    if not len(h_p) or not len(h):
-        return []
-    order_p = np.lexsort((at_p, h_p))
-    known, first_p, count_p = np.unique(h_p[order_p], return_index=True, return_counts=True)
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the range and place of every element of ranges."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
+
+
+def unlike_beside(h: np.ndarray, side: np.ndarray, h_p: np.ndarray, side_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all pairs of equal windows ``h`` and ``h_p`` whose words ``side``
+    and ``side_p`` differ."""
+    order = np.lexsort((side_p, h_p))
+    hs, ss = h_p[order], side_p[order]
+    known, first, count = np.unique(hs, return_index=True, return_counts=True)
     where = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    hit = known[where] == h
-    doc, at, where = doc[hit], at[hit], where[hit]
-    order = np.lexsort((at, where, doc))
-    d, w = doc[order], where[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
+    hit = np.flatnonzero(known[where] == h)
+    first, last = first[where[hit]], (first + count)[where[hit]]
+    new = np.ones(len(hs), bool)
+    new[1:] = (hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])
     begin = np.flatnonzero(new)
-    rank = np.empty(len(d), np.int64)
-    rank[order] = np.arange(len(d)) - np.repeat(begin, np.diff(np.append(begin, len(d))))
-    other = at_p[order_p[first_p[where] + np.minimum(rank, count_p[where] - 1)]]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (other[1:] != other[:-1] + 1)
-    begin = np.flatnonzero(new)
-    runs = np.diff(np.append(begin, len(doc))) + width - 1
-    doc, at, other = doc[begin], at[begin], other[begin]
+    ends = np.append(begin[1:], len(hs))
+    keys = mixed(hs[begin] * _GOLDEN + ss[begin])
+    by_key = np.argsort(keys)
+    mine = mixed(h[hit] * _GOLDEN + side[hit])
+    group = by_key[np.minimum(np.searchsorted(keys, mine, sorter=by_key), len(keys) - 1)]
+    same = keys[group] == mine
+    # All places of the window but those in a row that have the same word beside it.
+    low, high = np.where(same, begin[group], first), np.where(same, ends[group], first)
+    owner, at = _ranges(np.concatenate((first, high)), np.concatenate((low - first, last - high)))
+    return np.concatenate((hit, hit))[owner], order[at]
+
+
+def maximal_runs(sizes: np.ndarray, words: np.ndarray, words_p: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start in it and in the pivot, and words of all runs of ``width`` or more
+    equal words that can be extended on neither side."""
+    doc, at, h = window_hashes(sizes, words, width)
+    _, at_p, h_p = window_hashes(np.array([len(words_p)]), words_p, width)
+    none = np.zeros(0, np.int64)
+    if not len(h_p) or not len(h):
+        return none, none, none, none
+    flat = (np.cumsum(sizes) - sizes)[doc] + at
+    edges = []
+    for step, inside, inside_p in ((-1, at > 0, at_p > 0), (width, at + width < sizes[doc], at_p + width < len(words_p))):
+        # The end of a text is like no word, nor like the end of the other.
+        side, side_p = np.zeros(len(h), np.uint64), np.ones(len(h_p), np.uint64)
+        side[inside], side_p[inside_p] = words[flat[inside] + step], words_p[at_p[inside_p] + step]
+        k, q = unlike_beside(h, side, h_p, side_p)
+        order = np.lexsort((at[k], at_p[q] - at[k], doc[k]))
+        edges.append((k[order], q[order]))
+    # The starts and ends of runs alternate on each diagonal of each text.
+    (k, q), (last, _) = edges
+    return doc[k], at[k], at_p[q], at[last] - at[k] + width
+
+
+def shortened(doc: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, pairs: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Number of a segment, and words that it gives up at its start so that it can
+    follow another one that ends inside it; each segment as it is (0 words) too."""
+    out = [(np.arange(len(n)), np.zeros(len(n), np.int64))]
+    apart = doc * (int(max((i + n).max(), (j + n).max())) + 1 if len(n) else 1)
+    for start in (i, j):
+        low, end = apart + start, apart + start + n
+        by_end = np.argsort(end)
+        first = np.searchsorted(end[by_end], low, side="right")
+        sizes = np.searchsorted(end[by_end], low + n, side="left") - first
+        block = np.cumsum(sizes) // pairs
+        for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(block)) + 1):
+            owner, at = _ranges(first[cut], sizes[cut])
+            k, q = cut[owner], by_end[at]
+            over = np.maximum(i[q] + n[q] - i[k], j[q] + n[q] - j[k])
+            fits = (i[q] < i[k]) & (j[q] < j[k]) & (over < n[k])
+            out.append((k[fits], over[fits]))
+    k, over = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((over, k))
+    k, over = k[order], over[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (over[1:] != over[:-1])
+    return k[new], over[new]
+
+
+def covering(found: list[tuple[int, int, int, int, int]], size: int) -> list[tuple[int, int, int, int, int]]:
+    """Of passages of one text, those that hold words in no better one: first the
+    ones apart from all better ones, then the ones that add most to these."""
+    if len(found) < 2:
+        return found
+    covered, out, later = np.zeros(size, bool), [], []
+    for f in sorted(found, key=lambda f: (-f[4], f)):
+        if covered[f[0] : f[1]].any():
+            later.append(f)
+        else:
+            covered[f[0] : f[1]] = True
+            out.append(f)
+    for f in sorted(later, key=lambda f: int(covered[f[0] : f[1]].sum()) - f[1] + f[0]):
+        if not covered[f[0] : f[1]].all():
+            covered[f[0] : f[1]] = True
+            out.append(f)
+    return sorted(out)
+
+
+def passages(pivot: str, texts: list[str], min_words: int = MIN_WORDS, least: float = MIN_SIMILARITY, width: int = MATCH_WORDS) -> list[tuple[int, int, int, int, int, int]]:
+    """Text number, start, end, start and end in the pivot, words in common. Runs of
+    equal words are matched at every place of the pivot."""
+    _, words_p = word_hashes([pivot])
+    sizes, words = word_hashes(texts)
+    doc, at, other, runs = maximal_runs(sizes, words, words_p, width)
     total = np.bincount(doc, weights=runs, minlength=len(texts))
+    enough = total[doc] >= min_words * least
+    doc, at, other, runs = doc[enough], at[enough], other[enough], runs[enough]
+    k, over = shortened(doc, at, other, runs)
+    doc, at, other, runs = doc[k], at[k] + over, other[k] + over, runs[k] - over
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     starts = np.cumsum(sizes) - sizes
     out = []
-    for t in np.flatnonzero(total >= min_words * least):
+    for t in np.unique(doc):
         a, b = bounds[t], bounds[t + 1]
         own_words = words[starts[t] : starts[t] + sizes[t]]
-        for own in chain(trimmed(disjoint(at[a:b], other[a:b], runs[a:b]))):
-            out += [(int(t), *found) for found in parts(own, own_words, words_p, min_words, least)]
-    return out
-
-
-def trimmed(segments: list[Segment], width: int = MATCH_WORDS) -> list[Segment]:
-    """Segments whose windows overlap the one before in the document give up
-    these words, so that they can follow it."""
-    out: list[Segment] = []
-    for i, j, n in segments:
-        if out:
-            over = out[-1][0] + out[-1][2] - i
-            over = max(over, min(out[-1][1] + out[-1][2] - j, width - 1) if j >= out[-1][1] else 0)
-            if 0 < over < n:
-                i, j, n = i + over, j + over, n - over
-            elif over >= n:
-                continue
-        out.append((i, j, n))
+        found = []
+        for own in chain(segments_of(at[a:b], other[a:b], runs[a:b]), origin=k[a:b].tolist()):
+            found += parts(own, own_words, words_p, min_words, least)
+        out += [(int(t), *f) for f in covering(found, int(sizes[t]))]
     return out
 
 
