@@ -200,6 +200,21 @@ def test_maximal_runs():
         assert Counter(zip(*(x.tolist() for x in got), strict=True)) == Counter(expected)
 
 
+@pytest.mark.parametrize("every, least", [(8, 0.98), (10, 0.98), (12, 0.98)])
+def test_seeds_of_edited_passages(every, least):
+    """Of passages of 60 words with every n-th one replaced, in texts of their own,
+    so many share a seed."""
+    pairs, found = [], 0
+    for k in range(400):
+        old = words(1000 + k, 60)
+        new = [f"new{k}-{i}" if i % every == every - 1 else w for i, w in enumerate(old)]
+        pairs += [" ".join(words(2000 + 4 * k + m, 30) + p + words(4000 + 4 * k + m, 30)) for m, p in enumerate((old, new))]
+    doc, h = passages.seeds(pairs)
+    for k in range(400):
+        found += bool(set(h[doc == 2 * k].tolist()) & set(h[doc == 2 * k + 1].tolist()))
+    assert found >= least * 400
+
+
 def test_chain_scores():
     best = passages.chain([(0, 0, 10), (12, 12, 10), (5, 40, 6), (24, 30, 10)])
     assert best[0] == [(0, 0, 10), (12, 12, 10), (24, 30, 10)]

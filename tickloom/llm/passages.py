@@ -1,7 +1,10 @@
 """Substring dedup: passages of words that documents share, exactly or nearly.
 
-1. Seeds: of all eight-word windows of a text, those whose hash is the least of 16
-   neighbouring ones. Any 23 equal words hold a seed in both texts.
+1. Seeds: of all five-word windows of a text, those whose hash is the least of 16
+   neighbouring ones, so that any 20 equal words hold a seed in both texts, and a
+   quarter of the others by their hash alone, which edits beside them leave as it is:
+   two texts that have k windows in common share none of these with probability
+   0.75 ** k.
 2. A seed's documents are joined with the smallest document that has it, its
    pivot; a seed in n documents gives n - 1 pairs.
 3. Partners of a pivot are dealt into blocks, and each block meets its pivot's text
@@ -31,8 +34,10 @@ from .common import broadcast_if_small, read, stored
 from .exact_dedup import bit_filter
 from .near_dedup import _GOLDEN, mixed
 
-SEED_WORDS = 8
+SEED_WORDS = 5
 SEED_WINDOW = 16
+#: One of so many windows is a seed whatever is beside it.
+SEED_SHARE = 4
 MATCH_WORDS = 5
 MIN_WORDS = 50
 MIN_SIMILARITY = 0.8
@@ -90,7 +95,7 @@ def seeds(texts: list[str | None], width: int = SEED_WORDS, window: int = SEED_W
     least = _rolling(spaced, window, np.minimum)
     least[least == top] = 0
     reached = _rolling(least[::-1], window, np.maximum)[::-1]
-    pick = np.flatnonzero(reached[at] == h)
+    pick = np.flatnonzero((reached[at] == h) | (mixed(h) % np.uint64(SEED_SHARE) == 0))
     doc, h = doc[pick], h[pick]
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
@@ -243,14 +248,23 @@ def unlike_beside(h: np.ndarray, side: np.ndarray, h_p: np.ndarray, side_p: np.n
     return np.concatenate((hit, hit))[owner], order[at]
 
 
-def maximal_runs(sizes: np.ndarray, words: np.ndarray, words_p: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def maximal_runs(sizes: np.ndarray, words: np.ndarray, words_p: np.ndarray, width: int, total: float = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, start in it and in the pivot, and words of all runs of ``width`` or more
-    equal words that can be extended on neither side."""
+    equal words that can be extended on neither side. Texts may be left out whose
+    runs have fewer than ``total`` words."""
     doc, at, h = window_hashes(sizes, words, width)
     _, at_p, h_p = window_hashes(np.array([len(words_p)]), words_p, width)
     none = np.zeros(0, np.int64)
     if not len(h_p) or not len(h):
         return none, none, none, none
+    known = np.sort(h_p)
+    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    # A run has at most ``width`` words for each of its windows, in one place of the pivot.
+    doc, at, h = doc[hit], at[hit], h[hit]
+    few = np.bincount(doc, minlength=len(sizes)) * width < total
+    doc, at, h = (x[~few[doc]] for x in (doc, at, h))
+    if not len(h):
+        return none, none, none, none
     flat = (np.cumsum(sizes) - sizes)[doc] + at
     edges = []
     for step, inside, inside_p in ((-1, at > 0, at_p > 0), (width, at + width < sizes[doc], at_p + width < len(words_p))):
@@ -314,7 +328,7 @@ def passages(pivot: str, texts: list[str], min_words: int = MIN_WORDS, least: fl
     equal words are matched at every place of the pivot."""
     _, words_p = word_hashes([pivot])
     sizes, words = word_hashes(texts)
-    doc, at, other, runs = maximal_runs(sizes, words, words_p, width)
+    doc, at, other, runs = maximal_runs(sizes, words, words_p, width, min_words * least)
     total = np.bincount(doc, weights=runs, minlength=len(texts))
     enough = total[doc] >= min_words * least
     doc, at, other, runs = doc[enough], at[enough], other[enough], runs[enough]
