@@ -215,6 +215,31 @@ def test_seeds_of_edited_passages(every, least):
     assert found >= least * 400
 
 
+def test_passage_behind_parts(spark):
+    """Documents with smaller ids hold each seed of a passage, and none the whole;
+    the passage is as short as passages are."""
+    shared = words(51, 50)
+    rows = [(k, " ".join(words(152 + k, 20) + shared[a : a + 40] + words(252 + k, 20))) for k, a in enumerate((0, 2, 4, 6, 8, 10))]
+    rows += [(k, " ".join(words(350 + k, 20 + k) + shared + words(450 + k, 30))) for k in (13, 14, 15)]
+    doc, h = passages.seeds([t for _, t in rows])
+    parts = set(h[doc < 6].tolist())
+    assert not any(n > 1 and x not in parts for x, n in Counter(h.tolist()).items())
+    got = sorted(tuple(r) for r in passages.shared_passages(table(spark, rows)).collect())
+    assert got == [(14, 34, 84, 13, 33, 83, 50), (15, 35, 85, 13, 33, 83, 50)]
+
+
+def test_open_windows():
+    """Parts and windows agree exactly where fifty words do, and passages are left out."""
+    shared = words(41, 50)
+    texts = [" ".join(words(42 + k, 10 + k) + shared + words(44 + k, 9)) for k in range(2)]
+    doc, part, h = passages.open_windows([*texts, None, "a b"], [None, None, None, []])
+    assert len(h) == 20 + 21 and len(set(h[doc == 0].tolist()) & set(h[doc == 1].tolist())) == 1
+    (same,) = set(h.tolist()) & set(h[doc == 0].tolist()) & set(h[doc == 1].tolist())
+    assert len(set(part[h == same].tolist())) == 1
+    doc, _, _ = passages.open_windows(texts, [[{"start_word": 10, "end_word": 60}], []])
+    assert Counter(doc.tolist()) == {0: 19, 1: 21}
+
+
 def test_chain_scores():
     best = passages.chain([(0, 0, 10), (12, 12, 10), (5, 40, 6), (24, 30, 10)])
     assert best[0] == [(0, 0, 10), (12, 12, 10), (24, 30, 10)]

@@ -17,6 +17,9 @@
 4. Chains are aligned: the words in gaps by their longest common subsequence. Chains
    that are long and similar enough are passages. Of other chains, the parts that are
    so are passages.
+5. A document whose seeds all have pivots that hold parts of a passage only meets no
+   document with the whole. So equal windows of 50 words that are in no passage yet
+   are grouped as they are, and the documents of each are compared with the smallest.
 """
 
 from __future__ import annotations
@@ -347,6 +350,100 @@ def passages(pivot: str, texts: list[str], min_words: int = MIN_WORDS, least: fl
     return out
 
 
+def rolling_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each ``width`` words in a row, in the same time for any width."""
+    if len(h) < width:
+        return np.zeros(0, np.uint64)
+    power = np.cumprod(np.append(np.uint64(1), np.full(len(h), _GOLDEN)))
+    inverse = np.uint64(pow(int(_GOLDEN), -1, 2**64))
+    sums = np.append(np.uint64(0), np.cumsum(mixed(h) * power[:-1]))
+    shift = np.cumprod(np.append(np.uint64(1), np.full(len(h) - width, inverse)))
+    return mixed((sums[width:] - sums[:-width]) * shift)
+
+
+def open_windows(texts: list[str | None], done: list[list[dict] | None], n: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, part and hash of each ``n`` words in a row that are not all in one of the
+    passages ``done``. The part is the hash of somewhat more than half of these words:
+    those up to or from their least seed window. Equal words have equal parts, and
+    there are few parts in a text."""
+    sizes, words = word_hashes(texts)
+    width = min(SEED_WORDS, n)
+    inner = n - width + 1
+    if len(words) < n:
+        return (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    closed = np.zeros(len(words) + 1, np.int64)
+    for t, ranges in enumerate(done):
+        for r in ranges or ():
+            if r["end_word"] - r["start_word"] >= n:
+                closed[starts[t] + r["start_word"]] += 1
+                closed[starts[t] + r["end_word"] - n + 1] -= 1
+    at = np.flatnonzero((doc[: len(words) - n + 1] == doc[n - 1 :]) & (np.cumsum(closed)[: len(words) - n + 1] == 0))
+    least = np.lib.stride_tricks.sliding_window_view(rolling_hashes(words, width), inner)
+    place = np.concatenate([least[at[k : k + 65536]].argmin(axis=1) for k in range(0, len(at), 65536)] or [np.zeros(0, np.int64)])
+    half = inner // 2
+    part = rolling_hashes(words, half + width)[at + np.where(place >= half, place - half, place)]
+    return doc[at], part, rolling_hashes(words, n)[at]
+
+
+def open_table(docs: DataFrame, n: int, parts: bool) -> DataFrame:
+    """``id, digest`` of the distinct parts of ``open_windows`` of the rows ``id, text,
+    done``, or of the windows whose part is in ``kept``."""
+    ids = dict(docs.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, done = batch.column("text").to_pylist(), batch.column("done").to_pylist()
+            start = 0
+            while start < len(texts):
+                end, chars = start, 0
+                while end < len(texts) and chars < BLOCK_CHARS:
+                    chars += len(texts[end] or "")
+                    end += 1
+                doc, part, h = open_windows(texts[start:end], done[start:end], n)
+                if parts:
+                    h = part
+                else:
+                    kept = [np.array(k, np.int64).astype(np.uint64) for k in batch.column("kept").slice(start, end - start).to_pylist()]
+                    bounds = np.searchsorted(doc, np.arange(end - start + 1))
+                    keep = np.concatenate([np.isin(part[a:b], k) for a, b, k in zip(bounds, bounds[1:], kept, strict=False)])
+                    doc, h = doc[keep], h[keep]
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc[new] + start)), pa.array(h[new].astype(np.int64))], names=["id", "digest"])
+                start = end
+
+    return docs.mapInArrow(run, f"id {ids}, digest long")
+
+
+def open_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """``pivot, id`` of documents that have ``min_words`` words in a row in common,
+    which are in no passage of either, and were not compared in ``pairs``. A document
+    may meet the pivots of its seeds in vain, since they hold stock phrases only.
+
+    Windows of so many words are grouped as they are, those only whose part another
+    document has too, so that a pair is made for a true passage only.
+    """
+    done = found.select(F.col("doc_id").alias("id"), F.struct("start_word", "end_word").alias("r")).groupBy("id").agg(F.collect_list("r").alias("done"))
+    # A row of an id that has several texts does not say whose words it means.
+    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    done = stored(done.join(twice, "id", "left_anti"), "passages-done")
+    docs = rows.join(broadcast_if_small(done), "id", "left")
+    table = stored(open_table(docs, min_words, True), "open-parts")
+    several = stored(table.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("digest"), "open-shared")
+    n = several.count()
+    _, maybe = bit_filter(several, n)
+    kept = maybe(table).join(broadcast_if_small(several, n), "digest", "left_semi").groupBy("id").agg(F.collect_set("digest").alias("kept"))
+    kept = stored(kept, "open-kept")
+    windows = stored(open_table(docs.join(broadcast_if_small(kept), "id"), min_words, False), "open-windows")
+    pivots = windows.groupBy("digest").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").drop("top")
+    more = windows.join(stored(pivots, "open-pivots"), "digest").where("id <> pivot").select("pivot", "id").distinct()
+    return stored(more.join(pairs, ["pivot", "id"], "left_anti"), "open-pairs")
+
+
 def seed_table(docs: DataFrame) -> DataFrame:
     """``id, digest`` of all seeds of the rows ``id, text``."""
     ids = dict(docs.dtypes)["id"]
@@ -379,12 +476,19 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    ids = dict(rows.dtypes)["id"]
     table = stored(seed_table(rows), "seeds")
     pivots = table.groupBy("digest").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").drop("top")
     pivots = stored(pivots, "seed-pivots")
     _, maybe = bit_filter(pivots, pivots.count())
     pairs = stored(maybe(table).join(pivots, "digest").where("id <> pivot").select("pivot", "id").distinct(), "seed-pairs")
+    found = stored(compared(rows, pairs, min_words, least, partners), "passages-found")
+    more = open_pairs(rows, found, pairs, min_words)
+    return found.unionByName(compared(rows, more, min_words, least, partners))
+
+
+def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, partners: int) -> DataFrame:
+    """The passages that documents share with their pivots, by stored ``pivot, id``."""
+    ids = dict(rows.dtypes)["id"]
     blocks = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / partners).cast("int").alias("blocks"))
     blocks = stored(blocks, "pivot-blocks")
     needed = stored(pairs.select("id").unionByName(blocks.select(F.col("pivot").alias("id"))).distinct(), "passage-ids")
