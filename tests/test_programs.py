@@ -3,7 +3,7 @@
 import pytest
 
 from tickloom.plans.examples import EXAMPLES, block, change, compare, dwrite, if_else, num, repeat, say, seq, sleep, text, tone, var, workspace
-from tickloom.plans.program import compile_program, diagnostics, read_program, run_program
+from tickloom.plans.program import compile_program, diagnostics, fold, numbered, read_program, run_program
 
 READINGS = "device long, tick long, reads map<int,long>, waits map<int,long>"
 
@@ -82,6 +82,19 @@ def test_wait_until(spark):
     assert {(r.device, r.t_ms) for r in got if r.kind == "print"} == {(0, 2000), (2, 2000)}
 
 
+def test_start_only(spark):
+    """A program without loop and wait takes the first reading only, and gathers none."""
+    rows = spark.createDataFrame([(d, t, {4: 10 * d + t}, {}) for d in (1, 2) for t in (3, 1, 2)], READINGS)
+    program = workspace([block("variables_set", {"VAR": "a"}, {"VALUE": block("eb_dread", {"PIN": "4"})}), sleep(5), say(var("a")), tone(15, 262, 300)])
+    out = run_program(rows, program)
+    fields = ["device", "tick", "seq", "t_ms", "kind", "pin", "num_val", "str_val"]
+    assert out.columns == fields
+    expected = numbered(fold(rows, compile_program(read_program(program)))).select(*fields)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+    assert out.count() == 6
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_warnings(spark, three):
     start, loop = block("eb_on_start", x=0, y=0), block("eb_loop", x=0, y=5)
     space = {"blocks": {"blocks": [start, {**start, "y": 3}, {**loop, "y": 9, "next": {"block": dwrite(3, 1)}}, {**loop, "next": {"block": dwrite(2, 1)}}, dwrite(5, 1)]}}

@@ -3,8 +3,9 @@
 A saved workspace is read on the driver, and every statement becomes a function
 from one state column to the next: variables, a virtual clock, the pins that have a
 handle, and the actions so far. A program whose loop keeps nothing from one tick to
-the next runs row by row, and a scan supplies its clock. Any other program is folded
-over each device's ticks in order. Both are built-in expressions only.
+the next runs row by row, and a scan supplies its clock. A program that ends at the
+first tick runs on each device's first reading. Any other program is folded over each
+device's ticks in order. All are built-in expressions only.
 """
 
 from __future__ import annotations
@@ -389,6 +390,10 @@ def run_program(readings: DataFrame, workspace: str | dict, span: Column | None
         start = compile_program(Program(program.setup, [], False), seed)
         acts = first.withColumn("state", start.tick(start.initial(), F.col("r"))).select("device", F.posexplode("state.actions").alias("seq", "a"))
         return out.unionByName(acts.select("device", "a.tick", "seq", "a.t_ms", "a.kind", "a.pin", "a.num_val", "a.str_val"))
+    if not program.has_loop and not any(b["type"] == "eb_wait_until" for b in program.setup):
+        first = readings.groupBy("device").agg(F.min_by(reading, "tick").alias("r"))
+        acts = first.withColumn("state", c.tick(c.initial(), F.col("r"))).select("device", F.posexplode("state.actions").alias("seq", "a"))
+        return acts.select("device", "a.tick", "seq", "a.t_ms", "a.kind", "a.pin", "a.num_val", "a.str_val")
     return numbered(fold(readings, c))
 
 
