@@ -8,49 +8,47 @@
    level; a text sees the points below its weight. A register's value is the point
    with the smallest time, so two texts agree in a register with the probability of
    their weighted Jaccard similarity.
-3. Signatures are cut into bands; texts that share a band are candidates.
+3. Signatures are cut into bands; texts that share a band, a bucket, are candidates.
 4. Candidates are compared exactly. First every text is compared with three pivots of
    each of its buckets. Buckets whose texts already are in one component need
-   nothing more. In what is left, all pairs of different components are compared:
-   as pairs in small buckets, and in large ones by blocks of texts that are compared
-   inside tasks, which return a spanning set of links and not pairs. No link between
-   texts of a bucket is lost, and no group is gathered in one task.
+   nothing more. Texts outside a bucket's largest component are compared with all texts
+   of other components: as pairs in small buckets, and in large ones by blocks inside
+   tasks, which return a spanning set of links and not pairs. Blocks are bounded by
+   number of texts and by bytes. No link between texts of a bucket is lost, and no
+   group is gathered in one task.
 5. Connected components of the links, by alternating large-star and small-star
-   steps on distributed tables, are the classes.
+   steps on distributed tables, are the classes. Nodes with very many links are joined
+   apart from the others.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, give_back, read, stored
+from .common import broadcast_if_small, columns_of, drop, fresh, give_back, read, row_bytes, stored
 from .exact_dedup import bit_filter, find_copies, keep_first, verdicts
+from .words import GOLDEN, as_strings, blocks, mixed, padded, window_hashes, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 8
 #: Buckets up to this size are compared as pairs, larger ones in blocks.
-PAIRED = 48
+PAIRED = 16
+#: Texts and bytes of a block's side.
 BLOCK = 512
-BLOCK_CHARS = 2_000_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BLOCK_BYTES = 2_000_000
+#: A node with over one of so many ends of links is joined apart.
+HUB_SHARE = 1024
+#: Bytes of text that are hashed together.
+TEXT_BYTES = 1_000_000
 _U = np.uint64
-_GOLDEN = _U(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The finaliser of SplitMix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -58,24 +56,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 1) * 2.0**-53
 
 
-def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array | Sequence[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Text number and 64-bit hash of every shingle, by text. A text with fewer
     words than ``width``, but at least one, is one shingle."""
-    words = [_WORD.findall(t or "") for t in texts]
-    words = [w if len(w) >= width or not w else [" ".join(w) + " "] + [""] * (width - 1) for w in words]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.empty(int(sizes.sum()), object)
-    flat[:] = [w for ws in words for w in ws]
-    codes, distinct = pd.factorize(flat)
-    doc = np.repeat(np.arange(len(words)), sizes)
-    if not len(flat):
-        return doc, np.zeros(0, np.uint64)
-    h = pd.util.hash_array(np.asarray(distinct, object), categorize=False)[codes]
-    out = np.full(max(0, len(h) - width + 1), 7, np.uint64)
-    for k in range(width):
-        out = mixed(out * _GOLDEN + h[k : len(h) - width + 1 + k])
-    inside = doc[: len(out)] == doc[width - 1 :]
-    return doc[: len(out)][inside], out[inside]
+    doc, _, h = window_hashes(*padded(*word_hashes(texts), width), width)
+    return doc, h
 
 
 def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,11 +97,11 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
     made, take = 0, 2
     while len(el):
         nth = np.arange(made + 1, made + take + 1, dtype=np.uint64)
-        point = mixed(seed[:, None] + nth * _GOLDEN)
+        point = mixed(seed[:, None] + nth * GOLDEN)
         when = clock[:, None] + np.cumsum(-np.log(unit(point)), axis=1) / rate[:, None]
         extra = mixed(point ^ _U(0xA5A5A5A5A5A5A5A5))
         where = owner[:, None] * registers + (extra % _U(registers)).astype(np.int64)
-        seen = low_of[:, None] + unit(mixed(extra + _GOLDEN)) * rate[:, None] <= top[:, None]
+        seen = low_of[:, None] + unit(mixed(extra + GOLDEN)) * rate[:, None] <= top[:, None]
         flat, t, ident = where[seen], when[seen], point[seen]
         np.minimum.at(times, flat, t)
         first = t == times[flat]
@@ -131,22 +116,24 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
 def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     out = np.zeros((len(sig), bands), np.uint64)
     for r in range(rows):
-        out = mixed(out * _GOLDEN + sig.reshape(len(sig), bands, rows)[:, :, r])
+        out = mixed(out * GOLDEN + sig.reshape(len(sig), bands, rows)[:, :, r])
     return out.view(np.int64)
 
 
-def copy_sets(texts: list[str | None]) -> list[np.ndarray]:
+def copy_sets(texts: pa.Array | Sequence[str | None]) -> list[np.ndarray]:
     """Sorted hashes of each text's shingles, where the second, third, ... copy of
     a shingle has a hash of its own: the Jaccard similarity of these sets is the
     weighted one of the multisets."""
-    doc, h = shingles(texts)
-    doc, h, n = counted(doc, h)
-    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    h = np.repeat(h, n)
-    h = np.where(nth > 0, mixed(h + nth.astype(np.uint64) * _GOLDEN), h)
-    doc = np.repeat(doc, n)
-    order = np.lexsort((h, doc))
-    return np.split(h[order], np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1]) if len(texts) else []
+    texts, out = as_strings(texts), []
+    for start, end in blocks(texts, TEXT_BYTES):
+        doc, h, n = counted(*shingles(texts.slice(start, end - start)))
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        h = np.repeat(h, n)
+        h = np.where(nth > 0, mixed(h + nth.astype(np.uint64) * GOLDEN), h)
+        doc = np.repeat(doc, n)
+        order = np.lexsort((h, doc))
+        out += np.split(h[order], np.cumsum(np.bincount(doc, minlength=end - start))[:-1])
+    return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -157,28 +144,23 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sign(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``id, bands`` of each row ``id, text`` that has a word."""
+    """``id, size, bands`` of each row ``id, text`` that has a word; ``size`` in bytes."""
     ids = dict(texts.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = batch.column("text").to_pylist()
-            start = 0
-            while start < len(said):
-                end, chars = start, 0
-                while end < len(said) and chars < BLOCK_CHARS:
-                    chars += len(said[end] or "")
-                    end += 1
-                doc, h, n = counted(*shingles(said[start:end]))
+            said = as_strings(batch.column("text"))
+            for start, end in blocks(said, TEXT_BYTES):
+                doc, h, n = counted(*shingles(said.slice(start, end - start)))
                 found = band_hashes(signatures(doc, h, n, end - start, bands * rows), bands, rows)
                 has = np.unique(doc)
                 values = pa.array(found[has].ravel(), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, bands), pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, end - start).take(pa.array(has)), lists], names=["id", "bands"])
-                start = end
+                mine = batch.slice(start, end - start).take(pa.array(has))
+                yield pa.RecordBatch.from_arrays([mine.column("id"), pc.binary_length(mine.column("text")).cast(pa.int64()), lists], names=["id", "size", "bands"])
         give_back()
 
-    return texts.mapInArrow(run, f"id {ids}, bands array<long>")
+    return texts.mapInArrow(run, f"id {ids}, size long, bands array<long>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -188,13 +170,12 @@ def compare(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
             hit = []
-            for start in range(0, len(a), 256):
-                end = min(start + 256, len(a))
-                said = list(dict.fromkeys([*ta[start:end], *tb[start:end]]))
-                sets = dict(zip(said, copy_sets(said), strict=True))
-                hit += [i for i in range(start, end) if similarity(sets[ta[i]], sets[tb[i]]) >= least]
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                said = pa.concat_arrays([part.column("ta"), part.column("tb")]).dictionary_encode()
+                sets, which = copy_sets(said.dictionary), said.indices.to_pylist()
+                hit += [start + i for i in range(part.num_rows) if similarity(sets[which[i]], sets[which[part.num_rows + i]]) >= least]
             took = pa.array(hit, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(took), batch.column("b").take(took)], names=["a", "b"])
         give_back()
@@ -202,9 +183,10 @@ def compare(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, f"a {ids}, b {ids}")
 
 
-def block_links(sets: list[np.ndarray], comps: list, least: float, columns: int = 4096) -> list[tuple[int, int]]:
+def block_links(sets: list[np.ndarray], comps: list, least: float, first: int | None = None, columns: int = 4096) -> list[tuple[int, int]]:
     """Links that join all components with a pair of similar texts; at most one
-    fewer than there are components. Counts of common shingles come from products
+    fewer than there are components. Of the texts, the ``first`` ones are compared with
+    the others, or all with each other. Counts of common shingles come from products
     of sparse blocks of the incidence matrix."""
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
@@ -213,7 +195,8 @@ def block_links(sets: list[np.ndarray], comps: list, least: float, columns: int
     _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
     both = times[col] > 1
     row, col = row[both], np.unique(col[both], return_inverse=True)[1]
-    common = np.zeros((n, n), np.float32)
+    top, low = (n, 0) if first is None else (first, first)
+    common = np.zeros((top, n - low), np.float32)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     width = int(col[-1]) + 1 if len(col) else 0
@@ -221,7 +204,7 @@ def block_links(sets: list[np.ndarray], comps: list, least: float, columns: int
         a, b = np.searchsorted(col, [start, start + columns])
         part = np.zeros((n, min(columns, width - start)), np.float32)
         part[row[a:b], col[a:b] - start] = 1
-        common += part @ part.T
+        common += part[:top] @ part[low:].T
     root = {c: c for c in comps}
 
     def find(c):
@@ -230,56 +213,79 @@ def block_links(sets: list[np.ndarray], comps: list, least: float, columns: int
             c = root[c]
         return c
 
-    union = sizes[:, None] + sizes[None, :] - common
+    union = sizes[:top, None] + sizes[None, low:] - common
+    near = (common >= least * union - 1e-3) & (union > 0)
     links = []
-    for i, j in zip(*np.nonzero(np.triu((common >= least * union - 1e-3) & (union > 0), 1)), strict=True):
-        if common[i, j] / union[i, j] >= least and (a := find(comps[i])) != (b := find(comps[j])):
+    for i, j in zip(*np.nonzero(np.triu(near, 1) if first is None else near), strict=True):
+        if common[i, j] / union[i, j] >= least and (a := find(comps[i])) != (b := find(comps[low + j])):
             root[a] = b
-            links.append((int(i), int(j)))
+            links.append((int(i), int(low + j)))
     return links
 
 
-def compare_blocks(rows: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Links between the components of large buckets: rows ``band, h, n, id, comp``.
-    A bucket is dealt into slices of about ``block`` texts by the hash of the id,
-    and each pair of slices is one task's group of at most about two slices."""
+def compare_blocks(rows: DataFrame, texts: DataFrame, least: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links between the components of large buckets: rows ``h, id, size, comp, main``,
+    where ``main`` is the bucket's largest component. Its texts and the others are dealt
+    by the hash of the id into slices of about ``block`` texts and at most about
+    ``block_bytes``; each slice of the others meets itself, every later one and every one
+    of ``main``, in one task's group."""
     ids = dict(rows.dtypes)["id"]
-    slices = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit("slice")), slices).cast("int")
-    dealt = (
-        rows.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp")
-        .join(texts.select("id", "text"), "id")
-    )
+    inside = F.col("comp") == F.col("main")
+    slices = lambda c: F.greatest(F.lit(1), F.ceil(F.count(F.when(c, 1)) / block), F.ceil(F.sum(F.when(c, F.col("size"))) / block_bytes)).cast("int")
+    plan = stored(rows.groupBy("h").agg(slices(inside).alias("mains"), slices(~inside).alias("others")), "bucket-slices")
+    rows = rows.join(broadcast_if_small(plan), "h")
+    own = F.pmod(F.xxhash64("id", F.lit("slice")), F.when(inside, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    upto = lambda a, b: F.sequence(a, b - 1)
+    zero = F.lit(0)
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), left.alias("left"))
+    as_main = F.transform(upto(zero, F.col("others")), lambda i: place(i, F.col("own"), F.lit(False)))
+    as_left = F.transform(upto(zero, F.col("mains") + F.col("others") - F.col("own")), lambda j: place(F.col("own"), F.when(j < F.col("mains"), j).otherwise(j + F.col("own")), F.lit(True)))
+    as_later = F.transform(F.filter(upto(zero, F.col("others")), lambda i: i < F.col("own")), lambda i: place(i, F.col("mains") + F.col("own"), F.lit(False)))
+    dealt = rows.withColumn("own", own).select("h", "id", "comp", F.explode(F.when(inside, as_main).otherwise(F.concat(as_left, as_later))).alias("at"))
+    dealt = dealt.select("h", "at.*", "id", "comp").join(texts.select("id", "text"), "id")
 
     def run(group: pa.Table) -> pa.Table:
-        sets = copy_sets(group.column("text").to_pylist())
-        links = block_links(sets, group.column("comp").to_pylist(), least)
+        group = group.sort_by([("left", "descending"), ("id", "ascending")])
+        first = pc.sum(group.column("left")).as_py()
+        sets = copy_sets(as_strings(group.column("text")))
+        links = block_links(sets, group.column("comp").to_pylist(), least, first if first < len(sets) else None)
         a, b = ([x[k] for x in links] for k in (0, 1))
         del sets
         give_back()
         return pa.table({"a": group.column("id").take(pa.array(a, pa.int64())), "b": group.column("id").take(pa.array(b, pa.int64()))})
 
-    return dealt.groupBy("band", "h", "i", "j").applyInArrow(run, f"a {ids}, b {ids}")
+    return dealt.groupBy("h", "i", "j").applyInArrow(run, f"a {ids}, b {ids}")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, limit: int | None = None) -> DataFrame:
     """``id, comp`` for every id of ``links`` (``a, b``) that is not the smallest
     of its connected component; ``comp`` is the smallest."""
     edges = stored(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "edges")
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
-        large = stored(large, "edges")
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v")
+        least = stored(both.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")).select("v", F.least("v", "m").alias("m"), "n"), "edges-least")
+        large = stored(_with_least(both.where("u > v"), least, limit).select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct(), "edges")
+        drop(edges, least)
+        least = stored(large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")), "edges-least")
+        small = _with_least(large, least, limit)
         small = small.select("v", F.col("m").alias("u")).unionByName(small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct()
         edges = stored(small, "edges")
+        drop(large, least)
     return edges.select(F.col("v").alias("id"), F.col("u").alias("comp"))
 
 
+def _with_least(edges: DataFrame, least: DataFrame, limit: int | None = None) -> DataFrame:
+    """``v, u, m``. Where ``least`` (``v, m, n``) is too large to broadcast, nodes that
+    have over one of ``HUB_SHARE`` of all ends, and so fewer than that many nodes, still
+    are; the others have few rows in any task."""
+    if row_bytes(least)[1] <= (8_000_000 if limit is None else limit):
+        return edges.join(F.broadcast(least.select("v", "m")), "v")
+    ends = least.agg(F.sum("n")).first()[0]
+    hub = F.col("n") * HUB_SHARE > ends
+    hubs = F.broadcast(least.where(hub).select("v", "m"))
+    return edges.join(hubs, "v").unionByName(edges.join(hubs, "v", "left_anti").join(least.where(~hub).select("v", "m"), "v"))
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether each ``v`` has one ``u`` only, and none is another edge's ``u``."""
     ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
@@ -295,35 +301,37 @@ def classes(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, row
     Ids should be unique and not null. ``lookup``: a table ``id, text`` that is
     cheaper to scan and holds at least the rows of ``texts``."""
     sig = stored(sign(texts, bands, rows), "signatures")
-    banded = sig.select("id", F.posexplode("bands").alias("band", "h"))
-    buckets = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(banded.join(buckets, ["band", "h"]), "buckets")
+    # Points belong to one register, so a hash belongs to one band.
+    banded = sig.select("id", "size", F.explode("bands").alias("h"))
+    at = F.struct(F.xxhash64("id", F.lit("pivot")), "id")
+    pivots = F.array_distinct(F.array(F.min("id"), F.min(at)["id"], F.max(at)["id"])).alias("pivots")
+    buckets = stored(banded.groupBy("h").agg(F.count(F.lit(1)).alias("n"), pivots).where("n > 1"), "buckets")
+    shared = stored(banded.join(broadcast_if_small(buckets), "h"), "bucket-rows")
+    drop(sig, buckets)
     ids = stored(shared.select("id").distinct(), "candidates")
-    n_ids = ids.count()
-    _, maybe = bit_filter(ids.select(F.col("id").alias("digest")), n_ids)
+    maybe = bit_filter(ids.select(F.col("id").alias("digest")), ids.count())
     texts = texts if lookup is None else lookup
-    texts = maybe(texts.withColumn("digest", F.col("id"))).drop("digest").join(broadcast_if_small(ids, n_ids), "id", "left_semi")
+    texts = maybe(texts.withColumn("digest", F.col("id"))).drop("digest").join(broadcast_if_small(ids), "id", "left_semi")
     texts = stored(texts, "candidate-texts")
-    at = F.struct(F.xxhash64("id", F.lit("pivot")), "id")
-    pivot = shared.groupBy("band", "h").agg(F.array(F.min("id"), F.min(at)["id"], F.max(at)["id"]).alias("pivots"))
-    with_pivot = shared.join(pivot, ["band", "h"]).select("id", F.explode(F.array_distinct("pivots")).alias("p")).where("id <> p")
+    with_pivot = shared.select("id", F.explode("pivots").alias("p")).where("id <> p")
     tested = stored(with_pivot.select(*_ordered(F.col("id"), F.col("p"))).distinct(), "pairs")
-    links = stored(compare(tested, texts, least), "links")
-    comp = components(links)
-    now = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = now.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
-    rest = stored(now.join(open_, ["band", "h"], "left_semi"), "open-buckets")
+    comp = stored(components(stored(compare(tested, texts, least), "links")), "components")
+    now = shared.select("h", "id", "size", "n").join(broadcast_if_small(comp), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    now = stored(now, "bucket-components")
+    parts = now.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+    open_ = stored(parts.groupBy("h").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "open-buckets")
+    rest = stored(now.join(broadcast_if_small(open_), "h"), "open-rows")
     few = rest.where(F.col("n") <= paired)
-    other = few.select("band", "h", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    pairs = few.join(other, ["band", "h"]).where("id < id2 and comp <> comp2").select(*_ordered(F.col("id"), F.col("id2"))).distinct()
+    other = few.select("h", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
+    pairs = few.join(other, "h").where("id < id2 and comp <> comp2").select(*_ordered(F.col("id"), F.col("id2"))).distinct()
     pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    more = [compare(pairs, texts, least)]
+    links = stored(comp.select(F.col("id").alias("b"), F.col("comp").alias("a")).unionByName(compare(pairs, texts, least)), "links")
     many = rest.where(F.col("n") > paired)
     if not many.isEmpty():
-        more.append(compare_blocks(many, texts, least, block))
-    for m in more:
-        links = links.unionByName(stored(m, "links"))
-    return components(links)
+        links = links.unionByName(stored(compare_blocks(many, texts, least, block), "links"))
+    out = components(links)
+    drop(shared, ids, texts, tested, comp, now, open_, rest, pairs)
+    return out
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -339,24 +347,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the same id share their links. Other columns are ignored. An empty table
     gives no rows.
     """
-    rows, _, linked = _classes(docs, id_col, text_col, options)
-    linked = linked.select(F.col("id").alias("keep_id"), "comp")
-    return rows.select("doc_id", "keep_id").join(linked, "keep_id", "left").select("doc_id", F.coalesce("comp", "keep_id").alias("class_id"))
-
-
-def _classes(docs: DataFrame, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     copies = find_copies(docs, id_col, text_col)
     first = keep_first(docs, id_col, text_col, copies)
     columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
     texts, every = (t.select(*columns).where("id is not null and text is not null") for t in (first, docs))
-    return verdicts(copies), first, stored(classes(texts, lookup=every, **options), "classes")
+    linked = stored(classes(texts, lookup=every, **options), "classes").select(F.col("id").alias("keep_id"), "comp")
+    return verdicts(copies).select("doc_id", "keep_id").join(broadcast_if_small(linked), "keep_id", "left").select("doc_id", F.coalesce("comp", "keep_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row with the smallest id of each class, with all columns of ``docs``."""
-    _, first, linked = _classes(docs, id_col, text_col, options)
-    gone = broadcast_if_small(linked.select(F.col("id").alias(id_col)))
-    return first.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The row with the smallest id of each class, with all columns of ``docs``, in which
+    exact dedup has left one row of equal texts (other copies of a text with words are
+    near copies like any).
+
+    Nulls and ties count as in ``near_dedup``: rows with a null id or without words all
+    stay. Rows with the same id stay or go together. Nothing of ``docs`` is overwritten
+    by names that clash. An empty table gives no rows.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    linked = stored(classes(texts, **options), "classes")
+    (gone,) = fresh(docs, "gone")
+    linked = broadcast_if_small(linked.select(F.col("id").alias(gone)))
+    return docs.join(linked, docs[id_col] == F.col(gone), "left_anti").select(*columns_of(docs))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

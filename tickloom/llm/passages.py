@@ -6,7 +6,9 @@
    two texts that have k windows in common share none of these with probability
    0.75 ** k.
 2. A seed's documents are joined with the smallest document that has it, its
-   pivot; a seed in n documents gives n - 1 pairs.
+   pivot; a seed in n documents gives n - 1 pairs. Pairs go on whose seeds are two
+   windows at least: 50 equal words have 15 on average, and 40 of 50 words with edits
+   between them about four.
 3. Partners of a pivot are dealt into blocks, and each block meets its pivot's text
    once. There the longest runs of five or more equal words, from every place of the
    text to every place of the pivot, are segments. They are found by their first and
@@ -24,55 +26,31 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, read, stored
+from .common import broadcast_if_small, drop, give_back, read, stored
 from .exact_dedup import bit_filter
-from .near_dedup import _GOLDEN, mixed
+from .words import GOLDEN, as_strings, blocks, mixed, window_hashes, word_hashes
 
 SEED_WORDS = 5
 SEED_WINDOW = 16
 #: One of so many windows is a seed whatever is beside it.
 SEED_SHARE = 4
+#: Windows that are seeds in common with a pivot, so that the two texts are compared.
+SEEDS_IN_COMMON = 2
 MATCH_WORDS = 5
 MIN_WORDS = 50
 MIN_SIMILARITY = 0.8
 GAP_COST = 0.25
 #: Partners of a pivot in one block.
 PARTNERS = 256
-BLOCK_CHARS = 4_000_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words of each text, and the hashes of all words in order."""
-    words = [_WORD.findall(t or "") for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.empty(int(sizes.sum()), object)
-    flat[:] = [w for ws in words for w in ws]
-    if not len(flat):
-        return sizes, np.zeros(0, np.uint64)
-    codes, distinct = pd.factorize(flat)
-    return sizes, pd.util.hash_array(np.asarray(distinct, object), categorize=False)[codes]
-
-
-def window_hashes(sizes: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place and hash of every window of ``width`` words."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    n = max(0, len(h) - width + 1)
-    out = np.full(n, 7, np.uint64)
-    for k in range(width):
-        out = mixed(out * _GOLDEN + h[k : k + n])
-    inside = doc[:n] == doc[len(h) - n :] if n else np.zeros(0, bool)
-    return doc[:n][inside], place[:n][inside], out[inside]
+#: Bytes of text that are hashed together.
+BLOCK_BYTES = 1_000_000
 
 
 def _rolling(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -85,11 +63,12 @@ def _rolling(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
-def seeds(texts: list[str | None], width: int = SEED_WORDS, window: int = SEED_WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of the distinct seeds of each text."""
+def seeds(texts: pa.Array | Sequence[str | None], width: int = SEED_WORDS, window: int = SEED_WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and hash of the distinct seeds of each text, and how many of its windows they
+    are."""
     doc, _, h = window_hashes(*word_hashes(texts), width)
     if not len(h):
-        return doc, h
+        return doc, h, doc
     h = h >> np.uint64(1)
     top = np.uint64(2**64 - 1)
     at = np.arange(len(h)) + (doc + 1) * window
@@ -104,7 +83,7 @@ def seeds(texts: list[str | None], width: int = SEED_WORDS, window: int = SEED_W
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], h[new]
+    return doc[new], h[new], np.diff(np.append(np.flatnonzero(new), len(h)))
 
 
 class Fenwick:
@@ -185,8 +164,11 @@ def parts(own: list[Segment], a: np.ndarray, b: np.ndarray, min_words: int, leas
     """Start and end in the document and in the pivot, and words in common, of the
     parts of a chain that are passages: the whole if it is one, else disjoint runs of
     its segments with the most words in common, as few as have them."""
+    if own[-1][0] + own[-1][2] - own[0][0] < min_words:
+        return []
     i, j, n = np.array(own).T
-    if i[-1] + n[-1] - i[0] < min_words:
+    room = np.minimum(i[1:] - i[:-1] - n[:-1], j[1:] - j[:-1] - n[:-1])
+    if n.sum() + room.sum() < least * min_words:
         return []
     gaps = [common_words(a[x + m : y].tolist(), b[z + m : w].tolist()) for x, y, z, w, m in zip(i[:-1], i[1:], j[:-1], j[1:], n[:-1], strict=True)]
     # Words in common before each segment, the gap before it included.
@@ -240,9 +222,9 @@ def unlike_beside(h: np.ndarray, side: np.ndarray, h_p: np.ndarray, side_p: np.n
     new[1:] = (hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])
     begin = np.flatnonzero(new)
     ends = np.append(begin[1:], len(hs))
-    keys = mixed(hs[begin] * _GOLDEN + ss[begin])
+    keys = mixed(hs[begin] * GOLDEN + ss[begin])
     by_key = np.argsort(keys)
-    mine = mixed(h[hit] * _GOLDEN + side[hit])
+    mine = mixed(h[hit] * GOLDEN + side[hit])
     group = by_key[np.minimum(np.searchsorted(keys, mine, sorter=by_key), len(keys) - 1)]
     same = keys[group] == mine
     # All places of the window but those in a row that have the same word beside it.
@@ -326,7 +308,7 @@ def covering(found: list[tuple[int, int, int, int, int]], size: int) -> list[tup
     return sorted(out)
 
 
-def passages(pivot: str, texts: list[str], min_words: int = MIN_WORDS, least: float = MIN_SIMILARITY, width: int = MATCH_WORDS) -> list[tuple[int, int, int, int, int, int]]:
+def passages(pivot: str, texts: pa.Array | Sequence[str], min_words: int = MIN_WORDS, least: float = MIN_SIMILARITY, width: int = MATCH_WORDS) -> list[tuple[int, int, int, int, int, int]]:
     """Text number, start, end, start and end in the pivot, words in common. Runs of
     equal words are matched at every place of the pivot."""
     _, words_p = word_hashes([pivot])
@@ -354,14 +336,14 @@ def rolling_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each ``width`` words in a row, in the same time for any width."""
     if len(h) < width:
         return np.zeros(0, np.uint64)
-    power = np.cumprod(np.append(np.uint64(1), np.full(len(h), _GOLDEN)))
-    inverse = np.uint64(pow(int(_GOLDEN), -1, 2**64))
+    power = np.cumprod(np.append(np.uint64(1), np.full(len(h), GOLDEN)))
+    inverse = np.uint64(pow(int(GOLDEN), -1, 2**64))
     sums = np.append(np.uint64(0), np.cumsum(mixed(h) * power[:-1]))
     shift = np.cumprod(np.append(np.uint64(1), np.full(len(h) - width, inverse)))
     return mixed((sums[width:] - sums[:-width]) * shift)
 
 
-def open_windows(texts: list[str | None], done: list[list[dict] | None], n: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def open_windows(texts: pa.Array | Sequence[str | None], done: list[list[dict] | None], n: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, part and hash of each ``n`` words in a row that are not all in one of the
     passages ``done``. The part is the hash of somewhat more than half of these words:
     those up to or from their least seed window. Equal words have equal parts, and
@@ -394,14 +376,9 @@ def open_table(docs: DataFrame, n: int, parts: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, done = batch.column("text").to_pylist(), batch.column("done").to_pylist()
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and chars < BLOCK_CHARS:
-                    chars += len(texts[end] or "")
-                    end += 1
-                doc, part, h = open_windows(texts[start:end], done[start:end], n)
+            texts, done = as_strings(batch.column("text")), batch.column("done").to_pylist()
+            for start, end in blocks(texts, BLOCK_BYTES):
+                doc, part, h = open_windows(texts.slice(start, end - start), done[start:end], n)
                 if parts:
                     h = part
                 else:
@@ -414,7 +391,7 @@ def open_table(docs: DataFrame, n: int, parts: bool) -> DataFrame:
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc[new] + start)), pa.array(h[new].astype(np.int64))], names=["id", "digest"])
-                start = end
+        give_back()
 
     return docs.mapInArrow(run, f"id {ids}, digest long")
 
@@ -434,9 +411,8 @@ def open_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, min_words: i
     docs = rows.join(broadcast_if_small(done), "id", "left")
     table = stored(open_table(docs, min_words, True), "open-parts")
     several = stored(table.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("digest"), "open-shared")
-    n = several.count()
-    _, maybe = bit_filter(several, n)
-    kept = maybe(table).join(broadcast_if_small(several, n), "digest", "left_semi").groupBy("id").agg(F.collect_set("digest").alias("kept"))
+    maybe = bit_filter(several, several.count())
+    kept = maybe(table).join(broadcast_if_small(several), "digest", "left_semi").groupBy("id").agg(F.collect_set("digest").alias("kept"))
     kept = stored(kept, "open-kept")
     windows = stored(open_table(docs.join(broadcast_if_small(kept), "id"), min_words, False), "open-windows")
     pivots = windows.groupBy("digest").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").drop("top")
@@ -445,29 +421,36 @@ def open_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, min_words: i
 
 
 def seed_table(docs: DataFrame) -> DataFrame:
-    """``id, digest`` of all seeds of the rows ``id, text``."""
+    """``id, digest, n`` of all seeds of the rows ``id, text``; ``n`` windows of the text
+    are the seed."""
     ids = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and chars < BLOCK_CHARS:
-                    chars += len(texts[end] or "")
-                    end += 1
-                doc, h = seeds(texts[start:end])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc + start)), pa.array(h.astype(np.int64))], names=["id", "digest"])
-                start = end
-
-    return docs.mapInArrow(run, f"id {ids}, digest long")
+            texts = as_strings(batch.column("text"))
+            for start, end in blocks(texts, BLOCK_BYTES):
+                doc, h, n = seeds(texts.slice(start, end - start))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc + start)), pa.array(h.astype(np.int64)), pa.array(n, pa.int64())], names=["id", "digest", "n"])
+        give_back()
+
+    return docs.mapInArrow(run, f"id {ids}, digest long, n long")
+
+
+def repeated_seeds(docs: DataFrame) -> DataFrame:
+    """``id, digest, n`` of the seeds that several rows have. Of most seeds, which one row
+    has only, no more than the digest is shuffled."""
+    table = seed_table(docs)
+    several = stored(table.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "seeds-repeated")
+    maybe = bit_filter(several, several.count())
+    out = stored(maybe(table).join(broadcast_if_small(several), "digest", "left_semi"), "seeds")
+    drop(several)
+    return out
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = MIN_SIMILARITY, partners: int = PARTNERS) -> DataFrame:
     """``doc_id, start_word, end_word, other_id, other_start, other_end, words``:
     one row for each passage that a document shares with a pivot, a document with a
-    smaller id; ``words`` of them are in common. The pivot's passage is the one to
+    smaller id, but for those inside a passage that it shares with a still smaller one; ``words`` of them are in common. The pivot's passage is the one to
     keep, the document's the one to cut.
 
     Null and short texts share nothing. Rows with a null id are left out. Of rows
@@ -476,44 +459,51 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    table = stored(seed_table(rows), "seeds")
-    pivots = table.groupBy("digest").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").drop("top")
-    pivots = stored(pivots, "seed-pivots")
-    _, maybe = bit_filter(pivots, pivots.count())
-    pairs = stored(maybe(table).join(pivots, "digest").where("id <> pivot").select("pivot", "id").distinct(), "seed-pairs")
+    table = repeated_seeds(rows)
+    least_of = F.min(F.struct("id", "n"))
+    pivots = table.groupBy("digest").agg(least_of["id"].alias("pivot"), least_of["n"].alias("pivot_n"), F.max("id").alias("top"))
+    pivots = stored(pivots.where("pivot <> top").drop("top"), "seed-pivots")
+    met = table.join(broadcast_if_small(pivots), "digest").where("id <> pivot").groupBy("pivot", "id").agg(F.sum(F.least("n", "pivot_n")).alias("n"))
+    pairs = stored(met.where(F.col("n") >= SEEDS_IN_COMMON).select("pivot", "id"), "seed-pairs")
+    drop(table, pivots)
     found = stored(compared(rows, pairs, min_words, least, partners), "passages-found")
     more = open_pairs(rows, found, pairs, min_words)
-    return found.unionByName(compared(rows, more, min_words, least, partners))
+    return by_smallest(stored(found.unionByName(compared(rows, more, min_words, least, partners)), "passages"))
+
+
+def by_smallest(found: DataFrame) -> DataFrame:
+    """Without passages that lie in one that the document shares with a smaller document:
+    seeds at the ends of a passage depend on the words beside it, so that a document can
+    meet several that hold the same passage."""
+    other = found.select(F.col("doc_id").alias("doc2"), F.col("other_id").alias("other2"), F.col("start_word").alias("start2"), F.col("end_word").alias("end2"))
+    inside = (F.col("other2") < F.col("other_id")) & (F.col("start2") <= F.col("start_word")) & (F.col("end2") >= F.col("end_word"))
+    return found.join(other, (F.col("doc_id") == F.col("doc2")) & inside, "left_anti")
 
 
 def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, partners: int) -> DataFrame:
     """The passages that documents share with their pivots, by stored ``pivot, id``."""
     ids = dict(rows.dtypes)["id"]
-    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / partners).cast("int").alias("blocks"))
-    blocks = stored(blocks, "pivot-blocks")
-    needed = stored(pairs.select("id").unionByName(blocks.select(F.col("pivot").alias("id"))).distinct(), "passage-ids")
-    n = needed.count()
-    _, having = bit_filter(needed.select(F.col("id").alias("digest")), n)
-    texts = having(rows.withColumn("digest", F.col("id"))).drop("digest").join(broadcast_if_small(needed, n), "id", "left_semi")
+    dealt = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / partners).cast("int").alias("blocks"))
+    dealt = stored(dealt, "pivot-blocks")
+    needed = stored(pairs.select("id").unionByName(dealt.select(F.col("pivot").alias("id"))).distinct(), "passage-ids")
+    having = bit_filter(needed.select(F.col("id").alias("digest")), needed.count())
+    texts = having(rows.withColumn("digest", F.col("id"))).drop("digest").join(broadcast_if_small(needed), "id", "left_semi")
     texts = stored(texts, "passage-texts")
-    few = broadcast_if_small(blocks)
+    few = broadcast_if_small(dealt)
     left = pairs.join(few, "pivot").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), "blocks").cast("int"))
-    left = left.join(texts, "id").select("pivot", "block", "id", "text")
-    right = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = right.join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    # Groups cost far more than their bytes say, so adaptive plans should not merge them.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.join(texts, "id").select("pivot", "block", "id", "text").repartition(tasks, "pivot", "block")
+    right = dealt.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = right.join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot").repartition(tasks, "pivot", "block")
     kind = f"doc_id {ids}, start_word long, end_word long, other_id {ids}, other_start long, other_end long, words long"
 
     def run(mine: pa.Table, pivot: pa.Table) -> pa.Table:
-        ids_, texts_, found = mine.column("id"), mine.column("text").to_pylist(), []
+        ids_, found = mine.column("id"), []
+        texts_ = as_strings(mine.column("text")) if len(ids_) else pa.array([], pa.string())
         for text in pivot.column("pivot_text").to_pylist() if len(texts_) else ():
-            start = 0
-            while start < len(texts_):
-                end, chars = start, 0
-                while end < len(texts_) and chars < BLOCK_CHARS:
-                    chars += len(texts_[end])
-                    end += 1
-                found += [(start + t, *rest) for t, *rest in passages(text, texts_[start:end], min_words, least)]
-                start = end
+            for start, end in blocks(texts_, BLOCK_BYTES):
+                found += [(start + t, *rest) for t, *rest in passages(text, texts_.slice(start, end - start), min_words, least)]
         cols = list(zip(*found, strict=True)) or [()] * 6
         long = [pa.array(c, pa.int64()) for c in cols]
         return pa.table({
