@@ -28,7 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the smallest doc_id stays."""
+    """Of each class of near duplicates, the smallest doc_id stays. The stage before has
+    left one row of equal texts."""
     return keep_one(docs)
 
 
