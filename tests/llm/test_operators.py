@@ -168,15 +168,13 @@ def test_clean_documents_stay(spark):
 # Language
 
 
-def brute_phrases(text, reference, lane):
-    n = 0
-    for start in range(0, len(text), lane):
-        part, at = text[start : start + lane], 0
-        while at < len(part):
-            size = 1
-            while at + size < len(part) and part[at : at + size + 1] in reference:
-                size += 1
-            n, at = n + 1, at + size
+def brute_phrases(text, reference):
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in reference:
+            size += 1
+        n, at = n + 1, at + size
     return n
 
 
@@ -189,10 +187,38 @@ def test_cross_parsing():
     code = {" ": 0} | {c: i + 1 for i, c in enumerate(letters)}
     tables = [language_id.automaton([code[c] for c in ref], len(letters) + 2) for ref in refs]
     codes, sizes = language_id.encode_texts(texts, language_id.encoder(letters))
-    got = language_id.count_phrases(codes, sizes, tables, lane=50)
     plain = [language_id.letters_of(t or "") for t in texts]
     assert sizes.tolist() == list(map(len, plain))
-    assert got.tolist() == [[brute_phrases(t, ref, 50) for ref in refs] for t in plain]
+    for lane, warm_up in ((50, 10), (50, 0), (7, 3), (1024, 48)):
+        got = language_id.count_phrases(codes, sizes, tables, lane, warm_up)
+        assert got.tolist() == [[brute_phrases(t, ref) for ref in refs] for t in plain]
+
+
+def test_automaton_of_many_letters():
+    """All transitions have a place, and no others are found."""
+    r = random.Random(4)
+    for letters, n in ((3, 500), (900, 3000), (1, 40), (5, 0)):
+        codes = [r.randrange(letters) for _ in range(n)]
+        a, nexts = language_id.automaton(codes, letters + 1), language_id.transitions(codes)
+        for s, row in enumerate(nexts):
+            got = a.step(np.full(letters + 1, s), np.arange(letters + 1))
+            assert {c: t for c, t in enumerate(got.tolist()) if t} == row
+
+
+def test_languages_of_many_scripts(spark):
+    """Three languages that share Latin letters, and two with some thousands of their own."""
+    r = random.Random(8)
+    alphabets = {"a": "abcdefghijklmnop", "b": "ghijklmnopqrstuv", "c": "aeioumnprstlkdgb", "zh": [chr(0x4E00 + k) for k in range(2500)], "ko": [chr(0xAC00 + 3 * k) for k in range(2500)]}
+    lexicon = {k: ["".join(r.choice(v) for _ in range(r.randint(2, 6))) for _ in range(700)] for k, v in alphabets.items()}
+    rows = [(k, " ".join(r.choice(lexicon[lang]) for _ in range(r.randint(30, 400))), lang, None) for k, lang in enumerate(list(alphabets) * 60)]
+    truth = {k: lang for k, _, lang, _ in rows}
+    got = [x for x in language_id.identify(docs(spark, rows)).collect() if x.held_out]
+    for lang in alphabets:
+        mine = [x.lang_pred == lang for x in got if truth[x.doc_id] == lang]
+        assert len(mine) > 10 and sum(mine) >= 0.95 * len(mine)
+    other = docs(spark, [*rows, (9000, "שלום עולם " * 20, None, None), (9001, rows[0][1], None, None)])
+    kept = {x.doc_id: x.lang for x in language_id.keep_identified(other).collect()}
+    assert 9000 not in kept and kept[9001] == rows[0][2] and len(kept) == len(rows) + 1
 
 
 def test_language_id(spark):

@@ -1,50 +1,89 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton of a bounded reference text per language is built from labelled
-documents. A text is parsed greedily into the longest phrases that occur in a
-language's reference; the language that needs the fewest phrases, normalised by
-the reference's length, wins. Automata are dense tables that all documents of a
-batch walk in lock step.
+A suffix automaton of a sample of whole labelled texts is built per language. A text is
+parsed greedily into the longest phrases that occur in a language's sample; the
+language that needs the fewest phrases, normalised by the sample's length, wins. Every
+letter of any sample has a code of its own, so scripts do not compete for places. The
+transitions of an automaton lie in a hash table with two places for each, so that its
+size grows with the sample and not with the alphabet.
+
+All texts of a batch are walked in lock step, long ones in lanes. A lane starts in the
+state that some letters before it lead to, and is walked again from the state in which
+the lane before it really ends where that is another one, until all agree: the phrases
+are those of the whole text.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, give_back, read, stored
-
-#: Bounds of the training sample: documents per language, characters of each, and
-#: characters of a language's reference in all.
-DOCS_PER_LANG = 64
-CHARS_PER_DOC = 2048
-REFERENCE_CHARS = 32_768
-#: Letters of the automata; rarer ones match nothing.
-LETTERS = 60
-#: A phrase does not run on past this many characters of a text.
+from .common import broadcast_if_small, columns_of, give_back, read, stored
+from .words import as_strings, blocks
+
+#: Bounds of the training sample: labelled documents per language and of all languages,
+#: and the characters of a document that may be in it. Documents are taken whole.
+DOCS_PER_LANG = 32
+DOCS = 1024
+DOC_CHARS = 8192
+#: A model may be broadcast up to this size; the bounds above keep it below for texts of
+#: ordinary length.
+MODEL_BYTES = 400_000_000
+#: Letters of a lane, and letters before it that lead to its first state.
 LANE = 1024
-BLOCK_CHARS = 2_000_000
+WARM_UP = 48
+BLOCK_BYTES = 1_000_000
 UNKNOWN = "und"
 
 
+def places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each key in a table of ``size``, a power of two."""
+    shift = np.uint64(64 - size.bit_length() + 1)
+    x = keys.astype(np.uint64)
+    return (x * np.uint64(0x9E3779B97F4A7C15)) >> shift, (x * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift
+
+
+@dataclass(frozen=True)
+class Automaton:
+    """``keys`` holds ``state * width + letter`` of each transition at one of its two
+    places, and ``to`` the next state there. State 0 is the root, where nothing leads;
+    ``root`` has its transitions by letter."""
+
+    width: int
+    keys: np.ndarray
+    to: np.ndarray
+    root: np.ndarray
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + code
+        one, two = places(key, len(self.keys))
+        return np.where(self.keys[one] == key, self.to[one], np.where(self.keys[two] == key, self.to[two], 0))
+
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.to.nbytes + self.root.nbytes
+
+
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
     letters: str
-    tables: list[np.ndarray]
+    automata: list[Automaton]
     bits: list[float]
 
+    def nbytes(self) -> int:
+        return sum(a.nbytes() for a in self.automata)
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton: row by state, column by symbol. State 0
-    is the root; since nothing leads to the root, 0 also says that there is no
-    transition."""
+
+def transitions(codes: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton's transitions, by state."""
     link, length, nexts = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -70,11 +109,39 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    table = np.zeros((len(nexts), width), np.int32)
-    for s, out in enumerate(nexts):
-        for c, to in out.items():
-            table[s, c] = to
-    return table
+    return nexts
+
+
+def automaton(codes: list[int], width: int) -> Automaton:
+    """Codes are below ``width``. Each transition goes to its first place, and one that
+    is there already to its other one, and so on until all have a place."""
+    nexts = transitions(codes)
+    keys = np.fromiter((s * width + c for s, out in enumerate(nexts) for c in out), np.int64)
+    to = np.fromiter((t for out in nexts for t in out.values()), np.int32, len(keys))
+    size = 1 << max(4, int(np.ceil(np.log2(2.5 * len(keys) + 1))))
+    while True:
+        both = np.stack(places(keys, size)).astype(np.int64)
+        table, side = np.full(size, -1), np.zeros(len(keys), np.int64)
+        waiting = np.arange(len(keys))
+        for _ in range(500):
+            at = both[side[waiting], waiting]
+            before = np.unique(table[at])
+            table[at] = waiting
+            out = waiting[table[at] != waiting]
+            waiting = np.concatenate((out, before[before >= 0]))
+            if not len(waiting):
+                break
+            side[waiting] ^= 1
+        if not len(waiting):
+            break
+        size *= 2
+    has = table >= 0
+    out_keys, out_to = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+    out_keys[has], out_to[has] = keys[table[has]], to[table[has]]
+    root = np.zeros(width, np.int32)
+    for c, t in nexts[0].items():
+        root[c] = t
+    return Automaton(width, out_keys, out_to, root)
 
 
 def letters_of(text: str) -> str:
@@ -82,45 +149,56 @@ def letters_of(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def training_sample(
-    docs: DataFrame, held_out: Column, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
-) -> DataFrame:
-    """``lang, text`` of about ``docs_per_lang`` labelled documents per language
-    with the smallest hashes of their ids. Counts set the hash limit for each
-    language, so that the sample is taken by a filter in one scan."""
+def training_sample(docs: DataFrame, held_out: Column, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``lang, at, text`` of about ``docs_per_lang`` labelled documents per language, and at
+    most about ``DOCS`` in all, with the smallest hashes of their ids. Whole documents of
+    at most ``DOC_CHARS`` characters; where a language has none so short, one of any
+    length. Counts set the hash limit for each language, so that the sample is taken by
+    a filter in one scan."""
     rows = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"),
         (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)).alias("at"),
-        F.substring(F.col(text_col), 1, chars_per_doc).alias("text"),
+        (F.length(text_col) <= DOC_CHARS).alias("short"),
+        F.col(text_col).alias("text"),
     )
-    counts = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
-    return rows.join(broadcast_if_small(counts), "lang").where(F.col("at") * F.col("n") < docs_per_lang).select("lang", "at", "text")
-
-
-def fit(sample: DataFrame, reference_chars: int = REFERENCE_CHARS, letters: int = LETTERS) -> Model:
-    """The automata, from ``training_sample``. The sample is bounded by its
-    parameters for each language, and gathered on the driver."""
-    texts: dict[str, list[str]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["at"], r["text"])):
-        texts.setdefault(row["lang"], []).append(letters_of(row["text"]))
-    refs = {lang: " ".join(x for x in own if x)[:reference_chars] for lang, own in sorted(texts.items())}
-    refs = {lang: ref for lang, ref in refs.items() if ref}
-    seen: dict[str, int] = {}
-    for ref in refs.values():
-        for c in set(ref) - {" "}:
-            seen[c] = seen.get(c, 0) + ref.count(c)
-    known = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:letters]))
+    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("n_short"))
+    counts = stored(n, "lang-counts")
+    each = max(1, min(docs_per_lang, DOCS // max(1, counts.count())))
+    short = F.col("short") & (F.col("at") * F.col("n_short") < each)
+    some = F.when(F.col("n_short") > 0, short).otherwise(F.col("at") * F.col("n") < 1)
+    return rows.join(broadcast_if_small(counts), "lang").where(some).select("lang", "at", "text")
+
+
+def fit(sample: DataFrame) -> Model:
+    """The automata, from ``training_sample``, each language's in a task of its own. The
+    sample is bounded by its parameters, and so are the model and what the driver gets."""
+    sample = stored(sample, "lang-sample")
+    letters = sample.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).distinct()
+    known = "".join(sorted({c for r in letters.collect() for c in r["c"].lower() if c.isalpha()}))
     code = {" ": 0} | {c: i + 1 for i, c in enumerate(known)}
-    width = len(known) + 2
-    tables = [automaton([code.get(c, width - 1) for c in ref], width) for ref in refs.values()]
-    for t in tables:
-        t[:, width - 1] = 0
-    return Model(list(refs), known, tables, [math.log2(len(r) + 1) for r in refs.values()])
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("at").to_pylist(), group.column("text").to_pylist(), strict=True))
+        ref = " ".join(x for x in (letters_of(t) for _, t in rows) if x)
+        lang = group.column("lang")[0].as_py()
+        if not ref:
+            return pa.table({"lang": pa.array([], pa.string()), "bits": pa.array([], pa.float64()), "automaton": pa.array([], pa.binary())})
+        found = pickle.dumps(automaton([code[c] for c in ref], len(known) + 2))
+        give_back()
+        return pa.table({"lang": [lang], "bits": [math.log2(len(ref) + 1)], "automaton": pa.array([found], pa.binary())})
+
+    got = sorted(sample.groupBy("lang").applyInArrow(build, "lang string, bits double, automaton binary").collect(), key=lambda r: r["lang"])
+    model = Model([r["lang"] for r in got], known, [pickle.loads(r["automaton"]) for r in got], [r["bits"] for r in got])
+    if model.nbytes() > MODEL_BYTES:
+        raise ValueError(f"the model has {model.nbytes()} bytes, over {MODEL_BYTES}: lower docs_per_lang")
+    return model
 
 
+@lru_cache(maxsize=1)
 def encoder(letters: str) -> np.ndarray:
-    """Code of each code point: 0 for what is no letter, the last for rare ones."""
-    table = np.zeros(0x110000, np.uint8)
+    """Code of each code point: 0 for what is no letter, the last for letters that no
+    sample has."""
+    table = np.zeros(0x110000, np.uint16 if len(letters) < 65_000 else np.uint32)
     table[[i for i in range(0x110000) if chr(i).isalpha()]] = len(letters) + 1
     for i, c in enumerate(letters):
         table[ord(c)] = i + 1
@@ -132,10 +210,11 @@ def encode_texts(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray
     at the ends; and each text's length."""
     low = [(t or "").lower() + " " for t in texts]
     codes = table[np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    doc = np.repeat(np.arange(len(low)), [len(t) for t in low])
+    doc = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) for t in low])
     first = np.ones(len(codes), bool)
     first[1:] = doc[1:] != doc[:-1]
-    before = np.concatenate([np.zeros(1, np.uint8), codes[:-1]])
+    before = np.zeros_like(codes)
+    before[1:] = codes[:-1]
     keep = (codes > 0) | ((before > 0) & ~first)
     codes, doc = codes[keep], doc[keep]
     last = np.ones(len(codes), bool)
@@ -144,9 +223,30 @@ def encode_texts(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray
     return codes[keep], np.bincount(doc[keep], minlength=len(low))
 
 
-def count_phrases(codes: np.ndarray, sizes: np.ndarray, tables: list[np.ndarray], lane: int = LANE) -> np.ndarray:
+def walk(a: Automaton, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state after each range of codes, and how many phrases begin in it."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes, state = starts[order], sizes[order], states[order]
+    count = np.zeros(len(sizes), np.int64)
+    top = int(sizes[0]) if len(sizes) else 0
+    active = np.searchsorted(-sizes, -np.arange(top), side="left")
+    for t in range(top):
+        n = active[t]
+        c = codes[starts[:n] + t]
+        s = state[:n]
+        to = a.step(s, c)
+        new = np.flatnonzero((to == 0) | (s == 0))
+        count[new] += 1
+        to[new] = a.root[c[new]]
+        state[:n] = to
+    ends, counts = np.empty_like(state), np.empty_like(count)
+    ends[order], counts[order] = state, count
+    return ends, counts
+
+
+def count_phrases(codes: np.ndarray, sizes: np.ndarray, automata: list[Automaton], lane: int = LANE, warm_up: int = WARM_UP) -> np.ndarray:
     """Phrases per text (row) and language (column)."""
-    out = np.zeros((len(sizes), len(tables)), np.int64)
+    out = np.zeros((len(sizes), len(automata)), np.int64)
     lanes = -(-sizes // lane)
     if not lanes.sum():
         return out
@@ -154,70 +254,53 @@ def count_phrases(codes: np.ndarray, sizes: np.ndarray, tables: list[np.ndarray]
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
     starts = np.repeat(np.cumsum(sizes) - sizes, lanes) + nth * lane
     lengths = np.minimum(lane, np.repeat(sizes, lanes) - nth * lane)
-    order = np.argsort(-lengths, kind="stable")
-    doc, starts, lengths = doc[order], starts[order], lengths[order]
-    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    states = [np.zeros(len(doc), np.int32) for _ in tables]
-    counts = [np.zeros(len(doc), np.int32) for _ in tables]
-    flat = [t.ravel() for t in tables]
-    width = tables[0].shape[1]
-    for t in range(int(lengths[0])):
-        n = active[t]
-        c = codes[starts[:n] + t].astype(np.int32)
-        for table, state, count in zip(flat, states, counts, strict=True):
-            s = state[:n]
-            to = table[s * width + c]
-            new = np.flatnonzero((to == 0) | (s == 0))
-            count[new] += 1
-            to[new] = table[c[new]]
-            state[:n] = to
-    for k, count in enumerate(counts):
+    later = np.flatnonzero(nth > 0)
+    for k, a in enumerate(automata):
+        begin = np.zeros(len(doc), np.int32)
+        # All lanes before a later one are whole, so letters before it are of its text.
+        begin[later], _ = walk(a, codes, starts[later] - min(warm_up, lane), np.full(len(later), min(warm_up, lane)), begin[later])
+        end, count = walk(a, codes, starts, lengths, begin)
+        while len(wrong := later[begin[later] != end[later - 1]]):
+            begin[wrong] = end[wrong - 1]
+            end[wrong], count[wrong] = walk(a, codes, starts[wrong], lengths[wrong], begin[wrong])
         out[:, k] = np.bincount(doc, weights=count, minlength=len(sizes))
     return out
 
 
-def decide(model: Model, phrases: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The language with the smallest entropy (the first by name of equal ones),
-    and how far, relatively, it is ahead of the second."""
+def decide(model: Model, phrases: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language with the smallest entropy (the first by name of equal ones), how
+    far, relatively, it is ahead of the second, and the bits a letter of all phrases
+    but the first."""
     if not model.langs:
-        return [UNKNOWN] * len(sizes), np.zeros(len(sizes))
+        return [UNKNOWN] * len(sizes), np.zeros(len(sizes)), np.full(len(sizes), np.inf)
     cost = phrases * np.array(model.bits) / np.maximum(sizes, 1)[:, None]
     best = np.argmin(cost, axis=1)
     ranked = np.sort(cost, axis=1)
     second = ranked[:, 1] if len(model.langs) > 1 else np.full(len(sizes), max(model.bits))
     score = np.where(sizes > 0, 1 - ranked[:, 0] / np.maximum(second, 1e-12), 0.0)
-    return [model.langs[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)], np.clip(score, 0, 1)
+    rest = cost[np.arange(len(best)), best] - np.array(model.bits)[best] / np.maximum(sizes, 1)
+    return [model.langs[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)], np.clip(score, 0, 1), rest
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without its text, with ``lang_pred`` and ``score``. A text that is
-    null or has no letter is ``und`` with score 0. ``docs`` should hold only the
-    text and what identifies its rows."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without its text, with ``lang_pred``, ``score`` and ``entropy`` (as
+    ``decide`` has them). A text that is null or has no letter is ``und`` with score 0. ``docs``
+    should hold only the text and what identifies its rows."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     carried = [c for c in docs.columns if c != text_col]
-    schema = docs.select(*carried).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = docs.select(*carried).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "entropy": F.lit(0.0)}).schema
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         table = encoder(m.letters)
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            langs: list[str] = []
-            scores = []
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and chars < block_chars:
-                    chars += len(texts[end] or "")
-                    end += 1
-                codes, sizes = encode_texts(texts[start:end], table)
-                found = decide(m, count_phrases(codes, sizes, m.tables) if m.tables else np.zeros((len(sizes), 0)), sizes)
-                langs += found[0]
-                scores.append(found[1])
-                start = end
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*carried, "lang_pred", "score"])
+            texts = as_strings(batch.column(text_col))
+            for start, end in blocks(texts, block_bytes):
+                codes, sizes = encode_texts(texts.slice(start, end - start).to_pylist(), table)
+                langs, score, entropy = decide(m, count_phrases(codes, sizes, m.automata) if m.automata else np.zeros((len(sizes), 0)), sizes)
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64())], names=[*carried, "lang_pred", "score", "entropy"])
         give_back()
 
     return docs.mapInArrow(label, schema)
@@ -227,25 +310,35 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options: int) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``, one row per row of ``docs``.
 
     Learns only from rows that are not held out (a null id is not) and have text and
     language. Without any such row every prediction is ``und``. Predictions see the
-    text alone, all of it, so repeated rows get equal ones. Other columns of
-    ``docs`` are ignored.
+    text alone, all of it, so repeated rows get equal ones. Of languages with equal
+    entropy the first by name counts. Other columns of ``docs`` are ignored. An empty
+    table gives no rows.
     """
-    sample = training_sample(docs, is_held_out(id_col), options.get("docs_per_lang", DOCS_PER_LANG), options.get("chars_per_doc", CHARS_PER_DOC), id_col, text_col, lang_col)
-    model = fit(sample, options.get("reference_chars", REFERENCE_CHARS), options.get("letters", LETTERS))
+    model = fit(training_sample(docs, is_held_out(id_col), docs_per_lang, id_col, text_col, lang_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return predict(rows, model)
+    return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in whose text a language is found, with all columns."""
+    """The rows of ``docs`` whose text is in a language that is known, with all columns;
+    the predicted language takes the place of the given one.
+
+    A text goes that is null or has no letter, or that the best language's sample says no
+    more of than its alphabet does: all phrases but the first need at least the binary
+    logarithm of the number of letters and the space, for each letter. Repeated rows stay or go together. Without any
+    labelled text nothing is known and all rows go. An empty table gives no rows.
+    """
     model = fit(training_sample(docs, is_held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    return predict(rows, model).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    most = {lang: math.log2(1 + int((a.root > 0).sum())) for lang, a in zip(model.langs, model.automata, strict=True)}
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col(text_col).alias("text"))
+    limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair]) if most else F.create_map(F.lit(""), F.lit(0.0))
+    known = predict(rows, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("entropy") < F.try_element_at(limit, F.col("lang_pred"))))
+    return known.withColumn("row", F.col("row").withField(f"`{lang_col}`", F.col("lang_pred").cast(docs.schema[lang_col].dataType))).select("row.*")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
