@@ -36,6 +36,7 @@ TALKS = [
     (5, 0, "user", "tie"),
     (6, 0, "user", "<" * 5 + "é🙂" * 20_000),
     (None, None, "user", "</TURN]"),
+    (7, 0, "a\\)(" * 250_000, "[TURN](x) \\" * 100_000),
 ]
 
 
@@ -54,7 +55,7 @@ def test_chat_round_trip(spark, template):
         loss = [re.sub(r"(?s)\\(.)", r"\1", s.text) for s in r.segments if s.loss]
         assert loss == said[c]
     if template is chat.INSTRUCT:
-        assert {c: (r.valid, r.bad_turn) for c, r in got.items()} == {1: (True, None), 2: (True, None), 3: (False, 0), 4: (False, 0), 5: (False, 1), 6: (True, None), None: (True, None)}
+        assert {c: (r.valid, r.bad_turn) for c, r in got.items()} == {1: (True, None), 2: (True, None), 3: (False, 0), 4: (False, 0), 5: (False, 1), 6: (True, None), 7: (False, 0), None: (True, None)}
 
 
 def test_chat_empty(spark):
@@ -157,6 +158,39 @@ def test_sketch_merges_and_bounds(spark):
         assert x.low <= x.v <= x.low * (1 + 1 / 32) + 1e-9
 
 
+def test_thresholds_follow_their_group(spark):
+    """Two groups of unlike clean texts, each with junk of its own: what is junk in one is
+    usual in the other."""
+    r = random.Random(6)
+    rows, junk = [], set()
+    for k in range(400):
+        usual = ["#"] * (0 if k % 2 else 12)
+        odd = k % 40 in (4, 5)
+        if odd:
+            junk.add(k)
+            usual = ["#"] * (12 if k % 2 else 60)
+        rows.append((k, " ".join([*(f"w{r.randrange(10**6)}" for _ in range(60)), *usual]), "en", f"s{k % 2}"))
+    got = {x.doc_id: x.kept for x in quality_rules.quality_rules(docs(spark, rows)).collect()}
+    assert not any(got[k] for k in junk) and sum(got.values()) > 0.9 * (len(rows) - len(junk))
+    counted = quality_rules.count_documents(docs(spark, rows)).withColumn("symbols", F.expr("1000 * n_symbols div word_chars"))
+    for name, *_ in quality_rules.RATES:
+        counted = counted.withColumn(name, F.col(name) if name in counted.columns else F.lit(0).cast("long"))
+    found = {x.source: x.hi_symbols for x in quality_rules.fences(quality_rules.sketch(counted)).where("level = 0").collect()}
+    assert found["s1"] < 20 < found["s0"]
+
+
+def test_every_rate_rejects(spark):
+    """On real tables each of the rates is beyond its threshold somewhere."""
+    from tickloom.llm.common import read
+
+    rows = quality_rules.quality_rules(read(spark, "/root/testdata/sf0.01", "documents"))
+    dropped = rows.where("not kept and not base_failed")
+    kept = rows.where("kept")
+    assert 0 < dropped.count() < 0.15 * rows.count()
+    for name, *_ in quality_rules.RATES:
+        assert dropped.agg(F.max(name)).first()[0] > kept.agg(F.expr(f"percentile({name}, 0.98)")).first()[0]
+
+
 def test_clean_documents_stay(spark):
     from tickloom.llm.common import read
 
@@ -230,7 +264,7 @@ def test_language_id(spark):
     out = language_id.identify(odd).collect()
     assert Counter(x.lang_pred for x in out) == Counter({"en": 4, "und": 2})
     kept = language_id.keep_identified(odd)
-    assert kept.columns == odd.columns and kept.count() == 4 and {x.score for x in kept.collect()} == {1}
+    assert kept.columns == odd.columns and kept.count() == 3 and {x.score for x in kept.collect()} == {1}
     assert language_id.identify(docs(spark, [])).count() == 0
     assert {x.lang_pred for x in language_id.identify(docs(spark, [(1, "abc", None, None)])).collect()} == {"und"}
 

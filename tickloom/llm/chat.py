@@ -40,6 +40,10 @@ class Template:
         return sorted(marks, key=lambda m: (-len(m), m))
 
 
+#: An escaped role, of any length: possessive, so that the match keeps no way back.
+ROLE = r"[^\\)]*+(?:\\.[^\\)]*+)*+"
+
+
 INSTRUCT = Template(
     start="<s>",
     roles={"system": ("[SYS]", "[/SYS]", False), "user": ("[INST]", "[/INST]", False), "assistant": ("[ASST]", "</s>", True)},
@@ -114,14 +118,14 @@ def format_chats(rows: DataFrame, template: Template = INSTRUCT, **columns: str)
 def read_back(formatted: Column, template: Template = INSTRUCT) -> Column:
     """The turns (role, text) of a formatted conversation, unescaped."""
     forms = [(re.escape(o), re.escape(c), F.lit(name)) for name, (o, c, _) in template.roles.items()]
-    forms.append((re.escape(template.other[0]) + r"\((?:[^\\)]|\\.)*\)", re.escape(template.other[1]), None))
+    forms.append((re.escape(template.other[0]) + r"\(" + ROLE + r"\)", re.escape(template.other[1]), None))
     whole = "(?s)" + "|".join(f"{o}.*?{c}" for o, c, _ in forms)
 
     def turn(x: Column) -> Column:
         role, text = F.lit(""), F.lit("")
         for o, c, name in forms:
             mine = x.rlike(f"(?s)^{o}")
-            said = name if name is not None else unescape(F.regexp_extract(x, "(?s)^" + re.escape(template.other[0]) + r"\(((?:[^\\)]|\\.)*)\)", 1))
+            said = name if name is not None else unescape(F.regexp_extract(x, "(?s)^" + re.escape(template.other[0]) + r"\((" + ROLE + r")\)", 1))
             role = F.when(mine, said).otherwise(role)
             text = F.when(mine, F.regexp_extract(x, f"(?s)^{o}(.*){c}$", 1)).otherwise(text)
         return F.struct(role.alias("role"), unescape(text).alias("text"))

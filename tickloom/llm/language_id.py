@@ -4,8 +4,8 @@ A suffix automaton of a sample of whole labelled texts is built per language. A
 parsed greedily into the longest phrases that occur in a language's sample; the
 language that needs the fewest phrases, normalised by the sample's length, wins. Every
 letter of any sample has a code of its own, so scripts do not compete for places. The
-transitions of an automaton lie in a hash table with two places for each, so that its
-size grows with the sample and not with the alphabet.
+transitions of an automaton lie in a plain table, or in one with two places for each, so
+that its size grows with the sample and not with the alphabet.
 
 All texts of a batch are walked in lock step, long ones in lanes. A lane starts in the
 state that some letters before it lead to, and is walked again from the state in which
@@ -31,17 +31,23 @@ from .words import as_strings, blocks
 
 #: Bounds of the training sample: labelled documents per language and of all languages,
 #: and the characters of a document that may be in it. Documents are taken whole.
-DOCS_PER_LANG = 32
+DOCS_PER_LANG = 16
 DOCS = 1024
 DOC_CHARS = 8192
 #: A model may be broadcast up to this size; the bounds above keep it below for texts of
 #: ordinary length.
 MODEL_BYTES = 400_000_000
+#: Largest automaton that is a plain table of states and letters.
+TABLE_BYTES = 16_000_000
 #: Letters of a lane, and letters before it that lead to its first state.
-LANE = 1024
+LANE = 512
 WARM_UP = 48
 BLOCK_BYTES = 1_000_000
 UNKNOWN = "und"
+#: A text is in no known language if its phrases have fewer letters on average, when so
+#: many letters are added to its own: few letters say little.
+MIN_PHRASE = 2
+MORE_LETTERS = 20
 
 
 def places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,22 +59,28 @@ def places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Automaton:
-    """``keys`` holds ``state * width + letter`` of each transition at one of its two
-    places, and ``to`` the next state there. State 0 is the root, where nothing leads;
-    ``root`` has its transitions by letter."""
+    """State 0 is the root, where nothing leads; ``root`` has its transitions by letter.
+    ``table`` has the next state of each state and letter, at ``state * width + letter``,
+    where that is small. Else ``entries`` has ``state * width + letter`` and the next
+    state, in the upper and lower half of a number, at one of two places."""
 
     width: int
-    keys: np.ndarray
-    to: np.ndarray
     root: np.ndarray
+    table: np.ndarray | None
+    entries: np.ndarray | None
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         key = state.astype(np.int64) * self.width + code
-        one, two = places(key, len(self.keys))
-        return np.where(self.keys[one] == key, self.to[one], np.where(self.keys[two] == key, self.to[two], 0))
+        if self.table is not None:
+            return self.table[key]
+        one, two = places(key, len(self.entries))
+        got = self.entries[one]
+        rest = np.flatnonzero(got >> 32 != key)
+        got[rest] = self.entries[two[rest]]
+        return np.where(got >> 32 == key, got & 0xFFFFFFFF, 0).astype(np.int32)
 
     def nbytes(self) -> int:
-        return self.keys.nbytes + self.to.nbytes + self.root.nbytes
+        return self.root.nbytes + (self.entries if self.table is None else self.table).nbytes
 
 
 @dataclass(frozen=True)
@@ -116,8 +128,15 @@ def automaton(codes: list[int], width: int) -> Automaton:
     """Codes are below ``width``. Each transition goes to its first place, and one that
     is there already to its other one, and so on until all have a place."""
     nexts = transitions(codes)
+    root = np.zeros(width, np.int32)
+    for c, t in nexts[0].items():
+        root[c] = t
     keys = np.fromiter((s * width + c for s, out in enumerate(nexts) for c in out), np.int64)
-    to = np.fromiter((t for out in nexts for t in out.values()), np.int32, len(keys))
+    to = np.fromiter((t for out in nexts for t in out.values()), np.int64, len(keys))
+    if len(nexts) * width * 4 <= TABLE_BYTES:
+        whole = np.zeros(len(nexts) * width, np.int32)
+        whole[keys] = to
+        return Automaton(width, root, whole, None)
     size = 1 << max(4, int(np.ceil(np.log2(2.5 * len(keys) + 1))))
     while True:
         both = np.stack(places(keys, size)).astype(np.int64)
@@ -136,12 +155,9 @@ def automaton(codes: list[int], width: int) -> Automaton:
             break
         size *= 2
     has = table >= 0
-    out_keys, out_to = np.full(size, -1, np.int64), np.zeros(size, np.int32)
-    out_keys[has], out_to[has] = keys[table[has]], to[table[has]]
-    root = np.zeros(width, np.int32)
-    for c, t in nexts[0].items():
-        root[c] = t
-    return Automaton(width, out_keys, out_to, root)
+    entries = np.full(size, -1, np.int64)
+    entries[has] = keys[table[has]] << 32 | to[table[has]]
+    return Automaton(width, root, None, entries)
 
 
 def letters_of(text: str) -> str:
@@ -269,27 +285,27 @@ def count_phrases(codes: np.ndarray, sizes: np.ndarray, automata: list[Automaton
 
 def decide(model: Model, phrases: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The language with the smallest entropy (the first by name of equal ones), how
-    far, relatively, it is ahead of the second, and the bits a letter of all phrases
-    but the first."""
+    far, relatively, it is ahead of the second, and the letters of its phrases on
+    average, ``MORE_LETTERS`` added."""
     if not model.langs:
-        return [UNKNOWN] * len(sizes), np.zeros(len(sizes)), np.full(len(sizes), np.inf)
+        return [UNKNOWN] * len(sizes), np.zeros(len(sizes)), np.zeros(len(sizes))
     cost = phrases * np.array(model.bits) / np.maximum(sizes, 1)[:, None]
     best = np.argmin(cost, axis=1)
     ranked = np.sort(cost, axis=1)
     second = ranked[:, 1] if len(model.langs) > 1 else np.full(len(sizes), max(model.bits))
     score = np.where(sizes > 0, 1 - ranked[:, 0] / np.maximum(second, 1e-12), 0.0)
-    rest = cost[np.arange(len(best)), best] - np.array(model.bits)[best] / np.maximum(sizes, 1)
-    return [model.langs[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)], np.clip(score, 0, 1), rest
+    mean = (sizes + MORE_LETTERS) / np.maximum(phrases[np.arange(len(best)), best], 1)
+    return [model.langs[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)], np.clip(score, 0, 1), mean
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without its text, with ``lang_pred``, ``score`` and ``entropy`` (as
+    """``docs`` without its text, with ``lang_pred``, ``score`` and ``phrase`` (as
     ``decide`` has them). A text that is null or has no letter is ``und`` with score 0. ``docs``
     should hold only the text and what identifies its rows."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     carried = [c for c in docs.columns if c != text_col]
-    schema = docs.select(*carried).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "entropy": F.lit(0.0)}).schema
+    schema = docs.select(*carried).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "phrase": F.lit(0.0)}).schema
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -298,9 +314,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", block_bytes:
             texts = as_strings(batch.column(text_col))
             for start, end in blocks(texts, block_bytes):
                 codes, sizes = encode_texts(texts.slice(start, end - start).to_pylist(), table)
-                langs, score, entropy = decide(m, count_phrases(codes, sizes, m.automata) if m.automata else np.zeros((len(sizes), 0)), sizes)
+                langs, score, phrase = decide(m, count_phrases(codes, sizes, m.automata) if m.automata else np.zeros((len(sizes), 0)), sizes)
                 part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64())], names=[*carried, "lang_pred", "score", "entropy"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(phrase, pa.float64())], names=[*carried, "lang_pred", "score", "phrase"])
         give_back()
 
     return docs.mapInArrow(label, schema)
@@ -328,16 +344,15 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` whose text is in a language that is known, with all columns;
     the predicted language takes the place of the given one.
 
-    A text goes that is null or has no letter, or that the best language's sample says no
-    more of than its alphabet does: all phrases but the first need at least the binary
-    logarithm of the number of letters and the space, for each letter. Repeated rows stay or go together. Without any
-    labelled text nothing is known and all rows go. An empty table gives no rows.
+    A text goes that is null or has no letter, or of which the best language's sample has
+    hardly more than single letters: phrases of fewer than ``MIN_PHRASE`` letters on
+    average, ``MORE_LETTERS`` added. Repeated rows stay or go
+    together. Without any labelled text nothing is known and all rows go. An empty table
+    gives no rows.
     """
     model = fit(training_sample(docs, is_held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col))
-    most = {lang: math.log2(1 + int((a.root > 0).sum())) for lang, a in zip(model.langs, model.automata, strict=True)}
     rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col(text_col).alias("text"))
-    limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair]) if most else F.create_map(F.lit(""), F.lit(0.0))
-    known = predict(rows, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("entropy") < F.try_element_at(limit, F.col("lang_pred"))))
+    known = predict(rows, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("phrase") >= MIN_PHRASE))
     return known.withColumn("row", F.col("row").withField(f"`{lang_col}`", F.col("lang_pred").cast(docs.schema[lang_col].dataType))).select("row.*")
 
 

@@ -4,8 +4,10 @@ Counts of each document's whole text come from one vectorised pass. Per language
 and source, log-linear histograms of four rates are mergeable quantile sketches:
 integer bins of relative width 1/32, so that partial sketches add up to the same
 sketch whatever the partitioning, and a group's sketch merges into its language's
-and the corpus'. Quartile fences from the sketches replace fixed cutoffs, and the
-documents are joined with their group's fences.
+and the corpus'. Thresholds come from the sketch alone and replace fixed cutoffs: where
+a rate falls into two classes that lie apart, the threshold is between them, and
+elsewhere as far beyond a tail quantile as that is beyond the quartile. The documents
+are joined with their group's thresholds.
 """
 
 from __future__ import annotations
@@ -28,17 +30,20 @@ SYMBOLS = "#*$%&|<>"
 BLOCK_CHARS = 4_000_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Groups with fewer documents use their language's fences, or the corpus'.
+#: Groups with fewer documents use their language's thresholds, or the corpus'.
 MIN_GROUP = 50
-#: Rates, as integers: (name, numerator, denominator, scale, smallest distance of
-#: the upper fence from the third quartile, the same for the lower fence or None).
+#: Rates, as integers: name, numerator, denominator, scale, and whether low ones are odd.
 RATES = (
-    ("chars_per_word", "word_chars", "n_words", 100, 300, 200),
-    ("symbols", "n_symbols", "word_chars", 1000, 50, None),
-    ("dup_lines", "n_dup_lines", "n_words", 1000, 50, None),
-    ("repeats", "n_repeat_words", "n_words", 1000, 200, None),
+    ("chars_per_word", "word_chars", "n_words", 100, True),
+    ("symbols", "n_symbols", "word_chars", 1000, False),
+    ("dup_lines", "n_dup_lines", "n_words", 1000, False),
+    ("repeats", "n_repeat_words", "n_words", 1000, False),
 )
-FENCE = 3
+#: Percent of documents in a tail, and at most in the upper of two classes.
+TAIL = 2
+UPPER = 25
+#: Two classes lie apart if so much of the variance of the bins is between them.
+APART = 0.9
 
 
 def repeated_words(words: list[list[str]], width: int = 5) -> np.ndarray:
@@ -122,6 +127,11 @@ def bin_start(b: Column) -> Column:
     return F.when(b < 32, b).otherwise(F.call_function("shiftleft", b % 32 + 32, (F.floor(b / 32) - 1).cast("int")))
 
 
+def bin_end(b: Column) -> Column:
+    """The largest value of a bin."""
+    return bin_start(b + 1) - 1
+
+
 def sketch(rows: DataFrame) -> DataFrame:
     """``level, lang, source, rate, bin, n``: the sketch of each group (level 0),
     language (1) and of all (2). Levels 1 and 2 merge level 0's sketches."""
@@ -131,33 +141,39 @@ def sketch(rows: DataFrame) -> DataFrame:
     return base.select(level.alias("g"), "rate", "bin", "n").groupBy("g.level", "g.lang", "g.source", "rate", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, fence: int = FENCE) -> DataFrame:
-    """``level, lang, source, docs`` and, per rate, ``lo_`` and ``hi_`` columns:
-    quartiles plus or minus ``fence`` times their distance, which counts as the
-    rate's least distance at least."""
+def fences(sketches: DataFrame, tail: int = TAIL, apart: float = APART) -> DataFrame:
+    """``level, lang, source, docs`` and, per rate, ``lo_`` and ``hi_`` columns. Of all
+    cuts of a sketch into two, that with the largest variance between the sides counts."""
     group = ["level", "lang", "source", "rate"]
-    upto = F.sum("n").over(W.partitionBy(*group).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))
-    total = F.sum("n").over(W.partitionBy(*group))
-    q = sketches.withColumn("upto", upto).withColumn("total", total)
-    at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin")))
-    q = q.groupBy(*group).agg(F.max("total").alias("docs"), bin_start(at(1)).alias("q1"), bin_start(at(3)).alias("q3"))
+    real = lambda c: F.col(c).cast("double")
+    ahead = W.partitionBy(*group).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    q = sketches.withColumn("m", F.col("bin") * F.col("n")).withColumn("mm", F.col("bin") * F.col("m"))
+    q = q.select(*group, "bin", F.sum("n").over(ahead).alias("w"), F.sum("m").over(ahead).alias("s"), F.lead("bin").over(W.partitionBy(*group).orderBy("bin")).alias("next"), *[F.sum(c).over(W.partitionBy(*group)).alias(f"all_{c}") for c in ("n", "m", "mm")])
+    off = real("all_m") * real("w") - real("all_n") * real("s")
+    spread = real("w") * (real("all_n") - real("w")) * (real("all_n") * real("all_mm") - real("all_m") * real("all_m"))
+    cut = F.struct((off * off / F.nullif(spread, F.lit(0.0))).alias("share"), (-F.col("bin")).alias("minus"), "w", "bin", "next")
+    at = lambda k: F.min(F.when(F.col("w") * 100 >= F.col("all_n") * k, F.col("bin")))
+    q = q.groupBy(*group).agg(F.max("all_n").alias("docs"), *[at(k).alias(f"q{k}") for k in (tail, 25, 75, 100 - tail)], F.max(F.when(F.col("next").isNotNull(), cut)).alias("cut"))
+    between = F.floor((bin_end(F.col("cut.bin")) + bin_start(F.col("cut.next"))) / 2).cast("long")
+    two = F.coalesce((F.col("cut.share") >= apart) & (F.col("cut.w") * 100 >= F.col("docs") * (100 - UPPER)), F.lit(False))
+    hi = F.when(two, between).otherwise(2 * bin_end(F.col(f"q{100 - tail}")) - bin_start(F.col("q75")))
+    lo = 2 * bin_start(F.col(f"q{tail}")) - bin_end(F.col("q25"))
     out = []
-    for name, _, _, _, up, down in RATES:
+    for name, *_, low in RATES:
         mine = F.col("rate") == name
-        wide = fence * (F.col("q3") - F.col("q1"))
-        out.append(F.max(F.when(mine, F.col("q3") + F.greatest(wide, F.lit(up)))).alias(f"hi_{name}"))
-        if down is not None:
-            out.append(F.max(F.when(mine, F.col("q1") - F.greatest(wide, F.lit(down)))).alias(f"lo_{name}"))
+        out.append(F.max(F.when(mine, hi)).alias(f"hi_{name}"))
+        if low:
+            out.append(F.max(F.when(mine, lo)).alias(f"lo_{name}"))
     return q.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *out)
 
 
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE, **columns: str) -> DataFrame:
+def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, tail: int = TAIL, **columns: str) -> DataFrame:
     """Counts, ``base_failed`` and ``kept``, one row per row of ``docs``.
 
     ``base_failed``: fewer than ten words, or over 20 % of words in repeated
-    windows. ``kept``: not ``base_failed``, and every rate within the fences of its
+    windows. ``kept``: not ``base_failed``, and every rate within the thresholds of its
     language and source; groups with under ``min_group`` such documents use their
-    language's fences, and small languages the corpus'. Null language or source is
+    language's, and small languages the corpus'. Null language or source is
     a group of its own. A null or empty text has no words and fails. Repeated rows
     count each time. Columns other than the four named are ignored.
     """
@@ -167,7 +183,7 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, fence: int = FENC
     for name, over, under, scale, *_ in RATES:
         rows = rows.withColumn(name, F.when(F.col(under) > 0, F.expr(f"{scale} * {over} div {under}")).otherwise(F.lit(0)).cast("long"))
     rows = stored(rows, "quality-counts")
-    found = stored(fences(sketch(rows.where("not base_failed")), fence), "quality-fences")
+    found = stored(fences(sketch(rows.where("not base_failed")), tail), "quality-fences")
     limits = [c for c in found.columns if c[:3] in ("hi_", "lo_")]
     by = lambda k: found.where(F.col("level") == k)
     own, lang, every = by(0), by(1), by(2).first()
@@ -177,9 +193,9 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, fence: int = FENC
     own = stored(own.select("a_lang", "a_source", *[use(c).alias(c) for c in limits]), "quality-limits")
     joined = rows.join(broadcast_if_small(own), F.col("lang").eqNullSafe(F.col("a_lang")) & F.col("source").eqNullSafe(F.col("a_source")), "left")
     inside = F.lit(True)
-    for name, *_, down in RATES:
+    for name, *_, low in RATES:
         inside &= F.col(name) <= F.col(f"hi_{name}")
-        if down is not None:
+        if low:
             inside &= F.col(name) >= F.col(f"lo_{name}")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[name for name, *_ in RATES]
@@ -196,11 +212,9 @@ def _sql() -> str:
     long = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS rate, {n} AS v FROM r WHERE NOT base_failed" for n, *_ in RATES)
     tests = " AND ".join(
         f"coalesce({n} <= (CASE WHEN own_docs >= {MIN_GROUP} THEN own['{n}'].hi WHEN lang_docs >= {MIN_GROUP} THEN lg['{n}'].hi ELSE al['{n}'].hi END), true)"
-        + (f" AND coalesce({n} >= (CASE WHEN own_docs >= {MIN_GROUP} THEN own['{n}'].lo WHEN lang_docs >= {MIN_GROUP} THEN lg['{n}'].lo ELSE al['{n}'].lo END), true)" if down is not None else "")
-        for n, *_, down in RATES
+        + (f" AND coalesce({n} >= (CASE WHEN own_docs >= {MIN_GROUP} THEN own['{n}'].lo WHEN lang_docs >= {MIN_GROUP} THEN lg['{n}'].lo ELSE al['{n}'].lo END), true)" if low else "")
+        for n, *_, low in RATES
     )
-    up = "CASE rate " + " ".join(f"WHEN '{n}' THEN {u}" for n, _, _, _, u, _ in RATES) + " END"
-    down = "CASE rate " + " ".join(f"WHEN '{n}' THEN {d or 0}" for n, _, _, _, _, d in RATES) + " END"
     return rf"""
 WITH t AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -227,11 +241,27 @@ WITH t AS (
   SELECT level, CASE WHEN level < 2 THEN lang END AS lang, CASE WHEN level < 1 THEN source END AS source, rate,
          CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS v
   FROM v, (SELECT unnest([0, 1, 2]) AS level)
+), h AS (
+  SELECT level, lang, source, rate, b, min(lowest) AS v, min(CASE WHEN lowest < 32 THEN lowest ELSE lowest + (1 << (length(bin(lowest)) - 6)) - 1 END) AS e, count(*) AS n
+  FROM (SELECT level, lang, source, rate, v AS lowest, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 32 + (v >> (length(bin(v)) - 6)) - 32 END AS b FROM b) GROUP BY ALL
+), u AS (
+  SELECT level, lang, source, rate, b, v, e, sum(n) OVER o AS w, sum(b * n) OVER o AS s, lead(v) OVER g AS next_v,
+         sum(n) OVER p AS all_n, sum(b * n) OVER p AS all_m, sum(b * b * n) OVER p AS all_mm
+  FROM h
+  WINDOW g AS (PARTITION BY level, lang, source, rate ORDER BY b), p AS (PARTITION BY level, lang, source, rate),
+         o AS (PARTITION BY level, lang, source, rate ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), x AS (
+  SELECT *, CASE WHEN next_v IS NOT NULL THEN (CAST(all_m AS DOUBLE) * CAST(w AS DOUBLE) - CAST(all_n AS DOUBLE) * CAST(s AS DOUBLE)) * (CAST(all_m AS DOUBLE) * CAST(w AS DOUBLE) - CAST(all_n AS DOUBLE) * CAST(s AS DOUBLE))
+         / (CAST(w AS DOUBLE) * (CAST(all_n AS DOUBLE) - CAST(w AS DOUBLE)) * (CAST(all_n AS DOUBLE) * CAST(all_mm AS DOUBLE) - CAST(all_m AS DOUBLE) * CAST(all_m AS DOUBLE))) END AS share
+  FROM u
 ), q AS (
-  SELECT level, lang, source, rate, count(*) AS docs, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM b GROUP BY ALL
+  SELECT level, lang, source, rate, max(all_n) AS docs, min(v) FILTER (w * 100 >= all_n * {TAIL}) AS ql, min(e) FILTER (w * 100 >= all_n * 25) AS q1,
+         min(v) FILTER (w * 100 >= all_n * 75) AS q3, min(e) FILTER (w * 100 >= all_n * {100 - TAIL}) AS qh,
+         max({{'share': share, 'minus': -b, 'w': w, 'e': e, 'next_v': next_v}}) FILTER (next_v IS NOT NULL) AS cut
+  FROM x GROUP BY level, lang, source, rate
 ), f AS (
-  SELECT level, lang, source, max(docs) AS docs,
-         map_from_entries(list((rate, {{'hi': q3 + greatest({FENCE} * (q3 - q1), {up}), 'lo': q1 - greatest({FENCE} * (q3 - q1), {down})}}))) AS m
+  SELECT level, lang, source, CAST(max(docs) AS BIGINT) AS docs,
+         map_from_entries(list((rate, {{'hi': CAST(CASE WHEN coalesce(cut.share >= {APART} AND cut.w * 100 >= docs * {100 - UPPER}, false) THEN (cut.e + cut.next_v) // 2 ELSE 2 * qh - q3 END AS BIGINT), 'lo': CAST(2 * ql - q1 AS BIGINT)}}))) AS m
   FROM q GROUP BY level, lang, source
 ), j AS (
   SELECT r.*, a.docs AS own_docs, a.m AS own, l.docs AS lang_docs, l.m AS lg, e.m AS al
