@@ -1,38 +1,46 @@
 """Quality classifier by co-training of two views.
 
-The text view sees hashed character trigrams, the page view what is known about a
-page without reading it: source, language, length and layout. Each is a logistic
-model. In every round each view names the unlabelled documents it is surest of, and
-the other view learns from them. Both are then calibrated on labelled documents
-kept apart, and their calibrated log-odds are added, less the prior's.
+The text view sees hashed character trigrams, the page view what is known about a page
+without reading it: source, language and length. Each is a logistic model. In every
+round both are calibrated on labelled documents kept apart, all unlabelled documents are
+scored, each view names those of each class that it is surest of in the whole corpus,
+and the other view learns from them. At the end the calibrated log-odds are added, less
+the prior's, and score all documents.
+
+Only features of a bounded number of labelled and named documents meet in one task,
+never their texts.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import broadcast_if_small, give_back, read, stored
+from .words import as_strings, blocks
 
-#: Bounds of the training sample, in documents: labelled ones, and unlabelled ones
-#: that may get pseudo-labels. Samples are about as large, by a hash limit.
+#: Labelled documents that are learned from, about, by a hash limit.
 LABELLED = 4000
-POOL = 4000
-ROUNDS = 3
-#: Share of the pool that each view labels in a round.
-SHARE = 0.05
+ROUNDS = 2
+#: Documents of each class that each view names in a round, and how sure it is of them.
+NAMED = 100
+SURE = 0.9
 BUCKETS = 2048
 TAGS = 64
+#: Classes of length, two for each doubling.
+LENGTHS = 40
 KEEP_FROM = 0.5
-BLOCK_CHARS = 2_000_000
+BLOCK_BYTES = 1_000_000
+BLOCK_ROWS = 1000
 
 
 def text_features(texts: list[str | None], buckets: int = BUCKETS) -> np.ndarray:
@@ -53,34 +61,17 @@ def text_features(texts: list[str | None], buckets: int = BUCKETS) -> np.ndarray
     return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
-def page_features(texts: list[str | None], sources: list[str | None], langs: list[str | None], n_chars: list[int | None], tags: int = TAGS) -> np.ndarray:
-    """Layout numbers and hashed tags for source and language."""
-    out = np.zeros((len(texts), 5 + tags), np.float32)
-    said = [t or "" for t in texts]
-    sizes = np.fromiter(map(len, said), np.int64, len(said))
-    kind = _kinds()[np.frombuffer("".join(said).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    doc = np.repeat(np.arange(len(said)), sizes)
-    upper, marks, ends = (np.bincount(doc[kind == k], minlength=len(said)) for k in (1, 2, 3))
-    n = np.maximum(sizes, 1)
-    out[:, 0] = np.log1p([x or 0 for x in n_chars])
-    out[:, 1] = np.log1p(ends + 1)
-    out[:, 2] = np.log1p(n / (ends + 1))
-    out[:, 3] = upper / n
-    out[:, 4] = marks / n
-    for i in range(len(said)):
-        for tag in (f"s:{sources[i]}", f"l:{langs[i]}"):
-            out[i, 5 + zlib.crc32(tag.encode()) % tags] = 1
+def page_features(sources: list[str | None], langs: list[str | None], n_chars: list[int | None], tags: int = TAGS) -> np.ndarray:
+    """Hashed tags for source and language, and the class of the length."""
+    out = np.zeros((len(sources), 1 + LENGTHS + tags), np.float32)
+    for i, (source, lang, n) in enumerate(zip(sources, langs, n_chars, strict=True)):
+        out[i, 0] = math.log1p(max(0, n or 0))
+        out[i, 1 + min(LENGTHS - 1, int(2 * math.log2(1 + max(0, n or 0))))] = 1
+        for tag in (f"s:{source}", f"l:{lang}"):
+            out[i, 1 + LENGTHS + zlib.crc32(tag.encode()) % tags] = 1
     return out
 
 
-@lru_cache(maxsize=1)
-def _kinds() -> np.ndarray:
-    """1: upper case, 2: neither letter nor space, 3: line end, else 0."""
-    kinds = [1 if c.isupper() else 0 if c.isalpha() or c.isspace() else 2 for c in map(chr, range(0x110000))]
-    kinds[10] = 3
-    return np.array(kinds, np.uint8)
-
-
 @dataclass
 class View:
     """Standardised logistic model with a calibrated output."""
@@ -135,45 +126,24 @@ def fit_view(x: np.ndarray, y: np.ndarray, ridge: float, standard: bool) -> View
     return View(mean, scale, logistic(((x - mean) / scale).astype(np.float64), y, ridge))
 
 
-def co_train(features: list[np.ndarray], label: np.ndarray, calibrate: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """``features``: one matrix per view; ``label``: 1, 0, or -1 for unlabelled;
-    ``calibrate``: labelled rows that are kept for calibration."""
-    known = label >= 0
+def train(features: list[np.ndarray], label: np.ndarray, calibrate: np.ndarray, named_for: np.ndarray) -> Model:
+    """``features``: one matrix per view; ``label``: 1 or 0; ``calibrate``: labelled rows
+    that are kept for calibration; ``named_for``: -1 for labelled rows, else the view that
+    learns from the row."""
+    known = named_for < 0
     prior = float(np.clip(label[known].mean(), 0.01, 0.99)) if known.any() else 0.5
-    learn = np.flatnonzero(known & ~calibrate)
-    test = np.flatnonzero(known & calibrate)
-    if len(set(label[learn])) < 2 or len(set(label[test])) < 2:
+    test = known & calibrate
+    if len(set(label[known & ~calibrate])) < 2 or len(set(label[test])) < 2:
         return Model(prior)
-    pool = np.flatnonzero(~known)
-    rows = [learn, learn]
-    labels = [label[learn].astype(float), label[learn].astype(float)]
-    free = [np.ones(len(pool), bool), np.ones(len(pool), bool)]
-    views: list[View] = []
-    for r in range(rounds + 1):
-        views = [fit_view(x[i], y, ridge, standard) for x, i, y, (ridge, standard) in zip(features, rows, labels, ((1e-3, False), (1e-2, True)), strict=True)]
-        if r == rounds or not len(pool):
-            break
-        named = []
-        for k, v in enumerate(views):
-            z = v.logits(features[k][pool])
-            take = []
-            for want, part in ((1, prior), (0, 1 - prior)):
-                n = max(1, int(share * part * len(pool)))
-                order = np.argsort(-z if want else z, kind="stable")
-                order = order[free[1 - k][order] & ((z[order] > 0) == bool(want))][:n]
-                take += [(i, want) for i in order]
-            named.append(take)
-        for k, take in enumerate(named):
-            other = 1 - k
-            at = np.array([i for i, _ in take], np.int64)
-            free[other][at] = False
-            rows[other] = np.concatenate([rows[other], pool[at]])
-            labels[other] = np.concatenate([labels[other], [float(w) for _, w in take]])
-    for k, v in enumerate(views):
-        z = v.logits(features[k][test])
+    views = []
+    for k, (x, ridge, standard) in enumerate(zip(features, (1e-3, 1e-2), (False, True), strict=True)):
+        mine = (known & ~calibrate) | (named_for == k)
+        v = fit_view(x[mine], label[mine].astype(float), ridge, standard)
+        z = v.logits(x[test])
         spread = max(z.std(), 1e-6)
         w = logistic((z / spread)[:, None], label[test].astype(float), 1e-2)
         v.slope, v.shift = float(w[0] / spread), float(w[1])
+        views.append(v)
     return Model(prior, views)
 
 
@@ -188,40 +158,112 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 
 _META = ("text", "source", "lang", "n_chars")
+_FEATURES = "text_view binary, page_view binary"
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch with both views' features, bounded by bytes and by rows."""
+    for start, end in blocks(as_strings(batch.column("text")), BLOCK_BYTES):
+        for at in range(start, end, BLOCK_ROWS):
+            part = batch.slice(at, min(BLOCK_ROWS, end - at))
+            source, lang, n_chars = (part.column(c).to_pylist() for c in _META[1:])
+            yield part, text_features(part.column("text").to_pylist()), page_features(source, lang, n_chars)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """``at, label`` and what the views read, of about ``labelled`` labelled and
-    ``pool`` unlabelled documents. Of several labels of one document the smallest
-    counts; null labels are none."""
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([row.astype(np.float32).tobytes() for row in x], pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.float32) for x in column.to_pylist()])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: str = "doc_id", label_col: str = "quality") -> tuple[DataFrame, DataFrame]:
+    """``at, label, named_for, text_view, page_view`` of about ``labelled`` labelled
+    documents, and ``id`` of all labelled ones. Of several labels of one document the
+    smallest counts; null labels are none."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
-    known = known.where(~is_held_out("id"))
-    n_known = known.count()
-    chosen = stored(known.withColumn("at", _at("id", "labelled")).where(F.col("at") * n_known < labelled), "chosen-labels")
-    rows = docs.where(F.col(id_col).isNotNull() & ~is_held_out(id_col)).select(F.col(id_col).alias("id"), *_META)
-    mine = rows.join(F.broadcast(chosen), "id")
-    n = docs.select(id_col).count()
-    others = rows.withColumn("at", _at("id", "pool")).where(F.col("at") * n < pool)
-    others = others.join(known.select("id"), "id", "left_anti").withColumn("label", F.lit(-1))
-    return mine.select("at", "label", *_META).unionByName(others.select("at", "label", *_META))
-
-
-def fit(sample: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> Model:
+    known = stored(known.where(~is_held_out("id")), "labels")
+    chosen = stored(known.withColumn("at", _at("id", "labelled")).where(F.col("at") * known.count() < labelled), "chosen-labels")
+    mine = docs.select(F.col(id_col).alias("id"), *_META).join(broadcast_if_small(chosen), "id").select("at", "label", *_META)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, f, g in _blocks(batch):
+                none = pa.array(np.full(part.num_rows, -1, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("at"), part.column("label"), none, _packed(f), _packed(g)], names=["at", "label", "named_for", "text_view", "page_view"])
+
+    return mine.mapInArrow(run, f"at double, label int, named_for int, {_FEATURES}"), known.select("id")
+
+
+def fit(sample: DataFrame) -> Model:
     """Trains in one task, on the bounded sample, and returns the model."""
-    import pickle
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("at", "ascending")])
-        cols = {c: group.column(c).to_pylist() for c in group.column_names}
-        features = [text_features(cols["text"]), page_features(cols["text"], cols["source"], cols["lang"], cols["n_chars"])]
-        label = np.array(cols["label"])
+        group = group.sort_by([("named_for", "ascending"), ("at", "ascending")])
+        label, named_for = (group.column(c).to_numpy() for c in ("label", "named_for"))
         calibrate = np.arange(len(label)) % 4 == 0
-        return pa.table({"model": [pickle.dumps(co_train(features, label, calibrate, rounds, share))]})
+        model = train([_unpacked(group.column("text_view")), _unpacked(group.column("page_view"))], label, calibrate, named_for)
+        give_back()
+        return pa.table({"model": [pickle.dumps(model)]})
 
     found = sample.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else Model(0.5)
 
 
+def surest(pool: DataFrame, model: Model, named: int = NAMED, sure: float = SURE) -> DataFrame:
+    """``at, label, named_for, id, text_view, page_view`` of the ``named`` documents of each
+    class of which each view is surest, and by ``sure`` at least, in the whole pool
+    (``id`` and what the views read). Every task keeps its own best, of which the best of
+    all are among; ties go by a hash of the id."""
+    shared = pool.sparkSession.sparkContext.broadcast(model)
+    ids = dict(pool.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            for part, f, g in _blocks(batch):
+                _, each = shared.value.scores(f, g)
+                tie, found = part.column("tie").to_numpy(), []
+                for k, p in enumerate(each):
+                    for label, q in ((1, p), (0, 1 - p)):
+                        best = np.lexsort((tie, -q))[:named]
+                        best = best[q[best] >= sure]
+                        found.append(pa.table({"at": q[best], "tie": tie[best], "label": pa.array(np.full(len(best), label, np.int32)), "named_for": pa.array(np.full(len(best), 1 - k, np.int32)), "id": part.column("id").take(pa.array(best)), "text_view": _packed(f[best]), "page_view": _packed(g[best])}))
+                kept = pa.concat_tables([kept, *found] if kept is not None else found).sort_by([("at", "descending"), ("tie", "ascending")])
+                label, view = kept.column("label").to_numpy(), kept.column("named_for").to_numpy()
+                kept = kept.take(np.sort(np.concatenate([np.flatnonzero((label == c) & (view == k))[:named] for c in (0, 1) for k in (0, 1)])))
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches()
+        give_back()
+
+    best = stored(pool.withColumn("tie", F.xxhash64("id", F.lit("tie"))).mapInArrow(run, f"at double, tie long, label int, named_for int, id {ids}, {_FEATURES}"), "named")
+    out = []
+    for view in (0, 1):
+        for label in (0, 1):
+            mine = best.where((F.col("named_for") == view) & (F.col("label") == label))
+            last = mine.select((-F.col("at")).alias("at"), "tie").orderBy("at", "tie").limit(named).agg(F.max(F.struct("at", "tie")).alias("m")).first()["m"]
+            if last is not None:
+                out.append(mine.where((-F.col("at") < last["at"]) | ((-F.col("at") == last["at"]) & (F.col("tie") <= last["tie"]))))
+    return (out[0] if len(out) == 1 else reduce(DataFrame.unionByName, out)) if out else best.limit(0)
+
+
+def co_train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, named: int = NAMED, id_col: str = "doc_id") -> Model:
+    """The model after ``rounds`` exchanges of pseudo-labels over all unlabelled
+    documents that are not held out."""
+    sample, known = labelled_sample(docs, labels, labelled, id_col)
+    sample = stored(sample, "classifier-sample")
+    model = fit(sample)
+    pool = docs.where(F.col(id_col).isNotNull() & ~is_held_out(id_col)).select(F.col(id_col).alias("id"), *_META).join(broadcast_if_small(known), "id", "left_anti")
+    for _ in range(rounds if model.views else 0):
+        # At most four times ``named`` documents a round.
+        more = stored(surest(pool, model, named), "pseudo-labels")
+        pool = pool.join(F.broadcast(more.select("id").distinct()), "id", "left_anti")
+        sample = sample.unionByName(more.select(*sample.columns))
+        model = fit(sample)
+    return model
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, text_score, page_score, score`` of every row; a null or empty text
     scores 0."""
@@ -231,18 +273,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in _META}
-            start = 0
-            while start < batch.num_rows:
-                end, chars = start, 0
-                while end < batch.num_rows and chars < BLOCK_CHARS and end - start < 2000:
-                    chars += len(cols["text"][end] or "")
-                    end += 1
-                part = {c: x[start:end] for c, x in cols.items()}
-                both, each = shared.value.scores(text_features(part["text"]), page_features(part["text"], part["source"], part["lang"], part["n_chars"]))
-                has = np.array([bool(t) for t in part["text"]])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), *(pa.array(np.where(has, x, 0.0)) for x in (*each, both))], names=["doc_id", "text_score", "page_score", "score"])
-                start = end
+            for part, f, g in _blocks(batch):
+                both, each = shared.value.scores(f, g)
+                has = np.array([bool(t) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.where(has, x, 0.0)) for x in (*each, both))], names=["doc_id", "text_score", "page_score", "score"])
+        give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), *_META).mapInArrow(run, f"doc_id {ids}, text_score double, page_score double, score double")
 
@@ -255,8 +290,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, i
     share of good labels (0.5 without any) is every document's score. Repeated rows
     get equal scores. Other columns are ignored. An empty table gives no rows.
     """
-    model = fit(training_sample(docs, labels, options.pop("labelled", LABELLED), options.pop("pool", POOL), id_col), **options)
-    out = score(docs, model, id_col)
+    out = score(docs, co_train(docs, labels, id_col=id_col, **options), id_col)
     return out.select("doc_id", is_held_out("doc_id").alias("held_out"), "text_score", "page_score", "score", (F.col("score") >= keep_from).alias("kept"))
 
 
