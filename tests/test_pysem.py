@@ -83,3 +83,13 @@ def test_board(spark):
     assert list(spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()) == [w for _, w in cases]
     low, high = spark.range(2000).select(board.random_int(lit(1), lit(6), 3).alias("n")).agg(F.min("n"), F.max("n")).first()
     assert (low, high) == (1, 6)
+
+
+def test_powers_are_exact(spark):
+    from tickloom.functions.pysem import Value, py_pow
+
+    for base, n in ((3, 35), (7, 21), (-2, 63), (2, 0), (-1, 1001), (0, 99), (1, 10**6)):
+        (row,) = spark.createDataFrame([(base,)], "a long").select(py_pow(Value(F.col("a"), "int"), Value(F.lit(n), "int"), n).col.alias("p")).collect()
+        assert row.p == base**n
+    with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+        spark.createDataFrame([(3,)], "a long").select(py_pow(Value(F.col("a"), "int"), Value(F.lit(41), "int"), 41).col).collect()

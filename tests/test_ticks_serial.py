@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,9 +47,10 @@ def test_markers(spark):
 
 
 def test_tokens(spark):
-    code = "def f():  # if 1\n    return 'a # 2' + str(3.5) if True else \"x\"\n"
-    (row,) = spark.createDataFrame([(code,)], "t string").select(serial.token_counts(F.col("t")).alias("n")).collect()
-    assert tuple(row.n) == (2, 1, 5, 1)
+    code = "def f():  # if 1\n    return \"a # 2\" + str(3.5) if True else \"x\\\"y\"\n"
+    long = "\"" + "q\\\" " * 300_000 + "\" 7 #" + "c" * 1_000_000
+    rows = spark.createDataFrame([(0, code), (1, long), (2, "print(Pin, printed, 'if 5')")], "k int, t string").orderBy("k").select(serial.token_counts(F.col("t")).alias("n")).collect()
+    assert [tuple(r.n) for r in rows] == [(2, 1, 6, 1), (1, 1, 0, 1), (0, 0, 3, 1)]
 
 
 def test_projects(spark, tmp_path):
@@ -56,10 +58,29 @@ def test_projects(spark, tmp_path):
     serial.write_projects(df, f"{tmp_path}/p")
     assert [r.name for r in serial.read_projects(spark, f"{tmp_path}/p", "mine").collect()] == ["a"]
     assert serial.read_or_default(spark, f"{tmp_path}/none", "mine", df).count() == 2
+    assert serial.read_or_default(spark, f"{tmp_path}/p", "nobody", df).count() == 2
+    with pytest.raises(Exception, match="UNSUPPORTED_DATA_SOURCE|scheme|No FileSystem"):
+        serial.read_or_default(spark, "nosuchscheme://x/y", "mine", df)
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.json").write_text('{\n "app": "mine",\n "version": 1,\n "name": "b",\n "workspace": "w"\n}')
+    assert [r.name for r in serial.read_projects(spark, f"{tmp_path}/one", "mine", one_a_file=True).collect()] == ["b"]
     serial.write_code(df, "name", f"{tmp_path}/code")
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/code").collect()) == ["a", "b"]
 
 
+def test_frames_of_bytes(spark, tmp_path):
+    """Characters that chunks share stay whole."""
+    text = "été🙂;日本;" * 20 + "rest"
+    data = text.encode()
+    for batch, part in enumerate((range(0, 60), range(60, len(data)))):
+        spark.createDataFrame([("a", k, bytes(data[k : k + 1])) for k in part], "port string, seq long, chunk binary").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    chunks = spark.readStream.schema("port string, seq long, chunk binary").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = stream.framed(chunks, ";").writeStream.format("memory").queryName("bytes").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r.frame for r in spark.table("bytes").orderBy("frame_no").collect()] == text.split(";")[:-1]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     text = {p: "".join(f"{p}{k};" for k in range(20)) + "rest" for p in "ab"}
     src = str(tmp_path / "in")

@@ -77,15 +77,16 @@ def py_mod(a: Value, b: Value) -> Value:
 
 def py_pow(a: Value, b: Value, literal: int | None = None) -> Value:
     """``literal``: the exponent if it is a literal integer; then an integer's
-    power stays an integer unless the exponent is negative."""
+    power stays an exact integer unless the exponent is negative. Beyond 64 bits it is
+    an error. An integer to the power of a column is a float, as the kind must be known
+    before the values are."""
     k = _both(a, b)
-    p = F.pow(a.cast("float"), b.cast("float"))
     if k == "int" and literal is not None and literal >= 0:
-        out = F.lit(1).cast("bigint")
-        for _ in range(literal if literal <= 8 else 0):
-            out = out * a.cast("int")
-        return Value(out if literal <= 8 else p.cast("bigint"), "int")
-    return Value(p, "float")
+        # Over 64 factors only 0, 1 and -1 are in range, and their number's parity counts.
+        n = literal if literal <= 64 else 64 + literal % 2
+        one = F.lit(1).cast("bigint")
+        return Value(F.aggregate(F.array_repeat(a.cast("int"), n), one, lambda out, x: out * x), "int")
+    return Value(F.pow(a.cast("float"), b.cast("float")), "float")
 
 
 def py_neg(a: Value) -> Value:

@@ -93,7 +93,7 @@ class Compiler:
             n = float(raw)
         except (TypeError, ValueError):
             n = -1.0
-        if n != int(n) or not 0 <= n <= 39:
+        if not 0 <= n <= 39 or n != int(n):
             self.warn("bad_pin", str(raw))
             return board.DEFAULT_PIN
         return int(n)

@@ -17,6 +17,7 @@ from .operators import ticks
 from .plans.examples import EXAMPLES, block, change, compare, if_else, num, say, text, var, workspace
 from .plans.program import run_program
 from .sources import serial
+from .streaming import serial as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,20 +136,43 @@ def monitor_tail(e: DataFrame) -> DataFrame:
     return ticks.tail(e, ORDER).select("event_id", "ts", "event_type")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _projects(e: DataFrame) -> DataFrame:
+    app = F.when(F.col("event_type") == "view", "other").otherwise("loom")
+    return e.select(app.alias("app"), F.lit(1).alias("version"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("name"), F.col("props").alias("workspace"))
+
+
+@query("SELECT 'p' || CAST(event_id AS VARCHAR) AS name, props AS workspace FROM events WHERE event_type <> 'view'")
 def project_import(e: DataFrame) -> DataFrame:
-    """JSON text with a schema."""
-    return e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Project files, written and read again; those of another application are refused."""
+    path = serial.shared_dir(e.sparkSession, "projects")
+    serial.write_projects(_projects(e), path)
+    return serial.read_projects(e.sparkSession, path, "loom").select("name", "workspace")
 
 
-@query("""SELECT event_id, '{"event_type":"' || event_type || '","user_id":' || CAST(user_id AS VARCHAR) || '}' AS line FROM events""")
+@query("""SELECT '{"app":"' || CASE WHEN event_type = 'view' THEN 'other' ELSE 'loom' END || '","version":1,"name":"p' || CAST(event_id AS VARCHAR) || '","workspace":"' || replace(props, '"', '\\"') || '"}' AS line FROM events""")
 def project_export(e: DataFrame) -> DataFrame:
-    return e.select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("line"))
+    """The lines of project files."""
+    path = serial.shared_dir(e.sparkSession, "projects")
+    serial.write_projects(_projects(e), path)
+    return e.sparkSession.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("SELECT 'p' || CAST(event_id AS VARCHAR) AS name, version FROM (SELECT event_id, 1 AS version FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 7 FROM events)")
+def project_fallback(e: DataFrame) -> DataFrame:
+    """Saved projects where there are any, and where not, the given ones."""
+    spark, path = e.sparkSession, serial.shared_dir(e.sparkSession, "projects")
+    serial.write_projects(_projects(e), path)
+    default = _projects(e).withColumn("version", F.lit(7))
+    found = serial.read_or_default(spark, path, "other", default)
+    absent = serial.read_or_default(spark, f"{path}-absent", "other", default)
+    return found.unionByName(absent).select("name", "version")
 
 
-@query("SELECT event_id, 'dwrite(' || CAST(user_id % 40 AS VARCHAR) || ', ' || CAST(event_id % 2 AS VARCHAR) || ')' AS line FROM events")
+@query("SELECT 'dwrite(' || CAST(user_id % 40 AS VARCHAR) || ', ' || CAST(event_id % 2 AS VARCHAR) || ')' AS line FROM events")
 def code_export(e: DataFrame) -> DataFrame:
-    return e.select("event_id", F.format_string("dwrite(%d, %d)", F.col("user_id") % 40, F.col("event_id") % 2).alias("line"))
+    path = serial.shared_dir(e.sparkSession, "code")
+    serial.write_code(e.withColumn("line", F.format_string("dwrite(%d, %d)", F.col("user_id") % 40, F.col("event_id") % 2)), "line", path)
+    return e.sparkSession.read.text(path).select(F.col("value").alias("line"))
 
 
 # Expressions
@@ -332,39 +356,53 @@ def wait_chars(d: DataFrame) -> DataFrame:
     return d.select("doc_id", head.alias("head"), F.length(head).cast("bigint").alias("n"))
 
 
-@query("SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS chunks FROM events GROUP BY ALL")
+@query("SELECT user_id, time_bucket(INTERVAL '100 milliseconds', ts) AS start, count(*) AS chunks FROM events GROUP BY ALL")
 def drain_windows(e: DataFrame) -> DataFrame:
-    w = F.window("ts", "1 hour").alias("w")
-    return e.groupBy("user_id", w).agg(F.count(F.lit(1)).alias("chunks")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "chunks")
+    return streams.drained(e, "user_id", "ts").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@table_query("documents", "SELECT doc_id, text AS out, lang AS err FROM documents WHERE strpos(text, chr(4)) = 0")
+@table_query("documents", """SELECT doc_id, CASE WHEN lang IS NOT NULL THEN split_part(text, chr(4), 1) END AS out,
+CASE WHEN strpos(text, chr(4)) > 0 AND lang IS NOT NULL THEN split_part(text || chr(4), chr(4), 2) WHEN text IS NOT NULL THEN lang END AS err FROM documents""")
 def exec_framing(d: DataFrame) -> DataFrame:
     framed = F.concat(F.lit("junk OK"), F.col("text"), F.lit("\x04"), F.col("lang"), F.lit("\x04>"))
     got = serial.exec_frames(framed)
-    return d.where(F.instr("text", "\x04") == 0).select("doc_id", got["out"].alias("out"), got["err"].alias("err"))
+    return d.select("doc_id", got["out"].alias("out"), got["err"].alias("err"))
 
 
-@table_query("documents", """SELECT doc_id, unnest(range(CAST(ceil(octet_length(encode(text)) / 256) AS BIGINT))) AS chunk_no, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents""")
+@table_query("documents", """SELECT doc_id, n AS chunk_no, substr(bytes, n * 512 + 1, 512) AS chunk
+FROM (SELECT doc_id, hex(encode(text)) AS bytes, unnest(range(CAST(ceil(octet_length(encode(text)) / 256) AS BIGINT))) AS n FROM documents)""")
 def chunker(d: DataFrame) -> DataFrame:
-    return serial.chunked(d, "text").select("doc_id", "chunk_no", F.octet_length("text").cast("bigint").alias("bytes"))
+    return serial.chunked(d, "text").select("doc_id", "chunk_no", F.hex("chunk").alias("chunk"))
 
 
-@table_query("documents", """SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, $t$("(?:[^"\\\\\\n]|\\\\.)*"|'(?:[^'\\\\\\n]|\\\\.)*')|(#[^\\n]*)|\\b(from|import|def|while|for|in|if|elif|else|return|not|and|or|is|None|True|False|break|continue|print)\\b|\\b(\\d+(?:\\.\\d+)?)\\b$t$, 2), lambda x: x <> '')) AS BIGINT) AS comments,
-CAST(len(list_filter(regexp_extract_all(text, $t$("(?:[^"\\\\\\n]|\\\\.)*"|'(?:[^'\\\\\\n]|\\\\.)*')|(#[^\\n]*)|\\b(from|import|def|while|for|in|if|elif|else|return|not|and|or|is|None|True|False|break|continue|print)\\b|\\b(\\d+(?:\\.\\d+)?)\\b$t$, 1), lambda x: x <> '')) AS BIGINT) AS strings FROM documents""")
+_RE2 = serial.TOKEN.replace("*+", "*").replace(serial.BEFORE, r"\b").replace(serial.AFTER, r"\b")
+_FOUND = ", ".join(f"CAST(len(list_filter(regexp_extract_all(text, $t${_RE2}$t$, {i}), lambda x: x <> '')) AS BIGINT) AS {n}" for i, n in enumerate(("strings", "comments", "keywords", "numbers"), 1))
+
+
+@table_query("documents", f"SELECT doc_id, {_FOUND} FROM documents")
 def token_classes(d: DataFrame) -> DataFrame:
-    c = serial.token_counts(F.col("text"))
-    return d.select("doc_id", c["comments"].alias("comments"), c["strings"].alias("strings"))
+    return d.select("doc_id", serial.token_counts(F.col("text")).alias("n")).select("doc_id", "n.*")
+
+
+@table_query("documents", """SELECT doc_id, CAST(i - 1 AS BIGINT) AS frame_no, parts[i] AS frame
+FROM (SELECT doc_id, parts, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))""")
+def stream_frames(d: DataFrame) -> DataFrame:
+    """Chunks of bytes, as a sender cuts them, framed by line on a stream that ends."""
+    spark, path = d.sparkSession, serial.shared_dir(d.sparkSession, "frames")
+    chunks = serial.chunked(d, "text").select(F.col("doc_id").cast("string").alias("port"), F.col("chunk_no").alias("seq"), "chunk")
+    chunks.write.parquet(f"{path}/in")
+    frames = streams.framed(spark.readStream.schema(chunks.schema).parquet(f"{path}/in"), "\n")
+    frames.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(frames.schema).parquet(f"{path}/out").select(F.col("port").cast("bigint").alias("doc_id"), "frame_no", "frame")
 
 
-@query("""SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS changes FROM (
+@query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '1 hour' AS "end", count(*) AS changes FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM (
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM events)
 ) GROUP BY user_id, burst""")
 def debounce(e: DataFrame) -> DataFrame:
     """Changes less than an hour apart are one burst."""
-    out = e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("changes"))
-    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "changes")
+    return streams.debounced(e, "user_id", "ts", "1 hour").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "changes")
 
 
 # Whole programs
@@ -428,4 +466,4 @@ for _name, _program in {**EXAMPLES, "counter": COUNTER}.items():
     query(_PROGRAM_SQL[_name])(_run)
 
 
-FLAGSHIP = "program_button"
+FLAGSHIP = "change_variable"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,18 @@ CHUNK_PAUSE_MS = 10
 FRAME_END = "\x04"
 
 
+def shared_dir(spark: SparkSession, tag: str) -> str:
+    """A fresh folder name below ``spark.checkpoint.dir``; where none is set and Spark
+    runs in one process, below a temporary folder that then is."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tickloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tickloom/{tag}-{uuid.uuid4().hex}"
+
+
 def chunked(df: DataFrame, text: str, size: int = CHUNK_BYTES) -> DataFrame:
     """One row per slice of ``size`` bytes of the UTF-8 text: ``chunk_no, chunk``
     (binary) and ``at_ms``, when a sender that pauses after each would send it."""
@@ -52,9 +68,16 @@ def exec_frames(text: Column) -> Column:
     return F.struct(before_marker(body, FRAME_END).alias("out"), before_marker(rest, FRAME_END).alias("err"))
 
 
-#: One pass, the first alternative that fits wins: text, comment, keyword, number.
-KEYWORDS = ("from", "import", "def", "while", "for", "in", "if", "elif", "else", "return", "not", "and", "or", "is", "None", "True", "False", "break", "continue", "print")
-TOKEN = r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(#[^\n]*)|\b(""" + "|".join(KEYWORDS) + r""")\b|\b(\d+(?:\.\d+)?)\b"""
+# The words that count as keywords.
+KEYWORDS = (
+    "from", "import", "def", "while", "for", "in", "if", "elif", "else", "True", "False", "not", "and", "or", "break", "continue", "return", "with", "as",
+    "print", "range", "int", "str", "abs", "max", "min", "time", "machine", "Pin", "PWM", "ADC", "random",
+)
+#: Text in double quotes, comment, keyword, number; at each place the first that fits.
+#: Quantifiers of texts are possessive: a text of any length is matched without a stack.
+#: Words have ASCII letters only, so letters with accents are beside them, not in them.
+BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+TOKEN = "|".join((r'("[^"\\]*+(?:\\.[^"\\]*+)*+")', r"(#[^\n]*+)", BEFORE + "(" + "|".join(KEYWORDS) + ")" + AFTER, BEFORE + r"(\d+(?:\.\d+)?)" + AFTER))
 
 
 def token_counts(text: Column) -> Column:
@@ -66,9 +89,10 @@ def token_counts(text: Column) -> Column:
 PROJECT = "app string, version int, name string, workspace string"
 
 
-def read_projects(spark: SparkSession, path: str, app: str) -> DataFrame:
-    """Project files of ``app``; those of other apps are refused."""
-    return spark.read.schema(PROJECT).option("multiLine", True).json(path).where(F.col("app") == app)
+def read_projects(spark: SparkSession, path: str, app: str, one_a_file: bool = False) -> DataFrame:
+    """Projects of ``app``, one a line, or one a file over any number of lines; those of
+    other apps are refused."""
+    return spark.read.schema(PROJECT).option("multiLine", one_a_file).json(path).where(F.col("app") == app)
 
 
 def write_projects(df: DataFrame, path: str) -> None:
@@ -76,12 +100,15 @@ def write_projects(df: DataFrame, path: str) -> None:
 
 
 def read_or_default(spark: SparkSession, path: str, app: str, default: DataFrame) -> DataFrame:
-    """Saved projects, or ``default`` where none can be read."""
+    """Saved projects, or ``default`` where there are none: no folder, or in it no file
+    of ``app`` that is whole. Other failures are raised."""
     try:
         found = read_projects(spark, path, app)
-        return default if found.isEmpty() else found
-    except Exception:  # an absent or damaged folder
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return default
+    return default if found.isEmpty() else found
 
 
 def write_code(df: DataFrame, column: str, path: str) -> None:

@@ -11,20 +11,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def framed(chunks: DataFrame, marker: str) -> DataFrame:
-    """``port, frame_no, frame`` from a stream ``port string, seq long, chunk
-    string``: the text before each marker, which is dropped; what follows the last
+    """``port, frame_no, frame`` from a stream ``port string, seq long, chunk`` (binary
+    or string): the text before each marker, which is dropped; what follows the last
     marker waits in the state for more. Chunks of a port are taken by ``seq`` within
-    a micro-batch, and micro-batches come in order."""
+    a micro-batch, and micro-batches come in order. Bytes are decoded as UTF-8 frame by
+    frame, so a character that two chunks share is whole; what is no UTF-8 becomes the
+    replacement character."""
+    mark = marker.encode()
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest, n = state.get if state.exists else ("", 0)
+        rest, n = state.get if state.exists else (b"", 0)
         rows = pd.concat(parts).sort_values("seq")
-        *frames, rest = (rest + "".join(rows["chunk"])).split(marker)
+        *frames, rest = (bytes(rest) + b"".join(c.encode() if isinstance(c, str) else bytes(c) for c in rows["chunk"])).split(mark)
         state.update((rest, n + len(frames)))
         if frames:
-            yield pd.DataFrame({"port": key[0], "frame_no": range(n, n + len(frames)), "frame": frames})
+            yield pd.DataFrame({"port": key[0], "frame_no": range(n, n + len(frames)), "frame": [f.decode("utf-8", "replace") for f in frames]})
 
-    return chunks.groupBy("port").applyInPandasWithState(step, "port string, frame_no long, frame string", "rest string, n long", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("port").applyInPandasWithState(step, "port string, frame_no long, frame string", "rest binary, n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def totals(changes: DataFrame, key: str, delta: str) -> DataFrame:
