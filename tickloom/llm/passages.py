@@ -47,8 +47,9 @@ MATCH_WORDS = 5
 MIN_WORDS = 50
 MIN_SIMILARITY = 0.8
 GAP_COST = 0.25
-#: Partners of a pivot in one block.
-PARTNERS = 256
+#: Partners of a pivot in one block, and pairs about that are compared in one group.
+PARTNERS = 128
+PAIRS = 64
 #: Bytes of text that are hashed together.
 BLOCK_BYTES = 1_000_000
 
@@ -166,6 +167,9 @@ def parts(own: list[Segment], a: np.ndarray, b: np.ndarray, min_words: int, leas
     its segments with the most words in common, as few as have them."""
     if own[-1][0] + own[-1][2] - own[0][0] < min_words:
         return []
+    if len(own) == 1:
+        ((i, j, n),) = own
+        return [(i, i + n, j, j + n, n)]
     i, j, n = np.array(own).T
     room = np.minimum(i[1:] - i[:-1] - n[:-1], j[1:] - j[:-1] - n[:-1])
     if n.sum() + room.sum() < least * min_words:
@@ -493,21 +497,31 @@ def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, pa
     left = pairs.join(few, "pivot").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), "blocks").cast("int"))
     # Groups cost far more than their bytes say, so adaptive plans should not merge them.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = left.join(texts, "id").select("pivot", "block", "id", "text").repartition(tasks, "pivot", "block")
+    buckets = -(-pairs.count() // PAIRS)
+    bucket = F.pmod(F.xxhash64("pivot", "block"), F.lit(max(1, buckets))).alias("bucket")
+    left = left.join(texts, "id").select(bucket, "pivot", "id", "text").repartition(tasks, "bucket")
     right = dealt.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = right.join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot").repartition(tasks, "pivot", "block")
+    right = right.join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot").select(bucket, "pivot", "pivot_text").repartition(tasks, "bucket")
     kind = f"doc_id {ids}, start_word long, end_word long, other_id {ids}, other_start long, other_end long, words long"
 
     def run(mine: pa.Table, pivot: pa.Table) -> pa.Table:
-        ids_, found = mine.column("id"), []
-        texts_ = as_strings(mine.column("text")) if len(ids_) else pa.array([], pa.string())
-        for text in pivot.column("pivot_text").to_pylist() if len(texts_) else ():
-            for start, end in blocks(texts_, BLOCK_BYTES):
-                found += [(start + t, *rest) for t, *rest in passages(text, texts_.slice(start, end - start), min_words, least)]
+        mine = mine.sort_by([("pivot", "ascending"), ("id", "ascending")])
+        runs = mine.column("pivot").combine_chunks().dictionary_encode() if mine.num_rows else pa.array([], pa.string()).dictionary_encode()
+        ends = np.cumsum(np.bincount(runs.indices.to_numpy(), minlength=len(runs.dictionary))).tolist()
+        said: dict = {}
+        for k, text in set(zip(pivot.column("pivot").to_pylist(), pivot.column("pivot_text").to_pylist(), strict=True)):
+            said.setdefault(k, []).append(text)
+        every = as_strings(mine.column("text")) if mine.num_rows else pa.array([], pa.string())
+        found = []
+        for k, low, high in zip(runs.dictionary.to_pylist(), [0, *ends], ends, strict=False):
+            for text in said.get(k, ()):
+                for start, end in blocks(every.slice(low, high - low), BLOCK_BYTES):
+                    found += [(low + start + t, *rest) for t, *rest in passages(text, every.slice(low + start, end - start), min_words, least)]
+        give_back()
         cols = list(zip(*found, strict=True)) or [()] * 6
         long = [pa.array(c, pa.int64()) for c in cols]
         return pa.table({
-            "doc_id": ids_.take(long[0]),
+            "doc_id": mine.column("id").take(long[0]),
             "start_word": long[1],
             "end_word": long[2],
             "other_id": mine.column("pivot").take(long[0]),
@@ -516,7 +530,7 @@ def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, pa
             "words": long[5],
         })
 
-    return left.groupBy("pivot", "block").cogroup(right.groupBy("pivot", "block")).applyInArrow(run, kind)
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, kind)
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
