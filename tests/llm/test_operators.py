@@ -121,6 +121,11 @@ def test_mixing(spark):
         words[x.source] += len((x.text or "").split())
     assert all(abs(words[s] - target[s]) <= 40 for s in order)
     assert mixing.plan_mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
+    clash = docs(spark, rows).withColumns({c: F.lit(c) for c in ("skey", "Epochs", "cut", "times", "time", "key", "a.b")})
+    again = mixing.mix(clash)
+    assert again.columns == clash.columns
+    assert {tuple(x)[6:] for x in again.collect()} == {tuple(clash.columns[6:])}
+    assert again.count() == mixed.count()
 
 
 # Quality rules
@@ -358,12 +363,13 @@ def test_products_are_associative():
 
 def test_encode_decode(spark, pieces):
     rows = [(1, "Hello  world"), (2, None), (3, ""), (4, "x" * 700 + " y " * 300), (4, "x" * 700 + " y " * 300), (5, "é🙂\n日本 " * 200), (None, " lead and trail ")]
-    df = spark.createDataFrame([(i, t, [7], "q") for i, t in rows], "doc_id long, text string, ids array<int>, doc string")
+    df = spark.createDataFrame([(i, t, [7], "q", "s", "r") for i, t in rows], "doc_id long, text string, ids array<int>, doc string, said string, row string")
     coded = sentence_pieces.encode(df, chunk=256)
     got = Counter((r.doc_id, tuple(r.ids)) for r in coded.collect())
     assert got == Counter((i, tuple(pieces.whole.encode(t or ""))) for i, t in rows)
     back = sentence_pieces.decode(coded)
-    assert back.columns == ["doc_id", "doc", "text"]
+    assert back.columns == ["doc_id", "doc", "said", "row", "text"]
+    assert {(r.doc, r.said, r.row) for r in back.collect()} == {("q", "s", "r")}
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((i, t or "") for i, t in rows)
     assert sentence_pieces.encode(df.limit(0)).count() == 0
 
@@ -371,18 +377,69 @@ def test_encode_decode(spark, pieces):
 # Pipeline
 
 
-def test_pipeline(spark):
-    out = corpus_pipeline.run(spark, SF)
-    rows = out.select("doc_id", "source", "n_tokens", "ids").collect()
-    source = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+def brute_targets(sizes):
+    """Targets by source: weights by code point, null last, the excess shared again."""
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, free = {}, set(order)
+    while free:
+        left = sum(sizes.values()) - sum(target.values())
+        share = {s: weight[s] * left / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            return target | share
+        target |= {s: 3 * sizes[s] for s in over}
+        free -= set(over)
+    return target
+
+
+def brute_mix(rows):
+    """How often each of ``rows`` (id, text, source) is in the mix."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in rows}
+    of = defaultdict(list)
+    for i, _, s in rows:
+        of[s].append(i)
+    sizes = {s: sum(size[i] for i in ids) for s, ids in of.items()}
+    times = Counter()
+    for s, target in brute_targets(sizes).items():
+        whole, left = divmod(math.floor(target), sizes[s]) if sizes[s] else (0, 0)
+        for i in sorted(of[s], key=lambda i: (hashlib.md5(f"mix-1:{i}".encode()).hexdigest(), i)):
+            times[i] = whole + (left > 0 and 2 * min(left, size[i]) >= size[i])
+            left -= size[i]
+    return times
+
+
+def test_pipeline(spark, pieces):
+    """All stages after language ID, whose own tests are above, against brute force on
+    the rows that it keeps."""
+    known = language_id.keep_identified(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
-    seen = {}
-    for r in rows:
-        assert r.n_tokens == len(r.ids)
-        seen.setdefault(norm(source[r.doc_id].text), set()).add(r.doc_id)
-    assert all(len(v) == 1 for v in seen.values())
-    assert max(Counter(r.doc_id for r in rows).values()) <= 3
     firsts = {}
-    for i, d in sorted(source.items()):
-        firsts.setdefault(norm(d.text), i)
-    assert {r.doc_id for r in rows} <= set(firsts.values())
+    for d in sorted(known, key=lambda d: d.doc_id):
+        firsts.setdefault(norm(d.text), d)
+    bags = []
+    for d in firsts.values():
+        w = re.findall(r"[^\x20\x09-\x0D]+", d.text)
+        bags.append(Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))))
+    root = list(range(len(bags)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags[:i]):
+            n, m = a.total(), b.total()
+            if min(n, m) >= 0.8 * max(n, m):
+                common = (a & b).total()
+                if common >= 0.8 * (n + m - common):
+                    x, y = find(i), find(j)
+                    root[max(x, y)] = min(x, y)
+    kept = [d for i, d in enumerate(firsts.values()) if find(i) == i]
+    assert len(kept) < len(firsts) < len(known)
+    times = brute_mix([(d.doc_id, d.text, d.source) for d in kept])
+    want = Counter({(d.doc_id, d.lang, d.source, tuple(pieces.whole.encode(d.text))): times[d.doc_id] for d in kept if times[d.doc_id]})
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert all(r.n_tokens == len(r.ids) for r in got)
+    assert Counter((r.doc_id, r.lang, r.source, tuple(r.ids)) for r in got) == want

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, read, stored, text_of
+from .common import WORD, broadcast_if_small, columns_of, fresh, read, stored, text_of
 
 ROWS_PER_RANGE = 4096
 WEIGHTS = (5, 2, 1)
@@ -136,25 +136,26 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows of ``docs`` with all their columns: a document appears once
     for each time it is taken. The one document per source that the budget cuts is
     taken whole if at least half of it is in the budget. The plan is reduced to one
-    cut per source, so texts are not shuffled."""
+    cut per source, so texts are not shuffled. Nulls, ties and repeated rows count as in
+    ``plan_mix``; nothing of ``docs`` is overwritten by names that clash."""
     plan = plan_mix(docs, **options)
     last = F.struct("key", "doc_id", (F.col("rest") * 2 >= F.col("size")).alias("whole"))
+    skey, epochs, cut, times, time = fresh(docs, "skey", "epochs", "cut", "times", "time")
     cuts = stored(
-        plan.groupBy("skey").agg(F.max("epochs").alias("__epochs"), F.max(F.when(F.col("rest") > 0, last)).alias("__cut")),
+        plan.groupBy(F.col("skey").alias(skey)).agg(F.max("epochs").alias(epochs), F.max(F.when(F.col("rest") > 0, last)).alias(cut)),
         "mix-cuts",
     )
     id_col, seed = options.get("id_col", "doc_id"), options.get("seed", SEED)
     here = F.struct(hash_key(id_col, seed).alias("key"), F.col(id_col).alias("doc_id"))
-    cut = F.struct("__cut.key", "__cut.doc_id")
-    once_more = F.col("__cut").isNotNull() & ((here < cut) | ((here == cut) & F.col("__cut.whole")))
-    times = F.col("__epochs") + F.when(once_more, 1).otherwise(0)
+    end = F.struct(F.col(cut)["key"].alias("key"), F.col(cut)["doc_id"].alias("doc_id"))
+    once_more = F.col(cut).isNotNull() & ((here < end) | ((here == end) & F.col(cut)["whole"]))
     return (
-        docs.withColumn("__skey", source_key(options.get("source_col", "source")))
-        .join(broadcast_if_small(cuts.withColumnRenamed("skey", "__skey")), "__skey")
-        .withColumn("__times", times.cast("int"))
-        .where("__times > 0")
-        .withColumn("__time", F.explode(F.sequence(F.lit(1), "__times")))
-        .select(*docs.columns)
+        docs.withColumn(skey, source_key(options.get("source_col", "source")))
+        .join(broadcast_if_small(cuts), skey)
+        .withColumn(times, (F.col(epochs) + F.when(once_more, 1).otherwise(0)).cast("int"))
+        .where(F.col(times) > 0)
+        .withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times))))
+        .select(*columns_of(docs))
     )
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, read, stored, text_of
+from .common import fresh, give_back, read, stored, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer documents, in characters, are giant: they are split into such chunks.
@@ -236,24 +236,25 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
         shared = spark.sparkContext.broadcast(f.read())
     around = Pieces(shared.value).longest
     carried = [c for c in docs.columns if c not in (text_col, ids_col)]
-    said = docs.select(*carried, text_of(text_col).alias("__text"))
-    schema = docs.select(*carried).withColumn(ids_col, F.array().cast("array<int>")).schema
+    (said_col,) = fresh(docs, "said")
+    said = docs.select(*[F.col(f"`{c}`") for c in carried], text_of(text_col).alias(said_col))
+    schema = docs.select(*[F.col(f"`{c}`") for c in carried]).withColumn(ids_col, F.array().cast("array<int>")).schema
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(start, BLOCK_ROWS)
-                ids = pa.array(m.whole.encode(part.column("__text").to_pylist(), num_threads=1), pa.list_(pa.int32()))
+                ids = pa.array(m.whole.encode(part.column(said_col).to_pylist(), num_threads=1), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), ids], names=[*carried, ids_col])
         give_back()
 
-    short = said.where(F.length("__text") < chunk).mapInArrow(small, schema)
+    short = said.where(F.length(said_col) < chunk).mapInArrow(small, schema)
 
-    row = F.struct(*carried).alias("__row") if carried else F.lit(None).cast("string").alias("__row")
-    marked = F.concat(F.lit(SPACE), F.replace("__text", F.lit(" "), F.lit(SPACE)))
+    row = (F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("string")).alias("row")
+    marked = F.concat(F.lit(SPACE), F.replace(said_col, F.lit(" "), F.lit(SPACE)))
     low = F.greatest(F.lit(0), F.col("n") * chunk - around)
-    long = stored(said.where(F.length("__text") >= chunk).select(row, marked.alias("said"), F.monotonically_increasing_id().alias("doc")), "giant-texts")
+    long = stored(said.where(F.length(said_col) >= chunk).select(row, marked.alias("said"), F.monotonically_increasing_id().alias("doc")), "giant-texts")
     parts = (
         long.withColumn("size", F.length("said"))
         .withColumn("n", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk).cast("int"))))
@@ -297,7 +298,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
     states = stored(states, "giant-borders")
     traced = parts.join(states, ["doc", "n"]).select("doc", "n", "part", "start", "end", "first", "last", "begin", "finish").mapInArrow(backtrace, "doc long, n int, ids array<int>")
     whole = traced.groupBy("doc").agg(F.flatten(F.sort_array(F.collect_list(F.struct("n", "ids"))).getField("ids")).alias("ids"))
-    giant = whole.join(long.select("doc", "__row"), "doc").select(*[F.col("__row")[c].alias(c) for c in carried], F.col("ids").alias(ids_col))
+    giant = whole.join(long.select("doc", "row"), "doc").select(*[F.col("row")[c].alias(c) for c in carried], F.col("ids").alias(ids_col))
     return short.unionByName(giant)
 
 
