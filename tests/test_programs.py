@@ -53,6 +53,27 @@ def test_clock_and_handles(spark):
     assert got == [(1, 0, 0, "tone", 900.0), (1, 1, 150, "pwm", 0.0), (2, 0, 150, "pwm", 0.0), (3, 0, 150, "tone", 900.0), (3, 1, 300, "pwm", 0.0), (4, 0, 300, "pwm", 0.0)]
 
 
+def test_time_of_loops(spark):
+    """A loop that takes no time needs no shuffle; a pause inside the start is counted."""
+    rows = spark.createDataFrame([(d, t, {4: t % 2}, {}) for d in (1, 2) for t in range(4)], READINGS)
+    pressed = compare("EQ", block("eb_dread", {"PIN": "4"}), num(0))
+    loop = [if_else(pressed, [dwrite(2, 0)], [dwrite(2, 1)])]
+    out = run_program(rows, workspace(None, loop))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.t_ms for r in out.collect()] == [0] * 8
+    fields = ["device", "tick", "seq", "t_ms", "kind", "pin", "num_val", "str_val"]
+    for start in ([if_else(pressed, [sleep(5)], [sleep(9)])], [if_else(pressed, [], [dwrite(2, 1)])], [sleep(7)], [dwrite(3, 1)]):
+        program = workspace(start, [*loop, if_else(pressed, [sleep(3)], [dwrite(4, 1)])])
+        expected = numbered(fold(rows, compile_program(read_program(program)))).select(*fields)
+        assert sorted(map(str, run_program(rows, program).select("device", "t_ms", "kind", "pin", "num_val").collect())) == sorted(map(str, expected.select("device", "t_ms", "kind", "pin", "num_val").collect()))
+
+
+def test_fields_that_are_no_numbers(three):
+    odd = workspace(None, [block("eb_dwrite", {"PIN": "2", "VAL": "high"}), dwrite("inf", 1), dwrite("nan", 0)])
+    assert [w[0] for w in compile_program(read_program(odd)).warnings] == ["dropped_statement", "bad_pin", "bad_pin"]
+    assert log(run_program(three, odd)) == [("dw", 2, 1.0), ("dw", 2, 0.0)] * 3
+
+
 def test_while_break_continue(three):
     flow = lambda k: block("controls_flow_statements", {"FLOW": k})
     body = seq(

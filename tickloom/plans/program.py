@@ -80,7 +80,7 @@ class Compiler:
         self.program, self.seed = program, seed
         self.kinds: dict[str, str] = {}
         self.warnings: list[tuple[str, str]] = []
-        self.keeps_state = False
+        self.keeps_state = self.takes_time = False
 
     def warn(self, code: str, message: str) -> None:
         self.warnings.append((code, message))
@@ -203,7 +203,10 @@ class Compiler:
                 s = let(s, self.running(self.statement(b, r)))
             except (Unsupported, KindError) as e:
                 self.warn("dropped_statement", f"{b['type']}: {e}")
-        return s if blocks else s.withField("t_ms", s["t_ms"] + 100)
+        if blocks:
+            return s
+        self.takes_time = True
+        return s.withField("t_ms", s["t_ms"] + 100)
 
     @staticmethod
     def running(f: State) -> State:
@@ -218,6 +221,7 @@ class Compiler:
         kind, fields = block["type"], block.get("fields", {})
         if kind == "eb_sleep":
             unit = 1000 if fields.get("UNIT") == "s" else 1
+            self.takes_time = True
 
             def f(s: Column) -> Column:
                 ms = self.number_in(block, "MS", 1000, s, r)
@@ -227,7 +231,11 @@ class Compiler:
             self.pin(block)
             return lambda s: s
         elif kind == "eb_dwrite":
-            pin, v = self.pin(block), float(fields.get("VAL", 0))
+            pin = self.pin(block)
+            try:
+                v = float(fields.get("VAL", 0))
+            except (TypeError, ValueError):
+                raise Unsupported("VAL") from None
             return lambda s: self.emit(s, r, "dw", pin, F.lit(v))
         elif kind in ("eb_awrite", "eb_swrite"):
             pin = self.pin(block)
@@ -239,6 +247,7 @@ class Compiler:
 
         elif kind == "eb_tone":
             pin, length = self.pin(block), self.literal(self.input(block, "DUR"))
+            self.takes_time |= bool(length and length > 0)
 
             def f(s: Column) -> Column:
                 out = self.handle(self.emit(s, r, "tone", pin, board.tone_hz(self.number_in(block, "FREQ", 440, s, r).cast("float"))), s, pin)
@@ -353,7 +362,7 @@ def compile_program(program: Program, seed: int = 0) -> Compiler:
     c = Compiler(program, seed)
     for _ in range(4):
         before = dict(c.kinds)
-        c.warnings, c.keeps_state = [], False
+        c.warnings, c.keeps_state, c.takes_time = [], False, False
         c.tick(F.col("state"), F.col("reading"))
         if c.kinds == before:
             break
@@ -378,16 +387,18 @@ def run_program(readings: DataFrame, workspace: str | dict, span: Column | None
     if "waits" not in readings.columns:
         readings = readings.withColumn("waits", F.create_map().cast("map<int,bigint>"))
     reading = F.struct("tick", "reads", "waits")
-    sleeps = any(b["type"] in ("eb_sleep", "eb_tone") for b in program.setup)
-    if not c.keeps_state and program.has_loop and not sleeps:
+    start = compile_program(Program(program.setup, [], False), seed)
+    if not c.keeps_state and program.has_loop and not start.takes_time:
         rows = readings.withColumn("state", c.tick(let(c.initial(), lambda s: s.withField("pc", F.lit(len(program.setup)))), reading))
-        rows = clock(rows.withColumn("__ms", F.col("state.t_ms")), "device", ["tick"], F.floor(F.col("tick") / 10_000) if span is None else span, F.col("__ms"), "__before")
+        if compile_program(Program([], program.loop, True), seed).takes_time:
+            rows = clock(rows.withColumn("__ms", F.col("state.t_ms")), "device", ["tick"], F.floor(F.col("tick") / 10_000) if span is None else span, F.col("__ms"), "__before")
+        else:
+            rows = rows.withColumn("__before", F.lit(0).cast("bigint"))
         rows = rows.select("device", "__before", F.posexplode("state.actions").alias("seq", "a"))
         out = rows.select("device", "a.tick", "seq", (F.col("a.t_ms") + F.col("__before")).alias("t_ms"), "a.kind", "a.pin", "a.num_val", "a.str_val")
         if not program.setup:
             return out
         first = readings.groupBy("device").agg(F.min(F.struct("tick")).alias("f")).select("device", F.struct(F.col("f.tick").alias("tick"), F.create_map().cast("map<int,bigint>").alias("reads"), F.create_map().cast("map<int,bigint>").alias("waits")).alias("r"))
-        start = compile_program(Program(program.setup, [], False), seed)
         acts = first.withColumn("state", start.tick(start.initial(), F.col("r"))).select("device", F.posexplode("state.actions").alias("seq", "a"))
         return out.unionByName(acts.select("device", "a.tick", "seq", "a.t_ms", "a.kind", "a.pin", "a.num_val", "a.str_val"))
     if not program.has_loop and not any(b["type"] == "eb_wait_until" for b in program.setup):
