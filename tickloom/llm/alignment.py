@@ -34,8 +34,13 @@ HELD_PAIRS = 1_000_000
 #: Pairs of the corpus whose counts a task looks up at a time: 32 MB.
 PAIR_BLOCK = 2_000_000
 
-ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, a_ids binary, b_ids binary, a_sizes binary, b_sizes binary"
-ALIGNED_ARROW = pa.schema([*((n, pa.int64()) for n in ("row", "doc_id", "n_a", "n_b", "n_groups")), *((n, pa.binary()) for n in ("a_ids", "b_ids", "a_sizes", "b_sizes"))])
+#: Tokens of finished documents that a task reads at a time.
+BLOCK_TOKENS = 500_000
+#: Marks the last token of a group.
+LAST = np.uint32(1 << 31)
+
+ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, a_ids binary, b_ids binary"
+ALIGNED_ARROW = pa.schema([*((n, pa.int64()) for n in ("row", "doc_id", "n_a", "n_b", "n_groups")), ("a_ids", pa.binary()), ("b_ids", pa.binary())])
 
 SCORED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string"
 SCORED_ARROW = pa.schema([*((n, pa.int64()) for n in ("row", "doc_id", "n_a", "n_b", "n_groups", "n_best", "count_sum")), ("groups_sha256", pa.string())])
@@ -85,9 +90,9 @@ def _ends(ids: np.ndarray, counts: np.ndarray, tokens: pa.Array) -> tuple[np.nda
 
 
 def align_block(texts: list[str], a: byte_bpe.ByteBpe, b: PieceTokens) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For texts that are not empty: the ids of both tokenizers and the numbers of
-    tokens of both in each group, one after the other, and by text the number of
-    ids of both and of groups. A text that the tokens of one do not spell has none."""
+    """For texts that are not empty: the ids of both tokenizers, one text after the
+    other, the last of each group with ``LAST``; and by text the number of ids of both
+    and of groups. A text that the tokens of one do not spell has none."""
     said = [f" {t}".encode() for t in texts]
     sizes = np.array([len(s) for s in said], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -111,21 +116,24 @@ def align_block(texts: list[str], a: byte_bpe.ByteBpe, b: PieceTokens) -> tuple[
         # No two documents share a byte: its start and the end make one key of both.
         tables.append(pa.table({"key": (np.repeat(starts, counts) + own)[kept].astype(np.int32), name: np.arange(len(ids_of[-1]), dtype=np.int32)}))
     both = tables[0].join(tables[1], keys="key", join_type="inner", use_threads=False)
-    last = [np.sort(both.column(name).to_numpy()) for name in "ab"]
-    groups = np.bincount(parents[0][last[0]], minlength=len(texts))
-    return [*ids_of, *(np.diff(x, prepend=-1) for x in last)], [*counts_of, groups]
+    groups = np.bincount(parents[0][both.column("a").to_numpy()], minlength=len(texts))
+    out = []
+    for name, ids in zip("ab", ids_of, strict=True):
+        out.append(ids.astype(np.uint32))
+        out[-1][both.column(name).to_numpy()] |= LAST
+    return out, [*counts_of, groups]
 
 
-def _blobs(numbers: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """The numbers of each row as bytes."""
+def _blobs(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The ids of each row as bytes."""
     offsets = np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(numbers.astype("<u4"))])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
 
 
 def align(docs: DataFrame, model_a: str = byte_bpe.MODEL, model_b: str = sentence_pieces.MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ids of both tokenizers of a space and the text,
-    and the number of tokens of both in each group, as little-endian ``uint32``, with
-    ``row`` as its own number. Strings of special tokens are plain text. Texts that are
+    """One row for each row of ``docs``, with ``row`` as its own number: the ids of both
+    tokenizers of a space and the text, as little-endian ``uint32``; the highest bit
+    marks the last token of a group on either side. Strings of special tokens are plain text. Texts that are
     null or empty, or that the tokens of one side do not spell byte by byte, have no
     tokens. Repeated rows and ids are aligned each; other columns are not read; an
     empty table gives no rows."""
@@ -143,9 +151,9 @@ def align(docs: DataFrame, model_a: str = byte_bpe.MODEL, model_b: str = sentenc
                 part = batch.slice(own[0], len(own))
                 texts = part.column(2).to_pylist()
                 there = np.array([bool(t) for t in texts])
-                numbers, counts = align_block([t for t in texts if t], a, b) if there.any() else ([np.zeros(0, np.int64)] * 4, [np.zeros(0, np.int64)] * 3)
+                numbers, counts = align_block([t for t in texts if t], a, b) if there.any() else ([np.zeros(0, np.uint32)] * 2, [np.zeros(0, np.int64)] * 3)
                 n_a, n_b, n_groups = (np.bincount(np.flatnonzero(there), c, len(texts)).astype(np.int64) for c in counts)
-                blobs = [_blobs(x, n) for x, n in zip(numbers, (n_a, n_b, n_groups, n_groups), strict=True)]
+                blobs = [_blobs(x, n) for x, n in zip(numbers, (n_a, n_b), strict=True)]
                 counted = [pa.array(n) for n in (n_a, n_b, n_groups)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *counted, *blobs], schema=ALIGNED_ARROW)
         give_back()
@@ -154,18 +162,29 @@ def align(docs: DataFrame, model_a: str = byte_bpe.MODEL, model_b: str = sentenc
     return said.mapInArrow(run, ALIGNED)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of about ``BLOCK_TOKENS`` tokens, with the marked ids of both sides."""
+    for batch in batches:
+        n = np.cumsum(pc.binary_length(batch.column("a_ids")).to_numpy().astype(np.int64)) // (4 * BLOCK_TOKENS)
+        edges = [0, *(np.flatnonzero(np.diff(n)) + 1), len(n)]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if start < end:
+                part = batch.slice(start, end - start)
+                yield part, _flat(part.column("a_ids")), _flat(part.column("b_ids"))
+
+
 def _flat(column: pa.Array) -> np.ndarray:
-    """The numbers of a column of blobs, one after the other."""
+    """The ids of a column of blobs, one row after the other."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    if not len(column) or offsets[0] == offsets[-1]:
-        return np.zeros(0, np.int64)
-    return np.frombuffer(column.buffers()[2], "<u4", (offsets[-1] - offsets[0]) // 4, offsets[0]).astype(np.int64)
+    if offsets[0] == offsets[-1]:
+        return np.zeros(0, np.uint32)
+    return np.frombuffer(column.buffers()[2], "<u4", (offsets[-1] - offsets[0]) // 4, offsets[0])
 
 
-def _pairs(batch: pa.RecordBatch) -> np.ndarray:
+def _pairs(a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
     """The linked ids (the last of both sides of each group), as one number."""
-    a_ids, b_ids, a_sizes, b_sizes = (_flat(batch.column(c)) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
-    return (b_ids[np.cumsum(b_sizes) - 1] << 32) | a_ids[np.cumsum(a_sizes) - 1]
+    first, second = (x[x >= LAST] ^ LAST for x in (a_ids, b_ids))
+    return second.astype(np.int64) << 32 | first
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -174,8 +193,8 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        for batch in batches:
-            pairs = _pairs(batch)
+        for _, a_ids, b_ids in _blocks(batches):
+            pairs = _pairs(a_ids, b_ids)
             new = pa.table({"pair": pairs, "n": np.ones(len(pairs), np.int64)})
             held = pa.concat_tables([held, new])
             if held.num_rows > 4 * HELD_PAIRS:
@@ -186,7 +205,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
         yield from _summed(held).to_batches()
         give_back()
 
-    partial = aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(run, "pair long, n long")
+    partial = aligned.select("a_ids", "b_ids").mapInArrow(run, "pair long, n long")
     counts = stored(partial.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     second = F.shiftright("pair", 32)
     most = counts.groupBy(second.alias("b")).agg(F.max("n").alias("most"))
@@ -215,8 +234,8 @@ def scored(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first: bool = k == 0) -> Iterator[pa.RecordBatch]:
             keys, counted, best = shared.value
-            for batch in batches:
-                pairs = _pairs(batch)
+            for batch, a_ids, b_ids in _blocks(batches):
+                pairs = _pairs(a_ids, b_ids)
                 doc = np.repeat(np.arange(batch.num_rows), batch.column("n_groups").to_numpy())
                 at = np.minimum(np.searchsorted(keys, pairs), max(0, len(keys) - 1))
                 hit = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
@@ -224,7 +243,7 @@ def scored(aligned: DataFrame, counts: DataFrame) -> DataFrame:
                 sums = np.zeros(batch.num_rows, np.int64)
                 np.add.at(sums, doc, counted[at])
                 n_best = np.bincount(doc[best[at]], minlength=batch.num_rows)
-                digests = pa.array(_digests(batch) if first else [None] * batch.num_rows, pa.string())
+                digests = pa.array(_digests(batch, a_ids, b_ids) if first else [None] * batch.num_rows, pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_a", "n_b", "n_groups")), pa.array(n_best, pa.int64()), pa.array(sums), digests], schema=SCORED_ARROW)
             give_back()
 
@@ -243,17 +262,18 @@ def _decimals(bits: int) -> pa.Array:
     return pa.array([f"{i}{e}" for e in (",", "|", ";", "") for i in range(1 << bits)], pa.string())
 
 
-def _digests(batch: pa.RecordBatch) -> list[str]:
-    a_ids, b_ids, a_sizes, b_sizes = (_flat(batch.column(c)) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
+def _digests(batch: pa.RecordBatch, a_ids: np.ndarray, b_ids: np.ndarray) -> list[str]:
     a_n, b_n = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+    a_end, b_end = a_ids >= LAST, b_ids >= LAST
+    a_ids, b_ids = (np.where(e, x ^ LAST, x).astype(np.int64) for x, e in ((a_ids, a_end), (b_ids, b_end)))
     bits = max(16, int(max(a_ids.max(initial=0), b_ids.max(initial=0))).bit_length())
-    a_end, b_end = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
-    a_end[np.cumsum(a_sizes) - 1], b_end[np.cumsum(b_sizes) - 1] = 1, 2
-    b_end[np.cumsum(b_n)[b_n > 0] - 1] = 3
+    b_more = b_end * 2
+    b_more[np.cumsum(b_n)[b_n > 0] - 1] = 3
     # A token of the second side stands behind all of the first up to its group's end.
+    a_sizes, b_sizes = (np.diff(np.flatnonzero(e), prepend=-1) for e in (a_end, b_end))
     order = np.empty(len(a_ids) + len(b_ids), np.int64)
-    order[np.arange(len(a_ids)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)] = a_end << bits | a_ids
-    order[np.arange(len(b_ids)) + np.repeat(np.cumsum(a_sizes), b_sizes)] = b_end << bits | b_ids
+    order[np.arange(len(a_ids)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)] = a_end.astype(np.int64) << bits | a_ids
+    order[np.arange(len(b_ids)) + np.repeat(np.cumsum(a_sizes), b_sizes)] = b_more << bits | b_ids
     ends, out = np.cumsum(a_n + b_n), []
     for end, n in zip(ends, a_n + b_n, strict=True):
         if not n:
