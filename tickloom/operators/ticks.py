@@ -58,6 +58,19 @@ def repeat(df: DataFrame, times: Column, name: str = "i") -> DataFrame:
     return df.withColumn(name, F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("bigint"), times - 1))))
 
 
+def continue_when(rounds: DataFrame, condition: Column) -> DataFrame:
+    """The rounds that do not ``continue``; what comes after is for these only. A null
+    condition is false."""
+    return rounds.where(~F.coalesce(condition, F.lit(False)))
+
+
+def start_and_loop(df: DataFrame, key: str, order: Sequence[str], loops: str = "loops") -> DataFrame:
+    """Each device's first row in ``order``, at which its start runs, and how many rows it
+    has, at each of which its loop runs. Rows are added up before they are shuffled."""
+    first = F.min(F.struct(*order)).alias("first")
+    return df.groupBy(key).agg(first, F.count(F.lit(1)).alias(loops)).select(key, "first.*", loops)
+
+
 def wait_until(df: DataFrame, key: str, order: Sequence[str], condition: Column, *columns: str) -> DataFrame:
     """Each device's first row at which ``condition`` holds; no row if none does."""
     first = F.min(F.struct(*order, *[c for c in columns if c not in order])).alias("first")

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from .functions import board
 from .functions.pysem import BINARY, Value, number, py_abs, py_compare, py_int, py_join, py_neg, py_not, py_pow, py_str, py_truthy
-from .operators import ticks
+from .operators import markers, state, ticks
 from .plans.examples import EXAMPLES, block, change, compare, if_else, num, say, text, var, workspace
 from .plans.program import run_program
+from .scratch import shared_dir
 from .sources import serial
 from .streaming import serial as streams
+from .streaming import waiters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,7 +146,7 @@ def _projects(e: DataFrame) -> DataFrame:
 @query("SELECT 'p' || CAST(event_id AS VARCHAR) AS name, props AS workspace FROM events WHERE event_type <> 'view'")
 def project_import(e: DataFrame) -> DataFrame:
     """Project files, written and read again; those of another application are refused."""
-    path = serial.shared_dir(e.sparkSession, "projects")
+    path = shared_dir(e.sparkSession, "projects")
     serial.write_projects(_projects(e), path)
     return serial.read_projects(e.sparkSession, path, "loom").select("name", "workspace")
 
@@ -152,7 +154,7 @@ def project_import(e: DataFrame) -> DataFrame:
 @query("""SELECT '{"app":"' || CASE WHEN event_type = 'view' THEN 'other' ELSE 'loom' END || '","version":1,"name":"p' || CAST(event_id AS VARCHAR) || '","workspace":"' || replace(props, '"', '\\"') || '"}' AS line FROM events""")
 def project_export(e: DataFrame) -> DataFrame:
     """The lines of project files."""
-    path = serial.shared_dir(e.sparkSession, "projects")
+    path = shared_dir(e.sparkSession, "projects")
     serial.write_projects(_projects(e), path)
     return e.sparkSession.read.text(path).select(F.col("value").alias("line"))
 
@@ -160,7 +162,7 @@ def project_export(e: DataFrame) -> DataFrame:
 @query("SELECT 'p' || CAST(event_id AS VARCHAR) AS name, version FROM (SELECT event_id, 1 AS version FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 7 FROM events)")
 def project_fallback(e: DataFrame) -> DataFrame:
     """Saved projects where there are any, and where not, the given ones."""
-    spark, path = e.sparkSession, serial.shared_dir(e.sparkSession, "projects")
+    spark, path = e.sparkSession, shared_dir(e.sparkSession, "projects")
     serial.write_projects(_projects(e), path)
     default = _projects(e).withColumn("version", F.lit(7))
     found = serial.read_or_default(spark, path, "other", default)
@@ -170,7 +172,7 @@ def project_fallback(e: DataFrame) -> DataFrame:
 
 @query("SELECT 'dwrite(' || CAST(user_id % 40 AS VARCHAR) || ', ' || CAST(event_id % 2 AS VARCHAR) || ')' AS line FROM events")
 def code_export(e: DataFrame) -> DataFrame:
-    path = serial.shared_dir(e.sparkSession, "code")
+    path = shared_dir(e.sparkSession, "code")
     serial.write_code(e.withColumn("line", F.format_string("dwrite(%d, %d)", F.col("user_id") % 40, F.col("event_id") % 2)), "line", path)
     return e.sparkSession.read.text(path).select(F.col("value").alias("line"))
 
@@ -267,7 +269,7 @@ def chip_choice(p: DataFrame) -> DataFrame:
 @query("SELECT user_id, min(event_id) AS first_tick, count(*) AS loops FROM events GROUP BY user_id")
 def start_and_forever(e: DataFrame) -> DataFrame:
     """The start runs at a device's first tick, the loop at each."""
-    return e.groupBy("user_id").agg(F.min("event_id").alias("first_tick"), F.count(F.lit(1)).alias("loops"))
+    return ticks.start_and_loop(e, "user_id", ["event_id"]).withColumnRenamed("event_id", "first_tick")
 
 
 @table_query("orders", "SELECT o_orderkey, i FROM (SELECT o_orderkey, unnest(range(greatest(0, o_orderkey % 5 - 1))) AS i FROM orders)")
@@ -280,10 +282,19 @@ def repeat_times(o: DataFrame) -> DataFrame:
   UNION ALL SELECT event_id, n // 2, halvings + 1 FROM h WHERE n > 1
 ) SELECT event_id, max(halvings) AS halvings FROM h GROUP BY event_id""")
 def while_loop(e: DataFrame) -> DataFrame:
-    """Rounds of ``while n > 1: n = n // 2``, in a bounded fold."""
-    zero = F.struct(F.col("value").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"))
-    step = lambda s, _: F.when(s["n"] > 1, F.struct(F.floor(s["n"] / 2).alias("n"), (s["k"] + 1).alias("k"))).otherwise(s)
-    return e.select("event_id", F.aggregate(F.sequence(F.lit(1), F.lit(64)), zero, step)["k"].alias("halvings"))
+    """Rounds of ``while n > 1: n = n // 2``."""
+    halved = state.while_loop(e, {"n": F.col("value").cast("bigint")}, lambda s: s["n"] > 1, lambda s: {"n": F.floor(s["n"] / 2)}, rounds="halvings")
+    return halved.select("event_id", "halvings")
+
+
+@table_query("orders", """WITH RECURSIVE h AS (
+  SELECT o_orderkey, o_orderkey AS n, CAST(0 AS BIGINT) AS rounds FROM orders
+  UNION ALL SELECT o_orderkey, CASE WHEN n % 2 = 0 THEN n // 2 ELSE 3 * n + 1 END, rounds + 1 FROM h WHERE n > 1
+) SELECT o_orderkey, max(rounds) AS rounds FROM h GROUP BY o_orderkey""")
+def until_loop(o: DataFrame) -> DataFrame:
+    """``repeat until n <= 1``, with as many rounds as each row needs: hundreds for some."""
+    step = lambda s: {"n": F.when(s["n"] % 2 == 0, F.floor(s["n"] / 2)).otherwise(s["n"] * 3 + 1)}
+    return state.while_loop(o.select("o_orderkey"), {"n": F.col("o_orderkey")}, lambda s: ~(s["n"] <= 1), step).select("o_orderkey", "rounds")
 
 
 @query("""SELECT event_id, user_id FROM (
@@ -296,8 +307,8 @@ def break_prefix(e: DataFrame) -> DataFrame:
 @query("SELECT event_id, CAST(i AS INTEGER) AS i FROM events, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE NOT (event_type = 'view' AND i >= 2)")
 def continue_guard(e: DataFrame) -> DataFrame:
     """``continue`` leaves out the rest of a round."""
-    rounds = e.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    return rounds.where(~((F.col("event_type") == "view") & (F.col("i") >= 2))).select("event_id", "i")
+    rounds = ticks.repeat(e, F.lit(4).cast("bigint")).withColumn("i", F.col("i").cast("int"))
+    return ticks.continue_when(rounds, (F.col("event_type") == "view") & (F.col("i") >= 2)).select("event_id", "i")
 
 
 @query("SELECT user_id, min(event_id) AS event_id FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM events WHERE value > 60) WHERE ts = first_ts GROUP BY user_id")
@@ -320,6 +331,33 @@ def change_variable(e: DataFrame) -> DataFrame:
     return ticks.accumulate(e, "user_id", ORDER, _day(), F.col("value").cast("bigint")).select("event_id", "total")
 
 
+@query("""WITH e AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM events)
+SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 0 ELSE CAST(trunc(value) AS BIGINT) END) OVER (PARTITION BY user_id, part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM e""")
+def reset_accumulator(e: DataFrame) -> DataFrame:
+    """``if error: total = 0 else: total += value``"""
+    error = F.col("event_type") == "error"
+    return state.assign(e, "user_id", ORDER, _day(), F.when(error, 0), F.when(~error, F.col("value").cast("bigint")), "total").select("event_id", "total")
+
+
+@query("""WITH e AS (SELECT *, event_type = 'purchase' AND value > 30 AS hit FROM events),
+p AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM e)
+SELECT event_id, CAST(CASE WHEN part = 0 THEN 7 ELSE 0 END + sum(CASE WHEN hit THEN CAST(trunc(value) AS BIGINT) WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS level FROM p""")
+def guarded_set(e: DataFrame) -> DataFrame:
+    """``if purchase and value > 30: level = value elif click: level += 1``, from 7 on."""
+    hit, click = (F.col("event_type") == "purchase") & (F.col("value") > 30), F.col("event_type") == "click"
+    return state.assign(e, "user_id", ORDER, _day(), F.when(hit, F.col("value").cast("bigint")), F.when(click, 1), "level", start=7).select("event_id", "level")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CAST(trunc(value) AS BIGINT) AS a,
+  CASE event_type WHEN 'click' THEN -1 WHEN 'error' THEN 0 ELSE 1 END AS f FROM events),
+x AS (SELECT event_id, user_id, n, 5 * f + a AS level FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.user_id, e.n, x.level * e.f + e.a FROM x JOIN e ON e.user_id = x.user_id AND e.n = x.n + 1)
+SELECT event_id, CAST(level AS BIGINT) AS level FROM x""")
+def affine_updates(e: DataFrame) -> DataFrame:
+    """``level = level * factor + value`` with a factor of -1, 0 or 1."""
+    factor = F.when(F.col("event_type") == "click", -1).when(F.col("event_type") == "error", 0).otherwise(1)
+    return state.affine(e, "user_id", ORDER, _day(), factor, F.col("value").cast("bigint"), "level", start=5).select("event_id", "level")
+
+
 @query("""SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY k) - 1 AS INTEGER) AS seq, kind FROM (
   SELECT event_id, k, ['dw', 'servo', 'print'][k] AS kind FROM events, (SELECT unnest([1, 2, 3]) AS k) WHERE k <> 2 OR value > 50)""")
 def statement_chain(e: DataFrame) -> DataFrame:
@@ -388,7 +426,7 @@ def token_classes(d: DataFrame) -> DataFrame:
 FROM (SELECT doc_id, parts, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))""")
 def stream_frames(d: DataFrame) -> DataFrame:
     """Chunks of bytes, as a sender cuts them, framed by line on a stream that ends."""
-    spark, path = d.sparkSession, serial.shared_dir(d.sparkSession, "frames")
+    spark, path = d.sparkSession, shared_dir(d.sparkSession, "frames")
     chunks = serial.chunked(d, "text").select(F.col("doc_id").cast("string").alias("port"), F.col("chunk_no").alias("seq"), "chunk")
     chunks.write.parquet(f"{path}/in")
     frames = streams.framed(spark.readStream.schema(chunks.schema).parquet(f"{path}/in"), "\n")
@@ -396,6 +434,62 @@ def stream_frames(d: DataFrame) -> DataFrame:
     return spark.read.schema(frames.schema).parquet(f"{path}/out").select(F.col("port").cast("bigint").alias("doc_id"), "frame_no", "frame")
 
 
+@table_query("documents", r"""WITH p AS (SELECT doc_id, string_split(text, '.' || chr(10)) AS parts FROM documents),
+u AS (SELECT doc_id, len(parts) AS n, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM p),
+s AS (SELECT *, coalesce(sum(strlen(part) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at FROM u)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS frame_no, CAST(begin_at AS BIGINT) AS begin_at, CAST(begin_at + strlen(part) AS BIGINT) AS end_at FROM s WHERE i < n""")
+def marker_frames(d: DataFrame) -> DataFrame:
+    """Sentences that end a line, found in chunks of 256 bytes."""
+    return markers.frames(serial.chunked(d, "text"), "doc_id", "chunk_no", "chunk", ".\n")
+
+
+#: Milliseconds between two chunks of 256 characters, as a sender paces them.
+PACE = serial.CHUNK_PAUSE_MS
+
+
+def port_rows(d: DataFrame, asks: list[tuple[str, str | None, int | None, int, int]]) -> DataFrame:
+    """Each document as the text that comes at a port, and what is asked for there:
+    ``kind, text, n``, when, and for how long (ms). A clock of its own goes on to the end."""
+    at = lambda ms: F.timestamp_millis(ms.cast("bigint") + 1000)  # a stream's time begins at 0
+    port = F.col("doc_id").cast("string").alias("port")
+    cut = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil(F.length("text") / 256) - 1)))
+    chunks = d.where("text is not null").select("doc_id", "text", cut.alias("i")).select(
+        port, (F.col("i") * 100 + 50).alias("seq"), at(F.col("i") * PACE).alias("at"), F.lit("chunk").alias("kind"), F.substring("text", (F.col("i") * 256 + 1).cast("int"), F.lit(256)).alias("text"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("timeout_ms")
+    )
+    out = chunks
+    for k, (kind, text, n, ms, timeout) in enumerate(asks):
+        row = (port, F.lit(ms // PACE * 100 + k).cast("long"), at(F.lit(ms)), F.lit(kind), F.lit(text).cast("string"), F.lit(n).cast("long"), F.lit(timeout).cast("long"))
+        out = out.union(d.select(*row))
+    end = d.agg(F.coalesce(F.max(F.length("text")), F.lit(0)).alias("most")).select(F.lit("clock"), F.lit(0).cast("long"), at(F.col("most") + 10_000), F.lit("clock"), F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("long"))
+    return out.union(end)
+
+
+def run_ports(rows: DataFrame) -> DataFrame:
+    """The answers of a stream that reads ``rows`` to its end."""
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession, "ports")
+    rows.write.parquet(f"{path}/in")
+    with waiters.state_store(spark):
+        said = waiters.answered(spark.readStream.schema(waiters.ROWS).parquet(f"{path}/in"))
+        said.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(said.schema).parquet(f"{path}/out").select(F.col("port").cast("bigint").alias("doc_id"), "waiter", "status", "text")
+
+
+@table_query("documents", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+a AS (SELECT *, strpos(substr(text, 1, 1536), '.') AS dot FROM d),
+b AS (SELECT doc_id, dot, CASE WHEN dot > 0 THEN substr(text, 1, dot - 1) END AS line, substr(text, dot + 1, 2560 - dot) AS rest FROM a)
+SELECT doc_id, CAST(0 AS BIGINT) AS waiter, CASE WHEN dot > 0 THEN 'ok' ELSE 'timeout' END AS status, line AS text FROM b
+UNION ALL SELECT doc_id, 1, CASE WHEN length(rest) >= 400 THEN 'ok' ELSE 'timeout' END, substr(rest, 1, 400) FROM b""")
+def stream_waiters(d: DataFrame) -> DataFrame:
+    """A wait for a full stop of 50 ms, then one for 400 characters of 30 ms."""
+    return run_ports(port_rows(d, [("marker", ".", None, 0, 50), ("chars", None, 400, 60, 30)]))
+
+
+@table_query("documents", "SELECT doc_id, CAST(0 AS BIGINT) AS waiter, 'ok' AS status, coalesce(substr(text, 513, 2560), '') AS text FROM documents")
+def stream_drain(d: DataFrame) -> DataFrame:
+    """At 15 ms what has come is dropped; then the text of the next 100 ms is collected."""
+    return run_ports(port_rows(d, [("drain", None, None, 15, 100)]))
+
+
 @query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '1 hour' AS "end", count(*) AS changes FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM (
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM events)

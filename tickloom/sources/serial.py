@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +11,6 @@ CHUNK_PAUSE_MS = 10
 FRAME_END = "\x04"
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``; where none is set and Spark
-    runs in one process, below a temporary folder that then is."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tickloom/{tag}-{uuid.uuid4().hex}"
-
-
 def chunked(df: DataFrame, text: str, size: int = CHUNK_BYTES) -> DataFrame:
     """One row per slice of ``size`` bytes of the UTF-8 text: ``chunk_no, chunk``
     (binary) and ``at_ms``, when a sender that pauses after each would send it."""
