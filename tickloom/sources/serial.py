@@ -14,11 +14,12 @@ FRAME_END = "\x04"
 def chunked(df: DataFrame, text: str, size: int = CHUNK_BYTES) -> DataFrame:
     """One row per slice of ``size`` bytes of the UTF-8 text: ``chunk_no, chunk``
     (binary) and ``at_ms``, when a sender that pauses after each would send it."""
-    data = F.encode(F.col(text), "UTF-8")
-    n = F.ceil(F.octet_length(text) / size)
-    out = df.withColumn("chunk_no", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))))
+    # Encoded once a text: below the rows that are made of it.
+    out = df.withColumn("__data", F.encode(F.col(text), "UTF-8"))
+    n = F.ceil(F.octet_length("__data") / size)
+    out = out.withColumn("chunk_no", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))))
     at = (F.col("chunk_no") * size + 1).cast("int")
-    return out.withColumn("chunk", F.substring(data, at, F.lit(size))).withColumn("at_ms", F.col("chunk_no") * CHUNK_PAUSE_MS)
+    return out.withColumn("chunk", F.substring("__data", at, F.lit(size))).withColumn("at_ms", F.col("chunk_no") * CHUNK_PAUSE_MS).drop("__data")
 
 
 def before_marker(text: Column, marker: str) -> Column:

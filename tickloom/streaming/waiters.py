@@ -79,44 +79,57 @@ class Desk:
 
 
 class Waiters(StatefulProcessor):
+    """Every call to the state is a message to Spark, so ``known`` says what there is."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.chunks = handle.getListState("chunks", "text string")
         self.waits = handle.getMapState("waits", "waiter long", "kind string, marker string, n long, deadline_ms long")
-        self.asked = handle.getValueState("asked", "n long")
+        self.known = handle.getValueState("known", "asked long, open long, has_text boolean, timer_ms long")
 
-    def _desk(self) -> Desk:
-        asked = self.asked.get()[0] if self.asked.exists() else 0
-        return Desk([c[0] for c in self.chunks.get()], {k[0]: tuple(v) for k, v in self.waits.iterator()}, asked)
+    def _desk(self) -> tuple[Desk, dict[int, tuple], str, int | None]:
+        asked, count, has_text, timer = self.known.get() or (0, 0, False, None)
+        chunks = [c[0] for c in self.chunks.get()] if has_text else []
+        waits = {k[0]: tuple(v) for k, v in self.waits.iterator()} if count else {}
+        desk = Desk(chunks, waits, asked)
+        return desk, dict(waits), desk.text, timer
 
-    def _close(self, key: tuple, desk: Desk, before: set[int]) -> Iterator[pd.DataFrame]:
+    def _close(self, key: tuple, desk: Desk, waits: dict[int, tuple], text: str, timer: int | None, fired: bool) -> Iterator[pd.DataFrame]:
         """Keeps what has changed, and a timer for the next wait that may end."""
-        self.chunks.put([(desk.text,)] if desk.text else [("",)])
-        for waiter in before - set(desk.waits):
+        if desk.text != text:
+            if text and desk.text.startswith(text):
+                self.chunks.appendValue((desk.text[len(text) :],))
+            elif desk.text:
+                self.chunks.put([(desk.text,)])
+            else:
+                self.chunks.clear()
+        for waiter in set(waits) - set(desk.waits):
             self.waits.removeKey((waiter,))
-        for waiter in set(desk.waits) - before:
+        for waiter in set(desk.waits) - set(waits):
             self.waits.updateValue((waiter,), desk.waits[waiter])
-        self.asked.update((desk.asked,))
-        for timer in list(self.handle.listTimers()):
+        goal = min((w[3] for w in desk.waits.values()), default=None)
+        goal = None if goal is None else goal + 1  # text at the end itself is in time
+        if timer is not None and not fired and timer != goal:
             self.handle.deleteTimer(timer)
-        if desk.waits:
-            self.handle.registerTimer(min(w[3] for w in desk.waits.values()) + 1)
+        if goal is not None and (fired or timer != goal):
+            self.handle.registerTimer(goal)
+        self.known.update((desk.asked, len(desk.waits), bool(desk.text), goal))
         if desk.answers:
             yield pd.DataFrame([(key[0], *a) for a in desk.answers], columns=["port", "waiter", "status", "text"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        desk = self._desk()
-        before = set(desk.waits)
-        for r in pd.concat(rows).sort_values(["at", "seq"]).itertuples():
-            desk.take(r.kind, r.text, None if pd.isna(r.n) else r.n, r.at.value // 1_000_000, None if pd.isna(r.timeout_ms) else r.timeout_ms)
-        yield from self._close(key, desk, before)
+        desk, waits, text, timer = self._desk()
+        parts = list(rows)
+        columns = (parts[0] if len(parts) == 1 else pd.concat(parts))[["at", "seq", "kind", "text", "n", "timeout_ms"]].to_numpy().tolist()
+        for at, _, kind, said, n, limit in sorted(columns, key=lambda r: (r[0], r[1])):
+            desk.take(kind, said, None if pd.isna(n) else n, at.value // 1_000_000, None if pd.isna(limit) else limit)
+        yield from self._close(key, desk, waits, text, timer, fired=False)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        desk = self._desk()
-        before = set(desk.waits)
+        desk, waits, text, timer = self._desk()
         # All that is over: a timer that is set for a time already past would not fire.
         desk.expire(timerValues.getCurrentWatermarkInMs())
-        yield from self._close(key, desk, before)
+        yield from self._close(key, desk, waits, text, timer, fired=True)
 
 
 def answered(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
@@ -128,7 +141,7 @@ def answered(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
     out of order between them: Spark leaves out rows that are not after the stream's
     time, which is the latest ``at`` of the micro-batches before, less ``late``. A wait without further rows ends when the stream's time
     has passed it. Null texts are empty; a null port is none. The state of a port is the
-    text that no wait has taken, as one row. The stream needs the RocksDB state store.
+    text that no wait has taken, as a list of chunks, and its open waits. The stream needs the RocksDB state store.
     """
     rows = rows.where(F.col("port").isNotNull()).withWatermark("at", late)
     return rows.groupBy("port").transformWithStateInPandas(Waiters(), ANSWERS, "append", "EventTime")
