@@ -1,6 +1,6 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton of a sample of whole labelled texts is built per language. A text is
+A suffix automaton of a sample of labelled texts is built per language. A text is
 parsed greedily into the longest phrases that occur in a language's sample; the
 language that needs the fewest phrases, normalised by the sample's length, wins. Every
 letter of any sample has a code of its own, so scripts do not compete for places. The
@@ -24,21 +24,24 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, columns_of, give_back, read, stored
 from .words import as_strings, blocks
 
-#: Bounds of the training sample: labelled documents per language and of all languages,
-#: and the characters of a document that may be in it. Documents are taken whole.
-DOCS_PER_LANG = 16
-DOCS = 1024
-DOC_CHARS = 8192
-#: A model may be broadcast up to this size; the bounds above keep it below for texts of
-#: ordinary length.
-MODEL_BYTES = 400_000_000
-#: Largest automaton that is a plain table of states and letters.
+#: Bounds of the training sample, in characters: of a language, of all languages, and of
+#: a window, the unit that is sampled. A language has ``LEAST`` at least, however many
+#: there are: a model of 7,000 languages takes about 150 MB.
+CHARS_PER_LANG = 49_152
+SAMPLE_CHARS = 1_000_000
+WINDOW = 4096
+LEAST = 256
+#: Largest automaton that is a plain table of states and letters, and all of a model.
 TABLE_BYTES = 16_000_000
+TABLES_BYTES = 128_000_000
+#: Most letters for which each automaton has a table of its first steps.
+ROOT_LETTERS = 4096
 #: Letters of a lane, and letters before it that lead to its first state.
 LANE = 512
 WARM_UP = 48
@@ -59,13 +62,14 @@ def places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Automaton:
-    """State 0 is the root, where nothing leads; ``root`` has its transitions by letter.
+    """State 0 is the root, where nothing leads; ``root`` has its transitions by letter,
+    if there are few letters.
     ``table`` has the next state of each state and letter, at ``state * width + letter``,
     where that is small. Else ``entries`` has ``state * width + letter`` and the next
     state, in the upper and lower half of a number, at one of two places."""
 
     width: int
-    root: np.ndarray
+    root: np.ndarray | None
     table: np.ndarray | None
     entries: np.ndarray | None
 
@@ -79,8 +83,11 @@ class Automaton:
         got[rest] = self.entries[two[rest]]
         return np.where(got >> 32 == key, got & 0xFFFFFFFF, 0).astype(np.int32)
 
+    def begin(self, code: np.ndarray) -> np.ndarray:
+        return self.step(np.zeros(len(code), np.int32), code) if self.root is None else self.root[code]
+
     def nbytes(self) -> int:
-        return self.root.nbytes + (self.entries if self.table is None else self.table).nbytes
+        return sum(x.nbytes for x in (self.root, self.table, self.entries) if x is not None)
 
 
 @dataclass(frozen=True)
@@ -124,16 +131,16 @@ def transitions(codes: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
-def automaton(codes: list[int], width: int) -> Automaton:
+def automaton(codes: list[int], width: int, table_bytes: int = TABLE_BYTES) -> Automaton:
     """Codes are below ``width``. Each transition goes to its first place, and one that
     is there already to its other one, and so on until all have a place."""
     nexts = transitions(codes)
-    root = np.zeros(width, np.int32)
-    for c, t in nexts[0].items():
+    root = np.zeros(width, np.int32) if width <= ROOT_LETTERS else None
+    for c, t in nexts[0].items() if root is not None else ():
         root[c] = t
     keys = np.fromiter((s * width + c for s, out in enumerate(nexts) for c in out), np.int64)
     to = np.fromiter((t for out in nexts for t in out.values()), np.int64, len(keys))
-    if len(nexts) * width * 4 <= TABLE_BYTES:
+    if len(nexts) * width * 4 <= table_bytes:
         whole = np.zeros(len(nexts) * width, np.int32)
         whole[keys] = to
         return Automaton(width, root, whole, None)
@@ -165,24 +172,25 @@ def letters_of(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def training_sample(docs: DataFrame, held_out: Column, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, at, text`` of about ``docs_per_lang`` labelled documents per language, and at
-    most about ``DOCS`` in all, with the smallest hashes of their ids. Whole documents of
-    at most ``DOC_CHARS`` characters; where a language has none so short, one of any
-    length. Counts set the hash limit for each language, so that the sample is taken by
-    a filter in one scan."""
-    rows = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"),
-        (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)).alias("at"),
-        (F.length(text_col) <= DOC_CHARS).alias("short"),
-        F.col(text_col).alias("text"),
-    )
-    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("n_short"))
-    counts = stored(n, "lang-counts")
-    each = max(1, min(docs_per_lang, DOCS // max(1, counts.count())))
-    short = F.col("short") & (F.col("at") * F.col("n_short") < each)
-    some = F.when(F.col("n_short") > 0, short).otherwise(F.col("at") * F.col("n") < 1)
-    return rows.join(broadcast_if_small(counts), "lang").where(some).select("lang", "at", "text")
+def training_sample(docs: DataFrame, held_out: Column, chars_per_lang: int = CHARS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``lang, at, text``: for each language the windows of its labelled texts with the
+    smallest hashes, up to ``chars_per_lang`` characters, or an equal share of
+    ``SAMPLE_CHARS`` where there are many languages. Windows lie side by side over whole
+    texts of any length, so every language has one at least that has a text with a
+    letter. Only their numbers are sorted, partly before the shuffle; a second scan cuts
+    the chosen ones out."""
+    said = F.col(text_col)
+    rows = docs.where(~held_out & F.col(lang_col).isNotNull() & said.rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), said).alias("key"), said.alias("text"))
+    langs = rows.select("lang").distinct().count()
+    share = max(LEAST, min(chars_per_lang, SAMPLE_CHARS // max(1, langs)))
+    window = min(WINDOW, share)
+    numbers = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / window).cast("int"))).alias("n")
+    at = F.pmod(F.xxhash64("key", "n", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    first = W.partitionBy("lang").orderBy("at", "key", "n")
+    chosen = rows.select("lang", "key", numbers).withColumn("at", at).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= share // window)
+    chosen = stored(chosen.drop("rank").dropDuplicates(["lang", "key", "n"]), "lang-windows")
+    found = rows.join(broadcast_if_small(chosen), ["lang", "key"]).dropDuplicates(["lang", "key", "n"])
+    return found.select("lang", "at", F.substring("text", F.col("n") * window + 1, F.lit(window)).alias("text"))
 
 
 def fit(sample: DataFrame) -> Model:
@@ -192,6 +200,7 @@ def fit(sample: DataFrame) -> Model:
     letters = sample.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).distinct()
     known = "".join(sorted({c for r in letters.collect() for c in r["c"].lower() if c.isalpha()}))
     code = {" ": 0} | {c: i + 1 for i, c in enumerate(known)}
+    table_bytes = min(TABLE_BYTES, TABLES_BYTES // max(1, sample.select("lang").distinct().count()))
 
     def build(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("at").to_pylist(), group.column("text").to_pylist(), strict=True))
@@ -199,15 +208,12 @@ def fit(sample: DataFrame) -> Model:
         lang = group.column("lang")[0].as_py()
         if not ref:
             return pa.table({"lang": pa.array([], pa.string()), "bits": pa.array([], pa.float64()), "automaton": pa.array([], pa.binary())})
-        found = pickle.dumps(automaton([code[c] for c in ref], len(known) + 2))
+        found = pickle.dumps(automaton([code[c] for c in ref], len(known) + 2, table_bytes))
         give_back()
         return pa.table({"lang": [lang], "bits": [math.log2(len(ref) + 1)], "automaton": pa.array([found], pa.binary())})
 
     got = sorted(sample.groupBy("lang").applyInArrow(build, "lang string, bits double, automaton binary").collect(), key=lambda r: r["lang"])
-    model = Model([r["lang"] for r in got], known, [pickle.loads(r["automaton"]) for r in got], [r["bits"] for r in got])
-    if model.nbytes() > MODEL_BYTES:
-        raise ValueError(f"the model has {model.nbytes()} bytes, over {MODEL_BYTES}: lower docs_per_lang")
-    return model
+    return Model([r["lang"] for r in got], known, [pickle.loads(r["automaton"]) for r in got], [r["bits"] for r in got])
 
 
 @lru_cache(maxsize=1)
@@ -253,7 +259,7 @@ def walk(a: Automaton, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
         to = a.step(s, c)
         new = np.flatnonzero((to == 0) | (s == 0))
         count[new] += 1
-        to[new] = a.root[c[new]]
+        to[new] = a.begin(c[new])
         state[:n] = to
     ends, counts = np.empty_like(state), np.empty_like(count)
     ends[order], counts[order] = state, count
@@ -326,7 +332,7 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars_per_lang: int = CHARS_PER_LANG) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``, one row per row of ``docs``.
 
     Learns only from rows that are not held out (a null id is not) and have text and
@@ -335,7 +341,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     entropy the first by name counts. Other columns of ``docs`` are ignored. An empty
     table gives no rows.
     """
-    model = fit(training_sample(docs, is_held_out(id_col), docs_per_lang, id_col, text_col, lang_col))
+    model = fit(training_sample(docs, is_held_out(id_col), chars_per_lang, id_col, text_col, lang_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
