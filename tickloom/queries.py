@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import board
 from .functions.pysem import BINARY, Value, number, py_abs, py_compare, py_int, py_join, py_neg, py_not, py_pow, py_str, py_truthy
-from .operators import markers, state, ticks
+from .operators import joins, markers, state, ticks
 from .plans.examples import EXAMPLES, block, change, compare, if_else, num, say, text, var, workspace
 from .plans.program import run_program
 from .scratch import shared_dir
@@ -499,6 +499,46 @@ def debounce(e: DataFrame) -> DataFrame:
     return streams.debounced(e, "user_id", "ts", "1 hour").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "changes")
 
 
+# Joins by time: for readings beside other tables, not part of block programs
+
+#: The hour of both tables' times; events and orders lie years apart in the given tables, so
+#: orders are dated into the time of the events.
+_MOVED = "SELECT o_orderkey, 1 + o_custkey % (SELECT max(user_id) FROM events) AS user_id, (SELECT min(ts) FROM events) + to_minutes(CAST(o_orderkey % 60000 AS INTEGER)) AS ts FROM orders"
+
+
+def multi_query(sql: str) -> Callable[[Query], Query]:
+    """Registers a query over several tables."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+@multi_query(f"""WITH o AS ({_MOVED}), e AS (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY ALL)
+SELECT o_orderkey, e.event_id FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.ts >= e.ts""")
+def last_event_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with its customer's last event that is not after it."""
+    e, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "orders"))
+    bounds = e.agg(F.min("ts").alias("low"), F.max("user_id").alias("users")).first()  # one row
+    low = F.lit(bounds["low"]).cast(e.schema["ts"].dataType)
+    moved = o.select("o_orderkey", (F.col("o_custkey") % F.lit(bounds["users"]) + 1).alias("user_id"), (low + F.make_dt_interval(mins=(F.col("o_orderkey") % 60000).cast("int"))).alias("ts"))
+    return joins.as_of(moved, e, "user_id", "ts", _day(), ["event_id"], ["event_id"]).select("o_orderkey", "event_id")
+
+
+@multi_query("""WITH l AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS line, CAST(epoch(l_shipdate) // 86400 AS BIGINT) AS day, 1 + l_partkey % 9 AS days FROM lineitem),
+r AS (SELECT * FROM l WHERE line % 8 = 1)
+SELECT l.l_suppkey, l.line AS left_id, r.line AS right_id FROM l JOIN r ON l.l_suppkey = r.l_suppkey AND l.day < r.day + r.days AND r.day < l.day + l.days""")
+def lines_on_the_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of orders, with the lines of their supplier that are on the way on a same
+    day; a line is on the way for one to nine days."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
+    day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400)
+    lines = l.select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), day.alias("day"), (day + 1 + F.col("l_partkey") % 9).alias("until"))
+    return joins.overlaps(lines, lines.where("line % 8 = 1"), "l_suppkey", "day", "until", ("line", "line"), 10)
+
+
 # Whole programs
 
 
