@@ -4,6 +4,7 @@ A marker's automaton is in one of as many states as it has bytes: how many of th
 just been seen. A chunk maps each state to the state after it, and such maps compose.
 Blocks of consecutive chunks are mapped side by side, the maps of a text's blocks are
 applied one after the other, and each block is then read once more from its true state.
+What is known of the blocks, a row for each 1024 chunks, is broadcast if it is small.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import broadcast_if_small, is_small, kept
+
 #: Chunks of a text that one task reads in order.
 BLOCK = 1024
 
@@ -49,7 +52,8 @@ def frames(chunks: DataFrame, key: str, number: str, chunk: str, marker: str | b
     size = len(auto.marker)
     kind = chunks.schema[key].dataType.simpleString()
     rows = chunks.select(F.col(key).alias("key"), F.floor(F.col(number) / block).cast("bigint").alias("block"), F.col(number).cast("bigint").alias("number"), F.coalesce(F.col(chunk).cast("binary"), F.lit(b"")).alias("chunk"))
-    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "number")
+    dealt = rows.repartition("key", "block")
+    rows = dealt.sortWithinPartitions("key", "block", "number")
 
     def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, tuple]]:
         for batch in batches:
@@ -130,6 +134,9 @@ def frames(chunks: DataFrame, key: str, number: str, chunk: str, marker: str | b
 
     mapped = rows.select("key", "block", "chunk").mapInArrow(maps, f"key {kind}, block bigint, length bigint, states array<int>, counts array<bigint>, lasts array<bigint>")
     known = mapped.repartition("key").sortWithinPartitions("key", "block").mapInArrow(begins, f"key_ {kind}, block_ bigint, state int, at bigint, count bigint, last bigint")
-    joined = rows.join(known, F.col("key").eqNullSafe(F.col("key_")) & (F.col("block") == F.col("block_")))
-    joined = joined.repartition("key", "block").sortWithinPartitions("key", "block", "number")
+    known = kept(known, "markers")
+    joined = dealt.join(broadcast_if_small(known), F.col("key").eqNullSafe(F.col("key_")) & (F.col("block") == F.col("block_")))
+    if not is_small(known):  # else the rows stay where they are
+        joined = joined.repartition("key", "block")
+    joined = joined.sortWithinPartitions("key", "block", "number")
     return joined.select("key", "block", "chunk", "state", "at", "count", "last").mapInArrow(borders, f"`{key}` {kind}, frame_no bigint, begin_at bigint, end_at bigint")
