@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import board
 from .functions.pysem import BINARY, Value, number, py_abs, py_compare, py_int, py_join, py_neg, py_not, py_pow, py_str, py_truthy
-from .operators import joins, markers, state, ticks
+from .operators import joins, markers, state, tables, ticks
 from .plans.examples import EXAMPLES, block, change, compare, if_else, num, say, text, var, workspace
 from .plans.program import run_program
 from .scratch import shared_dir
@@ -539,6 +539,41 @@ def lines_on_the_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlaps(lines, lines.where("line % 8 = 1"), "l_suppkey", "day", "until", ("line", "line"), 10)
 
 
+# Ranks, cubes and table functions
+
+
+@table_query("lineitem", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem")
+def price_ranks(l: DataFrame) -> DataFrame:  # noqa: E741
+    """Each line's place among all by price."""
+    return tables.ranked(l.select("l_orderkey", "l_linenumber", "l_extendedprice"), F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")).select("l_orderkey", "l_linenumber", "rank")
+
+
+@table_query("lineitem", "SELECT l_suppkey, l_orderkey, l_linenumber, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3")
+def top_lines(l: DataFrame) -> DataFrame:  # noqa: E741
+    """Each supplier's three dearest lines."""
+    return tables.top(l, ["l_suppkey"], 3, F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
+
+
+@table_query("lineitem", """SELECT l_returnflag, l_linestatus, tax, GROUPING(l_returnflag, l_linestatus, tax) AS level, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(DISTINCT l_partkey) AS parts
+FROM (SELECT *, CAST(round(l_tax * 100) AS BIGINT) AS tax FROM lineitem) GROUP BY CUBE (l_returnflag, l_linestatus, tax)""")
+def sales_cube(l: DataFrame) -> DataFrame:  # noqa: E741
+    rows = l.withColumn("tax", F.round(F.col("l_tax") * 100).cast("bigint"))
+    return tables.cube(rows, ["l_returnflag", "l_linestatus", "tax"], "l_partkey", {"quantity": F.col("l_quantity").cast("bigint")}, "parts")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS m FROM events),
+r AS (SELECT user_id, event_type, min(n) AS first, count(*) AS rows FROM e GROUP BY user_id, event_type, n - m)
+SELECT user_id AS "key", row_number() OVER (PARTITION BY user_id ORDER BY first) - 1 AS run_no, event_type AS "value", rows AS "rows" FROM r""")
+def event_runs(e: DataFrame) -> DataFrame:
+    """Stretches of equal events, by a table function."""
+    return tables.runs(e.select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id", "event_type")
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events")
+def json_fields(e: DataFrame) -> DataFrame:
+    return e.select("event_id", tables.json_field("props", "$.k", "bigint").alias("k"), tables.json_field("props", "$.none", "string").alias("none"))
+
+
 # Whole programs
 
 
