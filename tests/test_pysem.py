@@ -93,3 +93,16 @@ def test_powers_are_exact(spark):
         assert row.p == base**n
     with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
         spark.createDataFrame([(3,)], "a long").select(py_pow(Value(F.col("a"), "int"), Value(F.lit(41), "int"), 41).col).collect()
+
+
+def test_powers_by_column(spark):
+    from tickloom.functions.pysem import py_pow_int
+
+    rows = [(a, n) for a in (-3, -1, 0, 1, 2, 9, None) for n in (0, 1, 2, 19, 62, 64, 65, 10**12, None) if a is None or n is None or abs(a) < 2 or abs(a) ** min(n, 70) < 2**63]
+    p = py_pow_int(Value(F.col("a"), "int"), Value(F.col("n"), "int")).col.alias("p")
+    got = spark.createDataFrame(rows, "a long, n long").select("a", "n", p).collect()
+    for a, n, x in got:
+        assert x == (None if a is None or n is None else a ** (n if abs(a) > 1 else n % 2 + 2 * (n > 0)))
+    for bad in ((2, -1), (2, 63), (3, 10**9)):
+        with pytest.raises(Exception, match="negative exponent|overflow|OVERFLOW"):
+            spark.createDataFrame([bad], "a long, n long").select(p).collect()

@@ -89,6 +89,19 @@ def py_pow(a: Value, b: Value, literal: int | None = None) -> Value:
     return Value(F.pow(a.cast("float"), b.cast("float")), "float")
 
 
+def py_pow_int(a: Value, b: Value) -> Value:
+    """An integer to the power of an integer column, as an exact integer. The kind must be
+    known before the values are, so a negative exponent, whose power would be a float,
+    is an error here, and so is a power beyond 64 bits. Null where either is."""
+    if _both(a, b) != "int":
+        raise KindError("integers only")
+    base, n = a.cast("int"), b.cast("int")
+    # Over 64 factors only 0, 1 and -1 are in range, and their number's parity counts.
+    times = F.when(n < 0, F.raise_error("a negative exponent has no integer power").cast("bigint")).when(n <= 64, n).otherwise(64 + n % 2)
+    one = F.lit(1).cast("bigint")
+    return Value(F.aggregate(F.array_repeat(base, times.cast("int")), F.when(base.isNotNull(), one), lambda out, x: out * x), "int")
+
+
 def py_neg(a: Value) -> Value:
     k = "int" if a.kind == "bool" else a.kind
     _both(a, a)

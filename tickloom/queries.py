@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import board
-from .functions.pysem import BINARY, Value, number, py_abs, py_compare, py_int, py_join, py_neg, py_not, py_pow, py_str, py_truthy
+from .functions.pysem import BINARY, Value, number, py_abs, py_compare, py_int, py_join, py_neg, py_not, py_pow, py_pow_int, py_str, py_truthy
 from .operators import joins, markers, state, tables, ticks
 from .plans.examples import EXAMPLES, block, change, compare, if_else, num, say, text, var, workspace
 from .plans.program import run_program
@@ -204,6 +204,12 @@ def power(e: DataFrame) -> DataFrame:
     return e.select("event_id", py_pow(_signed(), number(3), 3).col.alias("cube"), inverse.alias("inverse"))
 
 
+@query("SELECT event_id, CAST(round(pow(event_id % 7 - 3, user_id % 20)) AS BIGINT) AS p FROM events")
+def power_by_column(e: DataFrame) -> DataFrame:
+    base, n = Value(F.col("event_id") % 7 - 3, "int"), Value(F.col("user_id") % 20, "int")
+    return e.select("event_id", py_pow_int(base, n).col.alias("p"))
+
+
 @query()
 def random_ints(e: DataFrame) -> DataFrame:
     """Between 1 and 6; no SQL, as any value in that range is right."""
