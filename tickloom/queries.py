@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from .functions import board
 from .functions.pysem import BINARY, Value, number, py_abs, py_compare, py_int, py_join, py_neg, py_not, py_pow, py_pow_int, py_str, py_truthy
-from .operators import joins, markers, state, tables, ticks
+from .operators import joins, markers, skew, state, tables, ticks, windows
 from .plans.examples import EXAMPLES, block, change, compare, if_else, num, say, text, var, workspace
 from .plans.program import run_program
 from .scratch import shared_dir
 from .sources import serial
 from .streaming import serial as streams
 from .streaming import waiters
+from .streaming import windows as stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -580,6 +581,108 @@ def json_fields(e: DataFrame) -> DataFrame:
     return e.select("event_id", tables.json_field("props", "$.k", "bigint").alias("k"), tables.json_field("props", "$.none", "string").alias("none"))
 
 
+# Joins with hot keys: a third of all events is moved to one user
+
+_HOT = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id FROM events"
+
+
+def _hot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("user_id")).alias("user_id"))
+
+
+def _urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("user_id"))
+
+
+@multi_query(f"SELECT event_id, user_id, c_nationkey FROM ({_HOT}) JOIN customer ON user_id = c_custkey")
+def hot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their customer's nation."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
+    return skew.joined(_hot_events(spark, sf_dir), c, ["user_id"], spread=F.col("event_id")).select("event_id", "user_id", "c_nationkey")
+
+
+@multi_query(f"SELECT event_id, user_id FROM ({_HOT}) WHERE user_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def hot_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of customers with an urgent order."""
+    return skew.joined(_hot_events(spark, sf_dir), _urgent(spark, sf_dir), ["user_id"], "left_semi", spread=F.col("event_id")).select("event_id", "user_id")
+
+
+@multi_query(f"SELECT event_id, user_id FROM ({_HOT}) h WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = h.user_id AND o_orderpriority = '1-URGENT')")
+def hot_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of customers without one."""
+    return skew.joined(_hot_events(spark, sf_dir), _urgent(spark, sf_dir), ["user_id"], "left_anti", spread=F.col("event_id")).select("event_id", "user_id")
+
+
+# Windows over time
+
+
+@query("""SELECT event_id, quantile_disc(value, 0.5) OVER w AS median, count(value) OVER w AS n FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '7 days' PRECEDING AND CURRENT ROW)""")
+def moving_median(e: DataFrame) -> DataFrame:
+    """Each event with the median of its user's values over seven days."""
+    rows = e.select("event_id", "user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return windows.moving_quantile(rows, "user_id", "at", "value", 7 * 86_400_000_000, name="median", number="n").select("event_id", "median", "n")
+
+
+#: Hours after an event at which it arrives, for every tenth up to four days; arrivals are taken
+#: in batches of five days. Times are in hours from the first event.
+_ARRIVED = """WITH a AS (SELECT *, ((epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) // 3600000000 + CASE WHEN event_id % 10 = 0 THEN event_id * 37 % 100 ELSE event_id % 10 END) // 120 AS batch,
+time_bucket(INTERVAL '6 hours', ts) AS start FROM events),
+w AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL '24 hours' AS mark FROM a GROUP BY batch),
+r AS (SELECT a.*, coalesce(start + INTERVAL '6 hours' <= mark, false) AS late FROM a JOIN w USING (batch))
+"""
+
+
+def _arrivals(e: DataFrame) -> str:
+    """The folder of a stream of six-hour windows that took the events batch by batch, and
+    was stopped and started from its checkpoint between them."""
+    spark, path = e.sparkSession, shared_dir(e.sparkSession, "arrivals")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low = e.agg(F.min(micros)).first()[0]  # one number
+    hours = F.floor((micros - F.lit(low)) / 3_600_000_000)
+    on_way = F.when(F.col("event_id") % 10 == 0, F.col("event_id") * 37 % 100).otherwise(F.col("event_id") % 10)
+    rows = e.select("event_id", "event_type", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    rows.withColumn("batch", F.floor((hours + on_way) / 120)).write.partitionBy("batch").parquet(f"{path}/all")
+    held = spark.read.parquet(f"{path}/all")
+    sink = stream_windows.window_sink(path, ["event_type"], "ts", "6 hours", "24 hours", {"cents": F.col("cents")})
+    for n in sorted(r["batch"] for r in held.select("batch").distinct().collect()):  # by time, not by size
+        held.where(F.col("batch") == n).drop("batch").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+@query(_ARRIVED + "SELECT event_id, start FROM r WHERE late")
+def late_events(e: DataFrame) -> DataFrame:
+    """Events whose window was over when they arrived."""
+    return stream_windows.late_rows(e.sparkSession, _arrivals(e)).select("event_id", F.col("start").cast("timestamp_ntz").alias("start"))
+
+
+@query(_ARRIVED + """SELECT event_type, start, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents,
+start + INTERVAL '6 hours' > (SELECT max(ts) - INTERVAL '24 hours' FROM events) AS still_open FROM r WHERE NOT late GROUP BY event_type, start""")
+def window_totals(e: DataFrame) -> DataFrame:
+    """Events by kind and six hours as a stream counts them, and whether more may come."""
+    spark, path = e.sparkSession, _arrivals(e)
+    over = stream_windows.closed_windows(spark, path).drop("batch").withColumn("still_open", F.lit(False))
+    out = over.unionByName(stream_windows.open_windows(spark, path).withColumn("still_open", F.lit(True)))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT v.user_id, v.event_id AS first_id, p.event_id AS then_id FROM events v JOIN events p
+ON v.user_id = p.user_id AND p.ts BETWEEN v.ts AND v.ts + INTERVAL '2 hours' WHERE v.event_type = 'view' AND p.event_type = 'purchase'""")
+def bought_after_view(e: DataFrame) -> DataFrame:
+    """Purchases within two hours of a view, as a join of two streams."""
+    spark, path = e.sparkSession, shared_dir(e.sparkSession, "pairs")
+    rows = e.select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.parquet(f"{path}/in")
+    side = lambda kind: spark.readStream.schema(rows.schema).parquet(f"{path}/in").where(F.col("event_type") == kind)
+    pairs = stream_windows.followed(side("view"), side("purchase"), "user_id", "ts", "2 hours", "1 day", ("event_id", "event_id"))
+    pairs.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(pairs.schema).parquet(f"{path}/out")
+
+
 # Whole programs
 
 
