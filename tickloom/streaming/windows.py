@@ -33,7 +33,9 @@ def window_sink(folder: str, keys: Sequence[str], at: str, width: str, delay: st
         kind = batch.schema[at].dataType
         read = lambda what: spark.read.parquet(f"{folder}/{what}/batch={number - 1}")
         seen = read("marks").first()["seen"] if number else None  # one row
-        rows = batch.withColumn("__start", F.window(F.col(at), width).start).persist()
+        # ``window`` leaves out rows without a time.
+        none = batch.where(F.col(at).isNull()).withColumn("__start", F.lit(None).cast(kind))
+        rows = batch.withColumn("__start", F.window(F.col(at), width).start).unionByName(none).persist()
         try:
             mark = (F.lit(seen).cast(kind) - _duration(delay)) if seen is not None else F.lit(None).cast(kind)
             late = F.coalesce(F.col("__start") + _duration(width) <= mark, F.col(at).isNull())
