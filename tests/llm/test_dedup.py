@@ -285,6 +285,34 @@ def test_passage_behind_halves(spark):
     assert [tuple(r) for r in passages.shared_passages(table(spark, rows)).collect()] == [(4, 30, 122, 3, 30, 122, 92)]
 
 
+def test_edited_passages_behind_parts(spark):
+    """Pairs of documents share passages of 92 words with every 12th replaced; three smaller
+    documents hold 46 words of each. All pairs are found."""
+    rows, want = [], []
+    for k in range(60):
+        shared, at = words(9000 + k, 92), 10 * k
+        other = [f"e{k}_{i}" if i % 12 == 11 else w for i, w in enumerate(shared)]
+        own = lambda i: words(20_000 + at + i, 25)  # noqa: E731, B023
+        rows += [(at + i, " ".join(own(i) + shared[a : a + 46] + own(i + 4))) for i, a in enumerate((0, 46, 23))]
+        rows += [(at + 3, " ".join(own(3) + shared + own(7))), (at + 8, " ".join(own(8) + other + own(9)))]
+        want.append((at + 8, at + 3))
+    got = {(r.doc_id, r.other_id): r for r in passages.shared_passages(table(spark, rows)).collect()}
+    assert set(got) == set(want)
+    assert all(r.end_word - r.start_word >= 80 for r in got.values())
+
+
+def test_seeds_outside_passages():
+    """Seeds inside a passage are left out, those that reach beyond it are not."""
+    text = " ".join(words(61, 120))
+    doc, h, _ = passages.seeds([text, None, text])
+    rest, left, _ = passages.seeds([text, None, text], done=[[{"start_word": 30, "end_word": 80}], None, []])
+    assert set(left[rest == 2].tolist()) == set(h[doc == 2].tolist())
+    _, _, places = passages.window_hashes(*passages.word_hashes([text]), passages.SEED_WORDS)
+    at = {int(x) >> 1: i for i, x in enumerate(places)}
+    assert set(left[rest == 0].tolist()) == {x for x in h[doc == 0].tolist() if not 30 <= at[x] <= 75}
+    assert len(passages.seeds([text], done=[[{"start_word": 0, "end_word": 120}]])[1]) == 0
+
+
 def test_open_windows():
     """Parts and windows agree exactly where fifty words do, and passages are left out."""
     shared = words(41, 50)

@@ -20,8 +20,10 @@
    that are long and similar enough are passages. Of other chains, the parts that are
    so are passages.
 5. A document whose seeds all have pivots that hold parts of a passage only meets no
-   document with the whole. So equal windows of 50 words that are in no passage yet
-   are grouped as they are, and the documents of each are compared with the smallest.
+   document with the whole. So seeds that are in no passage yet join their documents
+   once more, each with the one before it by id.
+6. Equal windows of 50 words that are in no passage found with pivots are grouped as
+   they are, and the documents of each are compared with the smallest.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import ranked
 from .common import broadcast_if_small, drop, give_back, read, stored
 from .exact_dedup import bit_filter
 from .words import GOLDEN, as_strings, blocks, mixed, window_hashes, word_hashes
@@ -64,10 +67,10 @@ def _rolling(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
-def seeds(texts: pa.Array | Sequence[str | None], width: int = SEED_WORDS, window: int = SEED_WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def seeds(texts: pa.Array | Sequence[str | None], width: int = SEED_WORDS, window: int = SEED_WINDOW, done: list[list[dict] | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text and hash of the distinct seeds of each text, and how many of its windows they
-    are."""
-    doc, _, h = window_hashes(*word_hashes(texts), width)
+    are. Windows that lie in one of the passages ``done`` of the text are left out."""
+    doc, start, h = window_hashes(*word_hashes(texts), width)
     if not len(h):
         return doc, h, doc
     h = h >> np.uint64(1)
@@ -79,6 +82,15 @@ def seeds(texts: pa.Array | Sequence[str | None], width: int = SEED_WORDS, windo
     least[least == top] = 0
     reached = _rolling(least[::-1], window, np.maximum)[::-1]
     pick = np.flatnonzero((reached[at] == h) | (mixed(h) % np.uint64(SEED_SHARE) == 0))
+    if done is not None:
+        first = np.searchsorted(doc, np.arange(len(done) + 1))
+        closed = np.zeros(len(h) + 1, np.int64)
+        for t, ranges in enumerate(done):
+            for r in ranges or ():
+                if r["end_word"] - r["start_word"] >= width:
+                    closed[first[t] + r["start_word"]] += 1
+                    closed[first[t] + r["end_word"] - width + 1] -= 1
+        pick = pick[np.cumsum(closed)[pick] == 0]
     doc, h = doc[pick], h[pick]
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
@@ -366,8 +378,8 @@ def open_windows(texts: pa.Array | Sequence[str | None], done: list[list[dict] |
                 closed[starts[t] + r["start_word"]] += 1
                 closed[starts[t] + r["end_word"] - n + 1] -= 1
     at = np.flatnonzero((doc[: len(words) - n + 1] == doc[n - 1 :]) & (np.cumsum(closed)[: len(words) - n + 1] == 0))
-    least = np.lib.stride_tricks.sliding_window_view(rolling_hashes(words, width), inner)
-    place = np.concatenate([least[at[k : k + 65536]].argmin(axis=1) for k in range(0, len(at), 65536)] or [np.zeros(0, np.int64)])
+    h = rolling_hashes(words, width)
+    place = _rolling(np.arange(len(h)), inner, lambda i, j: np.where(h[i] <= h[j], i, j))[at] - at
     half = inner // 2
     part = rolling_hashes(words, half + width)[at + np.where(place >= half, place - half, place)]
     return doc[at], part, rolling_hashes(words, n)[at]
@@ -408,11 +420,7 @@ def open_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, min_words: i
     Windows of so many words are grouped as they are, those only whose part another
     document has too, so that a pair is made for a true passage only.
     """
-    done = found.select(F.col("doc_id").alias("id"), F.struct("start_word", "end_word").alias("r")).groupBy("id").agg(F.collect_list("r").alias("done"))
-    # A row of an id that has several texts does not say whose words it means.
-    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    done = stored(done.join(twice, "id", "left_anti"), "passages-done")
-    docs = rows.join(broadcast_if_small(done), "id", "left")
+    docs = with_done(rows, found)
     table = stored(open_table(docs, min_words, True), "open-parts")
     several = stored(table.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("digest"), "open-shared")
     maybe = bit_filter(several, several.count())
@@ -424,31 +432,56 @@ def open_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, min_words: i
     return stored(more.join(pairs, ["pivot", "id"], "left_anti"), "open-pairs")
 
 
+def with_done(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``done``, the places of the passages found in the document."""
+    done = found.select(F.col("doc_id").alias("id"), F.struct("start_word", "end_word").alias("r")).groupBy("id").agg(F.collect_list("r").alias("done"))
+    # A row of an id that has several texts does not say whose words it means.
+    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    done = stored(done.join(twice, "id", "left_anti"), "passages-done")
+    return rows.join(broadcast_if_small(done), "id", "left")
+
+
+def next_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, several: DataFrame) -> DataFrame:
+    """``pivot, id`` of documents that are neighbours, by id, among those that have a seed
+    in no passage found so far. The smallest document of a seed may hold a part of a passage
+    only that others hold whole; these then meet each other. A seed in n documents
+    gives n - 1 pairs. ``several`` are the digests that more than one row has.
+
+    All seeds are numbered in the order of digest and id, and each is joined with the number
+    before it, so a seed that very many documents have is spread like all others."""
+    table = seed_table(with_done(rows, found))
+    maybe = bit_filter(several, several.count())
+    left = maybe(table).join(broadcast_if_small(several), "digest", "left_semi").groupBy("digest", "id").agg(F.sum("n").alias("n"))
+    order = stored(ranked(left, F.asc("digest"), F.asc("id"), name="at"), "open-seeds")
+    before = order.select((F.col("at") + 1).alias("at"), F.col("digest").alias("digest_before"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))
+    met = order.join(before, "at").where("digest = digest_before").groupBy("pivot", "id").agg(F.sum(F.least("n", "pivot_n")).alias("n"))
+    return stored(met.where(F.col("n") >= SEEDS_IN_COMMON).select("pivot", "id").join(pairs, ["pivot", "id"], "left_anti"), "next-pairs")
+
+
 def seed_table(docs: DataFrame) -> DataFrame:
     """``id, digest, n`` of all seeds of the rows ``id, text``; ``n`` windows of the text
-    are the seed."""
-    ids = dict(docs.dtypes)["id"]
+    are the seed. With a column ``done``, of those outside these passages."""
+    ids, rest = dict(docs.dtypes)["id"], "done" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_strings(batch.column("text"))
             for start, end in blocks(texts, BLOCK_BYTES):
-                doc, h, n = seeds(texts.slice(start, end - start))
+                done = batch.column("done").slice(start, end - start).to_pylist() if rest else None
+                doc, h, n = seeds(texts.slice(start, end - start), done=done)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc + start)), pa.array(h.astype(np.int64)), pa.array(n, pa.int64())], names=["id", "digest", "n"])
         give_back()
 
     return docs.mapInArrow(run, f"id {ids}, digest long, n long")
 
 
-def repeated_seeds(docs: DataFrame) -> DataFrame:
-    """``id, digest, n`` of the seeds that several rows have. Of most seeds, which one row
+def repeated_seeds(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, digest, n`` of the seeds that several rows have, and their digests. Of most seeds, which one row
     has only, no more than the digest is shuffled."""
     table = seed_table(docs)
     several = stored(table.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "seeds-repeated")
     maybe = bit_filter(several, several.count())
-    out = stored(maybe(table).join(broadcast_if_small(several), "digest", "left_semi"), "seeds")
-    drop(several)
-    return out
+    return stored(maybe(table).join(broadcast_if_small(several), "digest", "left_semi"), "seeds"), several
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = MIN_SIMILARITY, partners: int = PARTNERS) -> DataFrame:
@@ -463,16 +496,21 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    table = repeated_seeds(rows)
+    table, several = repeated_seeds(rows)
     least_of = F.min(F.struct("id", "n"))
     pivots = table.groupBy("digest").agg(least_of["id"].alias("pivot"), least_of["n"].alias("pivot_n"), F.max("id").alias("top"))
     pivots = stored(pivots.where("pivot <> top").drop("top"), "seed-pivots")
     met = table.join(broadcast_if_small(pivots), "digest").where("id <> pivot").groupBy("pivot", "id").agg(F.sum(F.least("n", "pivot_n")).alias("n"))
     pairs = stored(met.where(F.col("n") >= SEEDS_IN_COMMON).select("pivot", "id"), "seed-pairs")
+    # Any 20 equal words hold a seed: documents without a repeated one share no passage.
+    holders = stored(table.select("id").distinct(), "seed-holders")
+    rows = rows.join(broadcast_if_small(holders), "id", "left_semi")
     drop(table, pivots)
     found = stored(compared(rows, pairs, min_words, least, partners), "passages-found")
-    more = open_pairs(rows, found, pairs, min_words)
-    return by_smallest(stored(found.unionByName(compared(rows, more, min_words, least, partners)), "passages"))
+    beside = next_pairs(rows, found, pairs, several)
+    more = open_pairs(rows, found, pairs.unionByName(beside), min_words)
+    beside = stored(beside.unionByName(more), "open-both")
+    return by_smallest(stored(found.unionByName(compared(rows, beside, min_words, least, partners)), "passages"))
 
 
 def by_smallest(found: DataFrame) -> DataFrame:
