@@ -455,7 +455,9 @@ def next_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, several: Dat
     order = stored(ranked(left, F.asc("digest"), F.asc("id"), name="at"), "open-seeds")
     before = order.select((F.col("at") + 1).alias("at"), F.col("digest").alias("digest_before"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))
     met = order.join(before, "at").where("digest = digest_before").groupBy("pivot", "id").agg(F.sum(F.least("n", "pivot_n")).alias("n"))
-    return stored(met.where(F.col("n") >= SEEDS_IN_COMMON).select("pivot", "id").join(pairs, ["pivot", "id"], "left_anti"), "next-pairs")
+    out = stored(met.where(F.col("n") >= SEEDS_IN_COMMON).select("pivot", "id").join(pairs, ["pivot", "id"], "left_anti"), "next-pairs")
+    drop(order, several)
+    return out
 
 
 def seed_table(docs: DataFrame) -> DataFrame:
@@ -506,7 +508,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     holders = stored(table.select("id").distinct(), "seed-holders")
     rows = rows.join(broadcast_if_small(holders), "id", "left_semi")
     drop(table, pivots)
-    found = stored(compared(rows, pairs, min_words, least, partners), "passages-found")
+    found = compared(rows, pairs, min_words, least, partners)
     beside = next_pairs(rows, found, pairs, several)
     more = open_pairs(rows, found, pairs.unionByName(beside), min_words)
     beside = stored(beside.unionByName(more), "open-both")
@@ -523,7 +525,7 @@ def by_smallest(found: DataFrame) -> DataFrame:
 
 
 def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, partners: int) -> DataFrame:
-    """The passages that documents share with their pivots, by stored ``pivot, id``."""
+    """The passages that documents share with their pivots, by stored ``pivot, id``; stored."""
     ids = dict(rows.dtypes)["id"]
     dealt = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / partners).cast("int").alias("blocks"))
     dealt = stored(dealt, "pivot-blocks")
@@ -568,7 +570,9 @@ def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, pa
             "words": long[5],
         })
 
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, kind)
+    out = stored(left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, kind), "passages-found")
+    drop(texts, needed, dealt)
+    return out
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
