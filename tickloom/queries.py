@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import board
 from .functions.pysem import BINARY, Value, number, py_abs, py_compare, py_int, py_join, py_neg, py_not, py_pow, py_pow_int, py_str, py_truthy
-from .operators import joins, markers, skew, state, tables, ticks, windows
+from .operators import joins, markers, pins, skew, state, tables, ticks, windows
 from .plans.examples import EXAMPLES, block, change, compare, if_else, num, say, text, var, workspace
 from .plans.program import run_program
 from .scratch import shared_dir
@@ -134,6 +134,39 @@ def pin_mode(e: DataFrame) -> DataFrame:
     return ticks.last_write(e, ["user_id", "event_type"], ORDER, "value").withColumnRenamed("value", "mode")
 
 
+_ACCESSES = """p AS (SELECT event_id, ts, user_id, event_id % 3 AS pin, CAST(trunc(value) AS BIGINT) AS n,
+  CASE event_type WHEN 'signup' THEN 'mode' WHEN 'purchase' THEN 'write' WHEN 'error' THEN 'none' ELSE 'read' END AS kind FROM events),
+a AS (SELECT *, CASE WHEN kind = 'mode' THEN CASE n % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'pullup' ELSE 'out' END END AS asked,
+  CASE WHEN kind = 'write' THEN n % 2 END AS put FROM p),
+m AS (SELECT *, CASE kind WHEN 'write' THEN 'out' WHEN 'none' THEN NULL ELSE coalesce(last_value(asked IGNORE NULLS) OVER w, 'in') END AS mode,
+  coalesce(last_value(put IGNORE NULLS) OVER w, 0) AS held FROM a
+  WINDOW w AS (PARTITION BY user_id, pin ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+o AS (SELECT *, CASE WHEN mode IS NOT NULL THEN last_value(mode IGNORE NULLS)
+  OVER (PARTITION BY user_id, pin ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS DISTINCT FROM mode END AS opened FROM m)"""
+
+
+def _accesses(e: DataFrame) -> DataFrame:
+    """Sign-ups set modes, purchases write, errors do neither and the others read; a
+    signal that divides by five is no connection."""
+    n = F.col("value").cast("bigint")
+    e = e.withColumn("pin", F.col("event_id") % 3)
+    kind = F.when(F.col("event_type") == "signup", "mode").when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "error", "none").otherwise("read")
+    asked = F.when(n % 4 == 0, "in").when(n % 4 == 1, "pullup").when(n % 4 == 2, "out")
+    return pins.accesses(e, "user_id", "pin", ORDER, _day(), kind, asked, n % 2, F.when(n % 5 != 0, n % 3))
+
+
+@query(f"""WITH {_ACCESSES} SELECT event_id, mode, opened, CASE WHEN kind = 'read' THEN CAST(CASE WHEN mode = 'out' THEN held
+  WHEN n % 5 = 0 THEN CASE WHEN mode = 'pullup' THEN 1 ELSE 0 END WHEN n % 3 <> 0 THEN 1 ELSE 0 END AS BIGINT) END AS level FROM o""")
+def pin_accesses(e: DataFrame) -> DataFrame:
+    return _accesses(e).select("event_id", "mode", "opened", "level")
+
+
+@query(f"""WITH {_ACCESSES} SELECT user_id, pin, arg_max(mode, (ts, event_id)) AS mode, CAST(sum(CAST(opened AS INTEGER)) AS BIGINT) AS times_opened
+FROM o WHERE mode IS NOT NULL GROUP BY ALL""")
+def open_pins(e: DataFrame) -> DataFrame:
+    return pins.open_modes(_accesses(e), "user_id", "pin", ORDER)
+
+
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 4000")
 def monitor_tail(e: DataFrame) -> DataFrame:
     return ticks.tail(e, ORDER).select("event_id", "ts", "event_type")
