@@ -14,8 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -94,7 +93,7 @@ class Waiters(StatefulProcessor):
         desk = Desk(chunks, waits, asked)
         return desk, dict(waits), desk.text, timer
 
-    def _close(self, key: tuple, desk: Desk, waits: dict[int, tuple], text: str, timer: int | None, fired: bool) -> Iterator[pd.DataFrame]:
+    def _close(self, key: tuple, desk: Desk, waits: dict[int, tuple], text: str, timer: int | None, fired: bool) -> Iterator[Row]:
         """Keeps what has changed, and a timer for the next wait that may end."""
         if desk.text != text:
             if text and desk.text.startswith(text):
@@ -114,18 +113,16 @@ class Waiters(StatefulProcessor):
         if goal is not None and (fired or timer != goal):
             self.handle.registerTimer(goal)
         self.known.update((desk.asked, len(desk.waits), bool(desk.text), goal))
-        if desk.answers:
-            yield pd.DataFrame([(key[0], *a) for a in desk.answers], columns=["port", "waiter", "status", "text"])
+        for waiter, status, got in desk.answers:
+            yield Row(port=key[0], waiter=waiter, status=status, text=got)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         desk, waits, text, timer = self._desk()
-        parts = list(rows)
-        columns = (parts[0] if len(parts) == 1 else pd.concat(parts))[["at", "seq", "kind", "text", "n", "timeout_ms"]].to_numpy().tolist()
-        for at, _, kind, said, n, limit in sorted(columns, key=lambda r: (r[0], r[1])):
-            desk.take(kind, said, None if pd.isna(n) else n, at.value // 1_000_000, None if pd.isna(limit) else limit)
+        for r in sorted(rows, key=lambda r: (r.at_ms, r.seq)):
+            desk.take(r.kind, r.text, r.n, r.at_ms, r.timeout_ms)
         yield from self._close(key, desk, waits, text, timer, fired=False)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         desk, waits, text, timer = self._desk()
         # All that is over: a timer that is set for a time already past would not fire.
         desk.expire(timerValues.getCurrentWatermarkInMs())
@@ -143,5 +140,5 @@ def answered(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
     has passed it. Null texts are empty; a null port is none. The state of a port is the
     text that no wait has taken, as a list of chunks, and its open waits. The stream needs the RocksDB state store.
     """
-    rows = rows.where(F.col("port").isNotNull()).withWatermark("at", late)
-    return rows.groupBy("port").transformWithStateInPandas(Waiters(), ANSWERS, "append", "EventTime")
+    rows = rows.where(F.col("port").isNotNull()).withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
+    return rows.groupBy("port").transformWithState(Waiters(), ANSWERS, "append", "EventTime")
