@@ -7,7 +7,9 @@ computes: ``-7 % 3`` is 2, ``'5' == 5`` is false, ``0 and 5`` is 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -160,19 +162,93 @@ def py_str(a: Value) -> Value:
         return Value(F.when(a.col, "True").otherwise("False"), "str")
     if a.kind == "int":
         return Value(a.col.cast("string"), "str")
-    s = a.col.cast("string")
-    form = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
-    sign, digits = F.regexp_extract(s, form, 1), F.concat(F.regexp_extract(s, form, 2), F.regexp_replace(F.regexp_extract(s, form, 3), "^0$", ""))
-    e = F.regexp_extract(s, form, 4).try_cast("int")
-    after = F.substring(digits, e + 2, F.lit(40))
-    whole = F.concat(F.substring(F.rpad(digits, 40, "0"), F.lit(1), e + 1), F.lit("."), F.when(after == "", "0").otherwise(after))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    tail = F.substring(digits, 2, 40)
-    power = F.concat(F.when(e < 0, "-").otherwise("+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
-    wide = F.concat(F.substring(digits, 1, 1), F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)), F.lit("e"), power)
-    out = F.when(~s.contains("E"), s).when(e.between(0, 15), F.concat(sign, whole)).when(e.between(-4, -1), F.concat(sign, small)).otherwise(F.concat(sign, wide))
-    out = F.when(F.isnan(a.col), "nan").when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").otherwise(out)
-    return Value(out, "str")
+    return Value(_float_text(a.col), "str")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _power(base: int, most: int, n: Column) -> Column:
+    """``base`` to the power of ``n`` in 0 to ``most``, exactly."""
+    return F.element_at(F.array(*[F.lit(Decimal(base**k)).cast("decimal(38,0)") for k in range(most + 1)]), n + 1)
+
+
+def _at(n: Column, e: Column) -> Column:
+    return F.concat(n.cast("string"), F.lit("E"), e.cast("string")).cast("double")
+
+
+def _exact(v: Column, e: Column) -> Column:
+    """``n, q`` of decimals next to ``v`` of 15, 16 and 17 digits, the first of which counts
+    ``10 ** e``: of each the nearest, of two as near the even one. One quotient in integers
+    of 38 digits gives 17 digits and on which side of the half the rest is."""
+    q, two, zero = e - 16, F.floor(F.log2(v)).cast("int") - 54, F.lit(0)  # two bits to spare, should the logarithm be off
+
+    def divided(x: Column) -> Column:
+        whole = (x["v"] * F.pow(F.lit(2.0), (-x["two"]).cast("double"))).cast("bigint").cast("decimal(38,0)")
+        over = whole * _power(5, 30, F.greatest(zero, -x["q"])) * _power(2, 70, F.greatest(zero, x["two"] - x["q"]))
+        under = _power(5, 30, F.greatest(zero, x["q"])) * _power(2, 80, F.greatest(zero, x["q"] - x["two"]))
+        return _once(F.struct(over.alias("a"), under.alias("b"), x["q"].alias("q")), halved)
+
+    def halved(x: Column) -> Column:
+        rest = _once(F.struct((x["a"] % x["b"]).alias("r"), x["b"].alias("b")), lambda y: F.when(y["r"] == 0, 0).when(y["r"] * 2 < y["b"], 1).when(y["r"] * 2 == y["b"], 2).otherwise(3))
+        return _once(F.struct(F.call_function("div", x["a"], x["b"]).alias("n"), rest.alias("rest"), x["q"].alias("q")), rounded)
+
+    def rounded(x: Column) -> Column:
+        out = []
+        for cut, unit, more in ((2, 100, (0,)), (1, 10, (0, 1)), (0, 1, (0,))):
+            n, past = F.call_function("div", x["n"], F.lit(unit)), x["n"] % unit * 4 + x["rest"]
+            near = n + F.when((past > 2 * unit) | ((past == 2 * unit) & (n % 2 == 1)), 1).otherwise(0)
+            out += [F.struct((near + d).alias("n"), (x["q"] + cut).alias("q")) for d in more]
+        return F.array(*out)
+
+    return _once(F.struct(v.alias("v"), q.alias("q"), two.alias("two")), divided)
+
+
+def _shortest(v: Column, digits: Column, e: Column) -> Column:
+    """``n, q`` of the shortest ``n * 10 ** q`` that is read as ``v``, the nearest of these.
+    ``digits`` are some that are read as ``v``, the first of which counts ``10 ** e``: Java
+    before 19 has too many in places. Two numbers of 15 digits are never read as the same one,
+    so 15, 16 and 17 are tried. Below a power of two the nearest decimal may be too far where
+    the next above is not. Where 38 digits do not hold the quotient, ``digits`` are rounded."""
+    size, whole = F.length(digits), digits.cast("bigint")
+    unit = lambda k: F.rpad(F.lit("1"), size - k + 1, "0").cast("bigint")
+    tried = lambda n, q: F.array(*[F.struct((n + d).alias("n"), q.alias("q")) for d in (0, 1, -1)])
+    least = F.when(v < 2.3e-308, 1).otherwise(F.least(F.lit(15), size))
+    near = F.flatten(F.transform(F.sequence(least, size), lambda k: tried(F.call_function("div", whole + F.call_function("div", unit(k), F.lit(2)), unit(k)), e - k + 1)))
+    return F.element_at(F.filter(F.when(e.between(-13, 40), _exact(v, e)).otherwise(near), lambda x: _at(x["n"], x["q"]) == v), 1)
+
+
+def _float_text(col: Column) -> Column:
+    """Python's ``repr``: the shortest digits, with an exponent where Python has one."""
+
+    def parts(x: Column) -> Column:
+        s = F.abs(x).cast("string")
+        plain = F.substring_index(s, "E", 1)
+        point, all_digits = F.instr(plain, "."), F.replace(plain, F.lit("."))
+        digits = F.ltrim(all_digits, F.lit("0"))
+        e = F.when(F.instr(s, "E") > 0, F.substring_index(s, "E", -1).cast("int")).otherwise(0) + point - 2 - F.length(all_digits) + F.length(digits)
+        return F.struct(F.abs(x).alias("v"), F.rtrim(digits, F.lit("0")).alias("digits"), e.alias("e"))
+
+    def best(x: Column) -> Column:
+        found = _once(_shortest(x["v"], x["digits"], x["e"]), lambda y: F.struct(F.rtrim(y["n"].cast("string"), F.lit("0")).alias("digits"), (y["q"] + F.length(y["n"].cast("string")) - 1).alias("e")))
+        return F.when((F.length(x["digits"]) > 15) | (x["v"] < 2.3e-308), found).otherwise(F.struct(x["digits"], x["e"]))
+
+    def written(x: Column) -> Column:
+        digits, e = x["digits"], x["e"]
+        after, tail = F.substring(digits, e + 2, F.lit(40)), F.substring(digits, 2, 40)
+        whole = F.concat(F.substring(F.rpad(digits, 40, "0"), F.lit(1), e + 1), F.lit("."), F.when(after == "", "0").otherwise(after))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        power = F.concat(F.when(e < 0, "-").otherwise("+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+        wide = F.concat(F.substring(digits, 1, 1), F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)), F.lit("e"), power)
+        return F.when(e.between(0, 15), whole).when(e.between(-4, -1), small).otherwise(wide)
+
+    def text(x: Column) -> Column:
+        finite = F.concat(F.when(x < 0, "-").otherwise(""), _once(_once(parts(x), best), written))
+        out = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, x.cast("string"))
+        return out.when(x.isNotNull(), finite)
+
+    return _once(col, text)
 
 
 def py_join(items: list[Value]) -> Value:
