@@ -132,3 +132,30 @@ def test_warnings(spark, three):
 def test_examples_compile():
     assert len(EXAMPLES) == 7
     assert all(not compile_program(read_program(w)).warnings for w in EXAMPLES.values())
+
+
+def test_steady_loops(spark):
+    """A loop that changes variables by the same in every tick gathers no device's ticks."""
+    rows = spark.createDataFrame([(d, 3 * t, {4: (t + d) % 2}, {}) for d in (1, 2) for t in range(30)], READINGS)
+    pressed, flow = compare("EQ", block("eb_dread", {"PIN": "4"}), num(0)), block("controls_flow_statements", {"FLOW": "BREAK"})
+    zero = [block("variables_set", {"VAR": "a"}, {"VALUE": num(7)}), say(text("go"))]
+    up = [repeat(3, change("a", 2), say(var("a"))), if_else(compare("GT", var("a"), num(40)), [dwrite(2, 1)], [dwrite(2, 0)]), change("a", -1), sleep(20)]
+    fields = ["device", "tick", "seq", "t_ms", "kind", "pin", "num_val", "str_val"]
+    flat = [repeat(3, change("a", 2), say(var("a")), tone(15, 262, 30)), change("a", -1), sleep(20), repeat(0, change("a", 1)), block("eb_unknown"), dwrite(2, 1)]
+    steady, other = [workspace(zero, up), workspace(zero, flat)], [[change("a", 1), if_else(compare("GT", var("a"), num(20)), [flow]), say(var("a"))]]
+    sensed = workspace([block("variables_set", {"VAR": "a"}, {"VALUE": block("eb_dread", {"PIN": "4"})})], up)
+    for program, gathers in [(p, False) for p in steady] + [(workspace(zero, p), True) for p in other] + [(sensed, True)]:
+        out = run_program(rows, program)
+        assert ("collect_list" in out._jdf.queryExecution().toString()) == gathers
+        expected = numbered(fold(rows, compile_program(read_program(program)))).select(*fields)
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_fold_of_many_ticks(spark):
+    """Ticks of a device fall into several blocks."""
+    from tickloom.plans.program import BLOCK
+
+    rows = spark.createDataFrame([(d, t, {4: t % 2}, {}) for d, n in ((1, 2 * BLOCK + 1), (2, 1), (3, BLOCK)) for t in range(n)], READINGS)
+    loop = [change("a", 1), if_else(compare("EQ", block("eb_dread", {"PIN": "4"}), num(0)), [say(var("a"))])]
+    folded = fold(rows, compile_program(read_program(workspace([block("variables_set", {"VAR": "a"}, {"VALUE": num(0)})], loop))))
+    assert {r.device: (len(r.done), [a.str_val for t in r.done for a in t]) for r in folded.collect()} == {d: (n, [str(i + 1) for i in range(0, n, 2)]) for d, n in ((1, 2 * BLOCK + 1), (2, 1), (3, BLOCK))}

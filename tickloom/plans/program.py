@@ -3,7 +3,8 @@
 A saved workspace is read on the driver, and every statement becomes a function
 from one state column to the next: variables, a virtual clock, the pins that have a
 handle, and the actions so far. A program whose loop keeps nothing from one tick to
-the next runs row by row, and a scan supplies its clock. A program that ends at the
+the next, or changes variables by the same in every tick, runs row by row, and a scan
+supplies its clock and how many ticks came before. A program that ends at the
 first tick runs on each device's first reading. Any other program is folded over each
 device's ticks in order. All are built-in expressions only.
 """
@@ -22,6 +23,10 @@ from ..functions import board
 from ..functions.pysem import BINARY, SPARK_TYPE, KindError, Value, number, py_abs, py_compare, py_join, py_not, py_pow, py_str, py_truthy
 from ..operators.ticks import clock
 
+#: Ticks of a device that are folded into one list before the list joins the others.
+BLOCK = 256
+#: Most actions of a tick that are listed before the readings are known.
+STEPS = 1000
 #: Most rounds of a while loop in one tick; one that goes on is ended there.
 FUEL = 1000
 RUN, CONTINUE, BREAK, WAITING, ENDED = range(5)
@@ -352,6 +357,108 @@ class Compiler:
         end = ENDED if not self.program.has_loop else RUN
         return let(s, lambda x: x.withField("pc", F.when(x["flow"] == WAITING, x["pc"]).otherwise(F.lit(m))).withField("flow", F.when(x["flow"] == BREAK, ENDED).when(x["flow"].isin(CONTINUE, RUN), end).otherwise(x["flow"])))
 
+    def steady(self, blocks: list[dict]) -> dict[str, int] | None:
+        """By how much statements change each variable, and under ``""`` how many ms they
+        take, if that is the same in every tick whatever is read; else none. Variables of
+        other kinds than integers, jumps, waits and handles are not followed."""
+        out: dict[str, int] = {}
+        for b in blocks:
+            kind, times, own = b["type"], 1, None
+            if kind == "eb_wait_until":
+                return None
+            try:
+                self.statement(b, F.col("reading"))(F.col("state"))
+            except (Unsupported, KindError):
+                continue  # dropped, as in the program itself
+            if kind == "math_change":
+                by = self.literal(self.input(b, "DELTA"))
+                name = self.variable(b)
+                own = {name: by} if isinstance(by, int) and self.kinds.get(name) == "int" else None
+            elif kind == "eb_sleep":
+                ms = self.literal(self.input(b, "MS"))
+                own = None if ms is None else {"": int(ms * 1000) if b.get("fields", {}).get("UNIT") == "s" else int(ms)}
+            elif kind == "eb_tone":
+                own = {"": max(0, int(self.literal(self.input(b, "DUR")) or 0))}
+            elif kind == "controls_repeat_ext":
+                n, body = self.literal(self.input(b, "TIMES")), chain(self.input(b, "DO"))
+                if n is not None:
+                    times, own = max(0, int(n)), self.steady(body) if body else {"": 100}
+            elif kind == "controls_if":
+                k, arms = 0, [chain(self.input(b, "ELSE"))] if self.input(b, "ELSE") else []
+                while f"IF{k}" in b.get("inputs", {}) or f"DO{k}" in b.get("inputs", {}):
+                    arms.append(chain(self.input(b, f"DO{k}")))
+                    k += 1
+                own = {} if not any(not a or self.steady(a) != {} for a in arms) else None
+            elif kind in ("eb_pin_mode", "eb_dwrite", "eb_awrite", "eb_swrite", "eb_print"):
+                own = {}
+            if own is None:
+                return None
+            for name, by in own.items():
+                out[name] = out.get(name, 0) + times * by
+        return {name: by for name, by in out.items() if by}
+
+    def listed(self, blocks: list[dict]) -> tuple[list[dict], list[tuple[dict, str]]] | None:
+        """The actions of a tick of a loop without branches, known before the readings are:
+        ``steps`` (when, of which statement, and by how much each variable has changed in the
+        tick until then), and the statements with the kinds of their actions. None if there are
+        branches or over ``STEPS``."""
+        steps: list[dict] = []
+        said: list[tuple[dict, str]] = []
+        number: dict[tuple[int, str], int] = {}
+        dropped: dict[int, bool] = {}
+        at, off = 0, {n: 0 for n in self.kinds}
+
+        def say(b: dict, kind: str, pin: int | None) -> None:
+            if (id(b), kind) not in number:
+                number[id(b), kind] = len(said)
+                said.append((b, kind))
+            steps.append({"at": at, "of": number[id(b), kind], "kind": kind, "pin": pin, **{f"o_{n}": v for n, v in off.items()}})
+
+        def walk(blocks: list[dict]) -> bool:
+            nonlocal at
+            for b in blocks:
+                kind = b["type"]
+                if id(b) not in dropped:
+                    try:
+                        self.statement(b, F.col("reading"))(F.col("state"))
+                        dropped[id(b)] = False
+                    except (Unsupported, KindError):
+                        dropped[id(b)] = True
+                if dropped[id(b)] or kind == "eb_pin_mode":
+                    continue
+                if kind == "controls_if" or len(steps) > STEPS:
+                    return False
+                if kind == "math_change":
+                    off[self.variable(b)] += self.literal(self.input(b, "DELTA"))
+                elif kind == "controls_repeat_ext":
+                    body, n = chain(self.input(b, "DO")), max(0, int(self.literal(self.input(b, "TIMES"))))
+                    if not body:
+                        at += 100 * n
+                    elif n > STEPS or not all(walk(body) for _ in range(n)):
+                        return False
+                elif kind == "eb_sleep":
+                    at += self.steady([b]).get("", 0)
+                elif kind == "eb_print":
+                    say(b, "print", None)
+                else:
+                    say(b, {"eb_dwrite": "dw", "eb_awrite": "pwm", "eb_swrite": "servo", "eb_tone": "tone"}[kind], self.pin(b))
+                    if kind == "eb_tone" and (length := self.literal(self.input(b, "DUR"))) and length > 0:
+                        at += int(length)
+                        say(b, "off", self.pin(b))
+            return len(steps) <= STEPS
+
+        return (steps, said) if walk(blocks) else None
+
+    def shown(self, block: dict, kind: str, s: Column, r: Column) -> tuple[Column, Column]:
+        """Number and text of an action of ``listed``."""
+        none = F.lit(None)
+        if kind == "print":
+            return none.cast("double"), py_str(self.any_in(block, "VAL", s, r)).col.cast("string")
+        if kind in ("dw", "off"):
+            return F.lit(0.0 if kind == "off" else float(block.get("fields", {}).get("VAL", 0))), none.cast("string")
+        name, default, form = {"pwm": ("DUTY", 50, board.pwm_duty), "servo": ("ANGLE", 90, board.servo_ns), "tone": ("FREQ", 440, board.tone_hz)}[kind]
+        return form(self.number_in(block, name, default, s, r).cast("float")).cast("double"), none.cast("string")
+
     def wait(self, block: dict, r: Column) -> State:
         self.keeps_state = True
         return lambda s: F.when(self.truth_in(block, "COND", s, r), s).otherwise(s.withField("flow", F.lit(WAITING)))
@@ -369,10 +476,50 @@ def compile_program(program: Program, seed: int = 0) -> Compiler:
     return c
 
 
+def mentions(blocks: list[dict], kinds: tuple[str, ...]) -> bool:
+    inner = [v for b in blocks for slot in b.get("inputs", {}).values() for v in (slot.get("block"), slot.get("shadow")) if v]
+    return any(b["type"] in kinds for b in blocks) or any(mentions(chain(v), kinds) for v in inner)
+
+
+def is_fixed(blocks: list[dict]) -> bool:
+    """Whether statements read nothing and run to their end, so that they leave the same
+    values on every device."""
+    return not mentions(blocks, ("eb_dread", "eb_aread", "eb_distance", "math_random_int", "eb_wait_until", "controls_flow_statements", "controls_whileUntil"))
+
+
 def _by_tick(a: Column, b: Column) -> Column:
     return F.when(a["tick"] < b["tick"], -1).when(a["tick"] > b["tick"], 1).otherwise(0)
 
 
+def _started(readings: DataFrame, start: Compiler) -> DataFrame:
+    """What runs at the start of each device."""
+    first = readings.groupBy("device").agg(F.min(F.struct("tick")).alias("f")).select("device", F.struct(F.col("f.tick").alias("tick"), F.create_map().cast("map<int,bigint>").alias("reads"), F.create_map().cast("map<int,bigint>").alias("waits")).alias("r"))
+    acts = first.withColumn("state", start.tick(start.initial(), F.col("r"))).select("device", F.posexplode("state.actions").alias("seq", "a"))
+    return acts.select("device", "a.tick", "seq", "a.t_ms", "a.kind", "a.pin", "a.num_val", "a.str_val")
+
+
+def _by_steps(rows: DataFrame, c: Compiler, steady: dict[str, int], after: Column, steps: list[dict], said: list[tuple[dict, str]]) -> DataFrame:
+    """A row for each reading and step of ``listed``; ``__tick`` counts the ticks before."""
+    left = rows.sparkSession.range(1).select(after.alias("s")).first()["s"].asDict() if c.kinds else {}  # one row
+    types = {"at": "bigint", "of": "int", "kind": "string", "pin": "int", **{f"o_{n}": "bigint" for n in c.kinds}}
+    listed = [F.struct(F.lit(i).alias("seq"), *[F.lit(x[k]).cast(kind).alias(k) for k, kind in types.items()]) for i, x in enumerate(steps)]
+    if not listed:
+        listed = [F.lit(None).cast("struct<seq:int," + ",".join(f"`{k}`:{kind}" for k, kind in types.items()) + ">")]
+    rows = rows.withColumn("a", F.explode(F.array(*listed))).where("a is not null")
+    now = []
+    for n, kind in sorted(c.kinds.items()):
+        v = F.lit(left.get(f"v_{n}")).cast(SPARK_TYPE[kind])
+        now.append((v + F.col("__tick") * steady.get(n, 0) + F.col("a")[f"o_{n}"] if kind == "int" else v).alias(f"v_{n}"))
+    s = F.struct(*now, F.lit(RUN).alias("flow"))
+    shown = [c.shown(b, kind, s, F.struct("tick", "reads", "waits")) for b, kind in said]
+    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for i, (n, x) in enumerate(shown):
+        number, text = F.when(F.col("a.of") == i, n).otherwise(number), F.when(F.col("a.of") == i, x).otherwise(text)
+    t_ms = F.col("__tick") * steady.get("", 0) + F.col("a.at")
+    kind = F.when(F.col("a.kind") == "off", "pwm").otherwise(F.col("a.kind"))
+    return rows.select("device", "tick", F.col("a.seq").alias("seq"), t_ms.alias("t_ms"), kind.alias("kind"), F.col("a.pin").alias("pin"), number.alias("num_val"), text.alias("str_val"))
+
+
 def run_program(readings: DataFrame, workspace: str | dict, span: Column | None = None, seed: int = 0) -> DataFrame:
     """``device, tick, seq, t_ms, kind, pin, num_val, str_val`` of a program over
     ``readings``: ``device, tick bigint, reads map<int,bigint>`` and, for distances,
@@ -388,19 +535,39 @@ def run_program(readings: DataFrame, workspace: str | dict, span: Column | None
         readings = readings.withColumn("waits", F.create_map().cast("map<int,bigint>"))
     reading = F.struct("tick", "reads", "waits")
     start = compile_program(Program(program.setup, [], False), seed)
-    if not c.keeps_state and program.has_loop and not start.takes_time:
-        rows = readings.withColumn("state", c.tick(let(c.initial(), lambda s: s.withField("pc", F.lit(len(program.setup)))), reading))
-        if compile_program(Program([], program.loop, True), seed).takes_time:
-            rows = clock(rows.withColumn("__ms", F.col("state.t_ms")), "device", ["tick"], F.floor(F.col("tick") / 10_000) if span is None else span, F.col("__ms"), "__before")
+    steady = compile_program(program, seed).steady(program.loop) if not c.keeps_state or is_fixed(program.setup) else None
+    if program.has_loop and not start.takes_time and (steady is not None or not c.keeps_state):
+        begin = lambda s: s.withField("pc", F.lit(len(program.setup)))
+        ranges = F.floor(F.col("tick") / 10_000) if span is None else span
+        if steady is None:
+            rows = readings.withColumn("state", c.tick(let(c.initial(), begin), reading))
+            if compile_program(Program([], program.loop, True), seed).takes_time:
+                rows = clock(rows.withColumn("__ms", F.col("state.t_ms")), "device", ["tick"], ranges, F.col("__ms"), "__before")
+            else:
+                rows = rows.withColumn("__before", F.lit(0).cast("bigint"))
         else:
-            rows = rows.withColumn("__before", F.lit(0).cast("bigint"))
+            # Only readings are scanned, not what is made of them.
+            rows = clock(readings, "device", ["tick"], ranges, F.lit(1).cast("bigint"), "__tick") if steady else readings.withColumn("__tick", F.lit(0).cast("bigint"))
+            none = F.create_map().cast("map<int,bigint>")
+            after = start.tick(c.initial(), F.struct(F.lit(-1).cast("bigint").alias("tick"), none.alias("reads"), none.alias("waits"))) if c.keeps_state else c.initial()
+            plan = None if mentions(program.loop, ("math_random_int",)) else c.listed(program.loop)
+            if plan is not None:
+                out = _by_steps(rows, c, steady, after, *plan)
+                return out.unionByName(_started(readings, start)) if program.setup else out
+
+            def from_start(s: Column) -> Column:
+                s = begin(s).withField("flow", F.lit(RUN)).withField("actions", F.array().cast(ACTION))
+                for name, by in steady.items():
+                    if name:
+                        s = s.withField(f"v_{name}", s[f"v_{name}"] + F.col("__tick") * by)
+                return s
+
+            rows = rows.withColumn("state", c.tick(let(after, from_start), reading)).withColumn("__before", F.col("__tick") * steady.get("", 0))
         rows = rows.select("device", "__before", F.posexplode("state.actions").alias("seq", "a"))
         out = rows.select("device", "a.tick", "seq", (F.col("a.t_ms") + F.col("__before")).alias("t_ms"), "a.kind", "a.pin", "a.num_val", "a.str_val")
         if not program.setup:
             return out
-        first = readings.groupBy("device").agg(F.min(F.struct("tick")).alias("f")).select("device", F.struct(F.col("f.tick").alias("tick"), F.create_map().cast("map<int,bigint>").alias("reads"), F.create_map().cast("map<int,bigint>").alias("waits")).alias("r"))
-        acts = first.withColumn("state", start.tick(start.initial(), F.col("r"))).select("device", F.posexplode("state.actions").alias("seq", "a"))
-        return out.unionByName(acts.select("device", "a.tick", "seq", "a.t_ms", "a.kind", "a.pin", "a.num_val", "a.str_val"))
+        return out.unionByName(_started(readings, start))
     if not program.has_loop and not any(b["type"] == "eb_wait_until" for b in program.setup):
         first = readings.groupBy("device").agg(F.min_by(reading, "tick").alias("r"))
         acts = first.withColumn("state", c.tick(c.initial(), F.col("r"))).select("device", F.posexplode("state.actions").alias("seq", "a"))
@@ -419,9 +586,13 @@ def fold(readings: DataFrame, c: Compiler, before: DataFrame | None = None) -> D
         ticks = ticks.join(before.withColumnRenamed("state", "before"), "device", "left")
         begin = F.coalesce(F.col("before"), begin)
     keep = lambda done, s: F.struct(s.withField("actions", F.array().cast(ACTION)).alias("state"), F.concat(done, F.array(s["actions"])).alias("done"))
-    start = F.struct(begin.alias("state"), F.array().cast(f"array<{ACTION}>").alias("done"))
-    out = F.aggregate("ticks", start, lambda acc, r: let(c.tick(acc["state"], r), lambda s: keep(acc["done"], s)))
-    return ticks.select("device", out.alias("out")).select("device", "out.state", "out.done")
+    empty = lambda s, kind: F.struct(s.alias("state"), F.array().cast(kind).alias("done"))
+    one = lambda acc, r: let(c.tick(acc["state"], r), lambda s: keep(acc["done"], s))
+    # A list is copied when something is put to its end: so ticks go to short lists, and these to the long one.
+    block = lambda acc, i: let(F.aggregate(F.slice("ticks", i * BLOCK + 1, BLOCK), empty(acc["state"], f"array<{ACTION}>"), one), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["done"], F.array(x["done"])).alias("done")))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("ticks") - 1) / BLOCK).cast("int"))
+    out = F.aggregate(blocks, empty(begin, f"array<array<{ACTION}>>"), block)
+    return ticks.select("device", out.alias("out")).select("device", "out.state", F.flatten("out.done").alias("done"))
 
 
 def numbered(folded: DataFrame) -> DataFrame:
