@@ -53,6 +53,16 @@ def test_cube(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((*g, n, len(s))) for g, (n, s) in cubes(rows).items())
 
 
+def test_cube_deals_by_value(spark, monkeypatch):
+    """The facts make as many parts as their rows ask for, and nothing is expanded before it is dealt."""
+    monkeypatch.setattr(tables, "CUBE_ROWS", 20)
+    rows, df = frame(spark, 6)
+    out = tables.cube(df.withColumn("m", F.col("id") % 3), ["k", "m"], "v", {"total": F.col("id")})
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((*g, n, len(s))) for g, (n, s) in cubes(rows).items())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and ", 20), REPARTITION_BY_NUM" in plan
+
+
 def test_cube_sketched(spark):
     """Within five standard errors at every level, from one scan."""
     df = spark.range(200_000).withColumns({"k": F.col("id") % 3, "m": F.col("id") % 7, "v": F.col("id") * 7919 % 60_000})

@@ -41,14 +41,27 @@ def top(df: DataFrame, keys: Sequence[str], k: int, *order: Column, name: str =
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
+#: Rows of the finest level that a task of ``cube`` holds.
+CUBE_ROWS = 100_000
+
+
 def cube(df: DataFrame, dims: Sequence[str], value: str, sums: dict[str, Column], distinct: str = "n_distinct") -> DataFrame:
     """Sums and the exact number of different ``value``s for every combination of
     ``dims``, with ``level`` (a bit for each of ``dims`` that is summed over, the last
     the lowest). The facts are read once and added up by all of ``dims`` and ``value``
-    first; only these rows are spread over the combinations. Null values count in sums
-    and not as a value; a null of ``dims`` is a group of its own level."""
+    first, and dealt by ``value`` into as many parts as their number asks for. No two parts
+    share a value, so each counts its own, and only the counts are shuffled. Null values
+    count in sums and not as a value; a null of ``dims`` is a group of its own level."""
     finest = df.groupBy(*dims, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    return finest.cube(*dims).agg(F.grouping_id().cast("long").alias("level"), *[F.sum(n).alias(n) for n in sums], F.count_distinct(value).alias(distinct))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // CUBE_ROWS))
+    dealt = finest.select(*[F.col(d).alias(f"__d{i}") for i, d in enumerate(dims)], F.col(value).alias("__value"), *[F.col(n).alias(f"__s{i}") for i, n in enumerate(sums)])
+    # Null values are no values: they are spread, each group on its own.
+    spread = F.when(F.col("__value").isNull(), F.xxhash64(*[f"__d{i}" for i in range(len(dims))])).otherwise(F.xxhash64("__value"))
+    dealt = dealt.withColumn("__part", spread).repartition(parts, "__part").withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << len(dims)) - 1).cast("long"))))
+    masked = [F.when(F.col("level").bitwiseAND(1 << (len(dims) - 1 - i)) == 0, F.col(f"__d{i}")).alias(d) for i, d in enumerate(dims)]
+    values = dealt.select("__part", "__value", "level", *masked, *[f"__s{i}" for i in range(len(sums))])
+    each = values.groupBy("__part", "__value", "level", *dims).agg(*[F.sum(f"__s{i}").alias(f"__s{i}") for i in range(len(sums))])
+    return each.groupBy(*dims, "level").agg(*[F.sum(f"__s{i}").alias(n) for i, n in enumerate(sums)], F.count("__value").alias(distinct))
 
 
 def cube_sketched(df: DataFrame, dims: Sequence[str], value: str, sums: dict[str, Column], distinct: str = "n_distinct", bits: int = 14) -> DataFrame:
