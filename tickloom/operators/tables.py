@@ -48,7 +48,7 @@ CUBE_ROWS = 100_000
 def cube(df: DataFrame, dims: Sequence[str], value: str, sums: dict[str, Column], distinct: str = "n_distinct") -> DataFrame:
     """Sums and the exact number of different ``value``s for every combination of
     ``dims``, with ``level`` (a bit for each of ``dims`` that is summed over, the last
-    the lowest). The facts are read once and added up by all of ``dims`` and ``value``
+    the lowest). The facts are counted, then read once and added up by all of ``dims`` and ``value``
     first, and dealt by ``value`` into as many parts as their number asks for. No two parts
     share a value, so each counts its own, and only the counts are shuffled. Null values
     count in sums and not as a value; a null of ``dims`` is a group of its own level."""
