@@ -14,7 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +23,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: ``chars`` (``n`` of them), ``drain`` (all for a time) or ``clock`` (nothing but the time).
 ROWS = "port string, seq long, at timestamp, kind string, text string, n long, timeout_ms long"
 ANSWERS = "port string, waiter long, status string, text string"
+#: The state of a bucket of ports: one port's count of waits, open waits, and text, or ``more`` of it.
+LOG = "port string, asked long, more boolean, text string, waits array<struct<waiter long, kind string, marker string, n long, deadline_ms long>>"
+#: Ports share so many states, and a row of one counts as so many characters beside its text.
+BUCKETS, ROW_CHARS = 2048, 64
 
 
 @contextmanager
@@ -78,58 +83,77 @@ class Desk:
 
 
 class Waiters(StatefulProcessor):
-    """Every call to the state is a message to Spark, so ``known`` says what there is."""
+    """The desks of all ports of a bucket. Every call to the state is a message to Spark, so
+    there are a few for a bucket and none for a port; frames, since Spark makes single rows cell by cell. What has changed is added to one list,
+    in which the last row of a port counts, and the list is written anew when most of it is past."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.chunks = handle.getListState("chunks", "text string")
-        self.waits = handle.getMapState("waits", "waiter long", "kind string, marker string, n long, deadline_ms long")
-        self.known = handle.getValueState("known", "asked long, open long, has_text boolean, timer_ms long")
-
-    def _desk(self) -> tuple[Desk, dict[int, tuple], str, int | None]:
-        asked, count, has_text, timer = self.known.get() or (0, 0, False, None)
-        chunks = [c[0] for c in self.chunks.get()] if has_text else []
-        waits = {k[0]: tuple(v) for k, v in self.waits.iterator()} if count else {}
-        desk = Desk(chunks, waits, asked)
-        return desk, dict(waits), desk.text, timer
-
-    def _close(self, key: tuple, desk: Desk, waits: dict[int, tuple], text: str, timer: int | None, fired: bool) -> Iterator[Row]:
+        self.log = handle.getListState("log", LOG)
+
+    def _desks(self) -> tuple[dict[str, Desk], int]:
+        """The desks by port, and the size of the list."""
+        pieces: dict[str, list[str]] = {}
+        last: dict[str, tuple[int, list]] = {}
+        size = 0
+        for port, asked, more, text, waits in self.log.get():
+            size += ROW_CHARS + len(text)
+            pieces[port] = pieces[port] if more else []
+            pieces[port].append(text)
+            last[port] = (asked, waits)
+        return {p: Desk(pieces[p], {w[0]: tuple(w[1:]) for w in waits}, asked) for p, (asked, waits) in last.items()}, size
+
+    def _close(self, desks: dict[str, Desk], before: dict[str, tuple], size: int, timer: int | None, fired: bool) -> Iterator[pd.DataFrame]:
         """Keeps what has changed, and a timer for the next wait that may end."""
-        if desk.text != text:
-            if text and desk.text.startswith(text):
-                self.chunks.appendValue((desk.text[len(text) :],))
-            elif desk.text:
-                self.chunks.put([(desk.text,)])
-            else:
-                self.chunks.clear()
-        for waiter in set(waits) - set(desk.waits):
-            self.waits.removeKey((waiter,))
-        for waiter in set(desk.waits) - set(waits):
-            self.waits.updateValue((waiter,), desk.waits[waiter])
-        goal = min((w[3] for w in desk.waits.values()), default=None)
-        goal = None if goal is None else goal + 1  # text at the end itself is in time
+        fresh = []
+        for port, desk in desks.items():
+            text, waits, asked = before.get(port, ("", {}, 0))
+            if (desk.text, desk.waits, desk.asked) != (text, waits, asked):
+                more = port in before and desk.text.startswith(text)
+                fresh.append(_logged(port, desk, desk.text[len(text) :] if more else desk.text, more))
+        live = sum(ROW_CHARS + len(d.text) for d in desks.values())
+        if fresh and size + sum(ROW_CHARS + len(f[3]) for f in fresh) > 2 * live:
+            self.log.put([_logged(p, d, d.text, False) for p, d in desks.items()])
+        elif fresh:
+            self.log.appendList(fresh)
+        goal = _timer(desks)
         if timer is not None and not fired and timer != goal:
             self.handle.deleteTimer(timer)
         if goal is not None and (fired or timer != goal):
             self.handle.registerTimer(goal)
-        self.known.update((desk.asked, len(desk.waits), bool(desk.text), goal))
-        for waiter, status, got in desk.answers:
-            yield Row(port=key[0], waiter=waiter, status=status, text=got)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        desk, waits, text, timer = self._desk()
-        for r in sorted(rows, key=lambda r: (r.at_ms, r.seq)):
-            desk.take(r.kind, r.text, r.n, r.at_ms, r.timeout_ms)
-        yield from self._close(key, desk, waits, text, timer, fired=False)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        desk, waits, text, timer = self._desk()
+        if said := [(port, *answer) for port, desk in desks.items() for answer in desk.answers]:
+            yield pd.DataFrame(said, columns=["port", "waiter", "status", "text"])
+
+    def _turn(self, frames: Iterator[pd.DataFrame], now_ms: int, fired: bool) -> Iterator[pd.DataFrame]:
+        desks, size = self._desks()
+        before, timer = {p: (d.text, dict(d.waits), d.asked) for p, d in desks.items()}, _timer(desks)
+        rows = [r for f in frames for r in zip(*(f[c].tolist() for c in ("port", "at_ms", "seq", "kind", "text", "n", "timeout_ms")), strict=True)]
+        for port, at_ms, _, kind, text, n, timeout_ms in sorted(rows, key=lambda r: r[:3]):
+            if port not in desks:
+                desks[port] = Desk([], {}, 0)
+            desks[port].take(kind, text, n, at_ms, timeout_ms)
         # All that is over: a timer that is set for a time already past would not fire.
-        desk.expire(timerValues.getCurrentWatermarkInMs())
-        yield from self._close(key, desk, waits, text, timer, fired=True)
+        for desk in desks.values():
+            desk.expire(now_ms)
+        yield from self._close(desks, before, size, timer, fired)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._turn(rows, timerValues.getCurrentWatermarkInMs(), fired=False)
 
-def answered(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._turn(iter(()), timerValues.getCurrentWatermarkInMs(), fired=True)
+
+
+def _logged(port: str, desk: Desk, text: str, more: bool) -> tuple:
+    return port, desk.asked, more, text, [(waiter, *wait) for waiter, wait in desk.waits.items()]
+
+
+def _timer(desks: dict[str, Desk]) -> int | None:
+    """When the next wait may end; text at the end itself is in time."""
+    return min((w[3] + 1 for d in desks.values() for w in d.waits.values()), default=None)
+
+
+def answered(rows: DataFrame, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """``port, waiter, status, text`` for each wait of the stream ``rows`` (``ROWS``), as
     it ends: ``waiter`` counts the waits of a port, ``status`` is ``ok`` or ``timeout``.
 
@@ -137,8 +161,13 @@ def answered(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
     time. A port's rows may come in any order inside a micro-batch, and up to ``late``
     out of order between them: Spark leaves out rows that are not after the stream's
     time, which is the latest ``at`` of the micro-batches before, less ``late``. A wait without further rows ends when the stream's time
-    has passed it. Null texts are empty; a null port is none. The state of a port is the
-    text that no wait has taken, as a list of chunks, and its open waits. The stream needs the RocksDB state store.
+    has passed it. Null texts are empty, a null ``seq`` comes first; rows without a port or a time are none. The state of a port is the
+    text that no wait has taken and its open waits. Ports are dealt by hash into ``buckets``, whose states
+    are read and kept as one; a task holds one bucket's state and its rows of a micro-batch. The number stays
+    as it is from start to start of a stream. The stream needs the RocksDB state store.
     """
-    rows = rows.where(F.col("port").isNotNull()).withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
-    return rows.groupBy("port").transformWithState(Waiters(), ANSWERS, "append", "EventTime")
+    rows = rows.where("port is not null and at is not null").withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
+    # A null among whole numbers would make a frame's column inexact.
+    rows = rows.withColumns({"text": F.coalesce("text", F.lit("")), "n": F.coalesce("n", F.lit(0)), "timeout_ms": F.coalesce("timeout_ms", F.lit(0)), "seq": F.coalesce("seq", F.lit(-(2**63)))})
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("port"), F.lit(buckets)))
+    return rows.groupBy("bucket").transformWithStateInPandas(Waiters(), ANSWERS, "append", "EventTime")
