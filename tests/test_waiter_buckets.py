@@ -105,3 +105,11 @@ def test_one_bucket_on_a_stream(spark, tmp_path):
         said.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(f"{path}/out").select("port", "waiter", "status", "text").collect()
     assert sorted(repr(tuple(r)) for r in got) == brute_answers(rows)
+
+
+def test_state_is_compact_and_settings_return(spark):
+    name = "spark.sql.streaming.stateStore.rocksdb.compression"
+    before = spark.conf.get(name, None)
+    with waiters.state_store(spark):
+        assert spark.conf.get(name) == "zstd"
+    assert spark.conf.get(name, None) == before

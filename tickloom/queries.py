@@ -507,7 +507,7 @@ def port_rows(d: DataFrame, asks: list[tuple[str, str | None, int | None, int, i
 def run_ports(rows: DataFrame) -> DataFrame:
     """The answers of a stream that reads ``rows`` to its end."""
     spark, path = rows.sparkSession, shared_dir(rows.sparkSession, "ports")
-    rows.write.parquet(f"{path}/in")
+    rows.write.option("compression", "zstd").parquet(f"{path}/in")
     with waiters.state_store(spark):
         said = waiters.answered(spark.readStream.schema(waiters.ROWS).parquet(f"{path}/in"))
         said.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()

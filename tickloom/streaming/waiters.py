@@ -31,14 +31,20 @@ BUCKETS, ROW_CHARS = 2048, 64
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Queries that are started inside keep their state in RocksDB."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Queries that are started inside keep their state in RocksDB, in compact files: much of it is text."""
+    store = "spark.sql.streaming.stateStore."
+    wanted = {store + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", store + "rocksdb.compression": "zstd"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 class Desk:
