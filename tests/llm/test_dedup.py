@@ -4,10 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, near_dedup, passages
+from tickloom.llm import common, exact_dedup, near_dedup, passages
 
 SCHEMA = "doc_id long, text string, digest string, bucket int"
 
@@ -340,3 +341,53 @@ def test_common_words():
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         assert passages.common_words(a, b) == best[-1][-1]
+
+
+def test_pairs_compared_together():
+    """Texts and pivots that are hashed and matched at once give what each pair gives alone."""
+    r = random.Random(5)
+    stock = [words(600 + k, 60) for k in range(4)]
+    made = lambda: sum((r.choice([*stock, words(r.randrange(700, 900), 30), ["a", "b"] * 9]) for _ in range(r.randrange(6))), [])
+    pivots, texts = ([" ".join(made()) for _ in range(n)] for n in (7, 60))
+    which = [r.randrange(7) for _ in texts]
+    alone = [(t, *f[1:]) for t, p in enumerate(which) for f in passages.passages(pivots[p], [texts[t]])]
+    assert len(alone) > 20
+    assert passages.passages_of(pivots, texts, np.array(which)) == alone
+
+
+def test_neighbours(spark):
+    """Across ranges and batches too, and where an id has a digest in several rows."""
+    r = random.Random(6)
+    rows = [(r.randrange(4000), r.choice([3, 3, 3, r.randrange(2000)]), r.randrange(1, 4)) for _ in range(20_000)]
+    least, n = {}, Counter()
+    for i, digest, k in rows:
+        least.setdefault(digest, {}).setdefault(i, 0)
+        least[digest][i] += k
+    want = []
+    for own in least.values():
+        own = sorted(own.items())
+        want += [(a[0], b[0], min(a[1], b[1])) for a, b in zip(own, own[1:], strict=False)]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = passages.neighbours(spark.createDataFrame(rows, "id long, digest long, n long")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held[1])
+    assert Counter(tuple(x) for x in got) == Counter(want)
+    assert passages.neighbours(spark.createDataFrame([], "id string, digest long, n long")).count() == 0
+
+
+def test_single_seeds_are_not_shuffled(spark, monkeypatch):
+    """The seeds that one document has go no further than the task that makes them, also where
+    nothing is broadcast."""
+    for m in (common, passages):
+        monkeypatch.setattr(m, "broadcast_if_small", lambda df, limit=None: df)
+    docs = table(spark, [(k, " ".join(words(31, 60) + words(400 + k, 200))) for k in range(20)]).select(F.col("doc_id").alias("id"), "text")
+    kept, repeated = passages.repeated_seeds(docs)
+    assert "Exchange" not in repeated(docs)._jdf.queryExecution().executedPlan().toString()
+    every = passages.seed_table(docs)
+    want = {tuple(r) for r in every.join(every.groupBy("digest").count().where("count > 1"), "digest").select("id", "digest", "n").collect()}
+    got = {tuple(r) for r in kept.collect()}
+    assert want <= got and len(got) < 1.2 * len(want) < every.count() / 2

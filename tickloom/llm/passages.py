@@ -10,7 +10,7 @@
    windows at least: 50 equal words have 15 on average, and 40 of 50 words with edits
    between them about four.
 3. Partners of a pivot are dealt into blocks, and each block meets its pivot's text
-   once. There the longest runs of five or more equal words, from every place of the
+   once; the texts of many blocks are hashed and matched together. There the longest runs of five or more equal words, from every place of the
    text to every place of the pivot, are segments. They are found by their first and
    last windows, beside which the words differ, and so one by one even in repeated
    lines. Segments are chained in order: a chain's score is its matched words less a
@@ -28,16 +28,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import ranked
 from .common import broadcast_if_small, drop, give_back, read, stored
-from .exact_dedup import bit_filter
+from .exact_dedup import MAX_FILTER_BITS, bit_filter
 from .words import GOLDEN, as_strings, blocks, mixed, window_hashes, word_hashes
 
 SEED_WORDS = 5
@@ -99,28 +99,6 @@ def seeds(texts: pa.Array | Sequence[str | None], width: int = SEED_WORDS, windo
     return doc[new], h[new], np.diff(np.append(np.flatnonzero(new), len(h)))
 
 
-class Fenwick:
-    """Largest (value, item) over the places up to one."""
-
-    def __init__(self, n: int):
-        self.best: list[tuple[float, int]] = [(-1e18, -1)] * (n + 1)
-
-    def put(self, place: int, value: float, item: int) -> None:
-        i = place + 1
-        while i < len(self.best):
-            if self.best[i][0] < value:
-                self.best[i] = (value, item)
-            i += i & -i
-
-    def upto(self, place: int) -> tuple[float, int]:
-        i, out = place + 1, (-1e18, -1)
-        while i > 0:
-            if out[0] < self.best[i][0]:
-                out = self.best[i]
-            i -= i & -i
-        return out
-
-
 #: start in the document, start in the pivot, words
 Segment = tuple[int, int, int]
 
@@ -129,30 +107,44 @@ def chain(segments: list[Segment], gap_cost: float = GAP_COST, origin: list[int]
     """Disjoint chains of segments that follow each other in both texts, best
     first. A segment scores its words; a step costs ``gap_cost`` for each word
     between, in either text. Of segments with the same ``origin``, one is used."""
-    order = sorted(range(len(segments)), key=segments.__getitem__)
-    origin = [origin[k] for k in order] if origin else order
-    segments = [segments[k] for k in order]
-    places = sorted({s[1] + s[2] for s in segments})
-    index = {p: i for i, p in enumerate(places)}
-    starts = np.searchsorted(places, [s[1] for s in segments], side="right") - 1
-    tree = Fenwick(len(places))
-    score, back = [0.0] * len(segments), [-1] * len(segments)
-    waiting = sorted(range(len(segments)), key=lambda k: segments[k][0] + segments[k][2])
-    ready = 0
-    for k, (i, j, n) in enumerate(segments):
-        while segments[w := waiting[ready]][0] + segments[w][2] <= i:
-            a, b, m = segments[w]
-            tree.put(index[b + m], score[w] + gap_cost * (a + b + 2 * m), w)
-            ready += 1
-        best, before = tree.upto(int(starts[k])) if starts[k] >= 0 else (-1e18, -1)
-        best -= gap_cost * (i + j)
-        score[k] = n + max(0.0, best)
-        back[k] = before if best > 0 else -1
-    used, out = set(), []
-    for k in sorted(range(len(segments)), key=lambda k: (-score[k], k)):
+    if not segments:
+        return []
+    at = np.array(segments, np.int64)
+    order = np.lexsort(at.T[::-1])
+    at = at[order]
+    i, j, n = at.T
+    end, end_p = i + n, j + n
+    # Before a segment, those go into the Fenwick tree that end at its start or sooner.
+    waiting = np.argsort(end, kind="stable")
+    until = np.searchsorted(end[waiting], i, side="right").tolist()
+    places = np.unique(end_p)
+    put, upto = (np.searchsorted(places, end_p) + 1).tolist(), np.searchsorted(places, j, side="right").tolist()
+    paid, cost = (gap_cost * (end + end_p)).tolist(), (gap_cost * (i + j)).tolist()
+    waiting, score, back, ready = waiting.tolist(), n.astype(float).tolist(), [-1] * len(at), 0
+    # The largest value, and its segment, over ranges of places.
+    value, item = [-1e18] * (len(places) + 1), [-1] * (len(places) + 1)
+    for k, have in enumerate(until):
+        for w in waiting[ready:have]:
+            v, f = score[w] + paid[w], put[w]
+            while f < len(value):
+                if value[f] < v:
+                    value[f], item[f] = v, w
+                f += f & -f
+        ready, best, before, f = have, -1e18, -1, upto[k]
+        while f:
+            if best < value[f]:
+                best, before = value[f], item[f]
+            f &= f - 1
+        best -= cost[k]
+        if best > 0:
+            score[k], back[k] = score[k] + best, before
+    origin = np.unique(np.array(origin)[order], return_inverse=True)[1].tolist() if origin else range(len(at))
+    segments = segments_of(i, j, n)
+    used, out = bytearray(len(at)), []
+    for k in np.argsort(-np.array(score), kind="stable").tolist():
         own = []
-        while k >= 0 and origin[k] not in used:
-            used.add(origin[k])
+        while k >= 0 and not used[origin[k]]:
+            used[origin[k]] = 1
             own.append(segments[k])
             k = back[k]
         if own:
@@ -216,7 +208,7 @@ def _passes(matched, words, words_p, min_words: int, least: float):
 
 
 def segments_of(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> list[Segment]:
-    return [(int(x), int(y), int(z)) for x, y, z in zip(i, j, n, strict=True)]
+    return list(zip(i.tolist(), j.tolist(), n.tolist(), strict=True))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,29 +241,37 @@ def unlike_beside(h: np.ndarray, side: np.ndarray, h_p: np.ndarray, side_p: np.n
     return np.concatenate((hit, hit))[owner], order[at]
 
 
-def maximal_runs(sizes: np.ndarray, words: np.ndarray, words_p: np.ndarray, width: int, total: float = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, start in it and in the pivot, and words of all runs of ``width`` or more
+def maximal_runs(sizes: np.ndarray, words: np.ndarray, words_p: np.ndarray, width: int, total: float = 0, sizes_p: np.ndarray | None = None, pivot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start in it and in its pivot, and words of all runs of ``width`` or more
     equal words that can be extended on neither side. Texts may be left out whose
-    runs have fewer than ``total`` words."""
+    runs have fewer than ``total`` words. ``words_p`` are one pivot's, or of ``sizes_p``
+    each; then ``pivot`` has the number of each text's."""
+    sizes_p = np.array([len(words_p)]) if sizes_p is None else sizes_p
+    pivot = np.zeros(len(sizes), np.int64) if pivot is None else pivot
     doc, at, h = window_hashes(sizes, words, width)
-    _, at_p, h_p = window_hashes(np.array([len(words_p)]), words_p, width)
+    doc_p, at_p, h_p = window_hashes(sizes_p, words_p, width)
     none = np.zeros(0, np.int64)
     if not len(h_p) or not len(h):
         return none, none, none, none
-    known = np.sort(h_p)
-    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    if len(sizes_p) > 1:  # a window is equal to those of its own pivot alone
+        salt = mixed(np.arange(1, len(sizes_p) + 1, dtype=np.uint64) * GOLDEN)
+        h, h_p = h ^ salt[pivot[doc]], h_p ^ salt[doc_p]
+    hit = _among(h, h_p)
     # A run has at most ``width`` words for each of its windows, in one place of the pivot.
     doc, at, h = doc[hit], at[hit], h[hit]
     few = np.bincount(doc, minlength=len(sizes)) * width < total
     doc, at, h = (x[~few[doc]] for x in (doc, at, h))
     if not len(h):
         return none, none, none, none
+    hit = _among(h_p, h)
+    doc_p, at_p, h_p = doc_p[hit], at_p[hit], h_p[hit]
     flat = (np.cumsum(sizes) - sizes)[doc] + at
+    flat_p = (np.cumsum(sizes_p) - sizes_p)[doc_p] + at_p
     edges = []
-    for step, inside, inside_p in ((-1, at > 0, at_p > 0), (width, at + width < sizes[doc], at_p + width < len(words_p))):
+    for step, inside, inside_p in ((-1, at > 0, at_p > 0), (width, at + width < sizes[doc], at_p + width < sizes_p[doc_p])):
         # The end of a text is like no word, nor like the end of the other.
         side, side_p = np.zeros(len(h), np.uint64), np.ones(len(h_p), np.uint64)
-        side[inside], side_p[inside_p] = words[flat[inside] + step], words_p[at_p[inside_p] + step]
+        side[inside], side_p[inside_p] = words[flat[inside] + step], words_p[flat_p[inside_p] + step]
         k, q = unlike_beside(h, side, h_p, side_p)
         order = np.lexsort((at[k], at_p[q] - at[k], doc[k]))
         edges.append((k[order], q[order]))
@@ -280,6 +280,19 @@ def maximal_runs(sizes: np.ndarray, words: np.ndarray, words_p: np.ndarray, widt
     return doc[k], at[k], at_p[q], at[last] - at[k] + width
 
 
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Numbers of the hashes that are among the known ones, and of very few others: by a
+    bitmap of their first bits, and one of their last."""
+    bits = max(12, min(22, (16 * len(known)).bit_length()))
+    shift, mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+    marked = np.zeros(1 << bits, bool)
+    marked[known >> shift] = True
+    hit = np.flatnonzero(marked[h >> shift])
+    marked[:] = False
+    marked[known & mask] = True
+    return hit[marked[h[hit] & mask]]
+
+
 def shortened(doc: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, pairs: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Number of a segment, and words that it gives up at its start so that it can
     follow another one that ends inside it; each segment as it is (0 words) too."""
@@ -327,23 +340,31 @@ def covering(found: list[tuple[int, int, int, int, int]], size: int) -> list[tup
 def passages(pivot: str, texts: pa.Array | Sequence[str], min_words: int = MIN_WORDS, least: float = MIN_SIMILARITY, width: int = MATCH_WORDS) -> list[tuple[int, int, int, int, int, int]]:
     """Text number, start, end, start and end in the pivot, words in common. Runs of
     equal words are matched at every place of the pivot."""
-    _, words_p = word_hashes([pivot])
+    return passages_of([pivot], texts, np.zeros(len(texts), np.int64), min_words, least, width)
+
+
+def passages_of(pivots: pa.Array | Sequence[str], texts: pa.Array | Sequence[str], pivot: np.ndarray, min_words: int = MIN_WORDS, least: float = MIN_SIMILARITY, width: int = MATCH_WORDS) -> list[tuple[int, int, int, int, int, int]]:
+    """As ``passages``, of texts that have a pivot each, by its number. All are hashed and
+    matched together; only texts with enough equal words are chained one by one."""
+    sizes_p, words_p = word_hashes(pivots)
     sizes, words = word_hashes(texts)
-    doc, at, other, runs = maximal_runs(sizes, words, words_p, width, min_words * least)
+    doc, at, other, runs = maximal_runs(sizes, words, words_p, width, min_words * least, sizes_p, pivot)
     total = np.bincount(doc, weights=runs, minlength=len(texts))
     enough = total[doc] >= min_words * least
     doc, at, other, runs = doc[enough], at[enough], other[enough], runs[enough]
     k, over = shortened(doc, at, other, runs)
     doc, at, other, runs = doc[k], at[k] + over, other[k] + over, runs[k] - over
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    starts = np.cumsum(sizes) - sizes
+    starts, starts_p = np.cumsum(sizes) - sizes, np.cumsum(sizes_p) - sizes_p
     out = []
     for t in np.unique(doc):
         a, b = bounds[t], bounds[t + 1]
-        own_words = words[starts[t] : starts[t] + sizes[t]]
+        p = pivot[t]
+        own_words, own_words_p = words[starts[t] : starts[t] + sizes[t]], words_p[starts_p[p] : starts_p[p] + sizes_p[p]]
         found = []
-        for own in chain(segments_of(at[a:b], other[a:b], runs[a:b]), origin=k[a:b].tolist()):
-            found += parts(own, own_words, words_p, min_words, least)
+        for own in chain(segments_of(at[a:b], other[a:b], runs[a:b]), origin=k[a:b].tolist()) if b - a > 1 else [segments_of(at[a:b], other[a:b], runs[a:b])]:
+            if own[-1][0] + own[-1][2] - own[0][0] >= min_words:
+                found += parts(own, own_words, own_words_p, min_words, least)
         out += [(int(t), *f) for f in covering(found, int(sizes[t]))]
     return out
 
@@ -424,7 +445,7 @@ def open_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, min_words: i
     table = stored(open_table(docs, min_words, True), "open-parts")
     several = stored(table.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("digest"), "open-shared")
     maybe = bit_filter(several, several.count())
-    kept = maybe(table).join(broadcast_if_small(several), "digest", "left_semi").groupBy("id").agg(F.collect_set("digest").alias("kept"))
+    kept = maybe(table).join(broadcast_if_small(several), "digest").groupBy("id").agg(F.collect_set("digest").alias("kept"))
     kept = stored(kept, "open-kept")
     windows = stored(open_table(docs.join(broadcast_if_small(kept), "id"), min_words, False), "open-windows")
     pivots = windows.groupBy("digest").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").drop("top")
@@ -432,6 +453,13 @@ def open_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, min_words: i
     return stored(more.join(pairs, ["pivot", "id"], "left_anti"), "open-pairs")
 
 
+def some_of(rows: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """The rows of these ``id``s, and a few others by chance where a bitmap of the ids can be
+    broadcast, so that texts are not shuffled for it."""
+    ids = stored(ids.select(F.xxhash64("id").alias("digest")), tag)
+    return bit_filter(ids, ids.count())(rows.withColumn("digest", F.xxhash64("id"))).drop("digest")
+
+
 def with_done(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with ``done``, the places of the passages found in the document."""
     done = found.select(F.col("doc_id").alias("id"), F.struct("start_word", "end_word").alias("r")).groupBy("id").agg(F.collect_list("r").alias("done"))
@@ -441,49 +469,126 @@ def with_done(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(done), "id", "left")
 
 
-def next_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, several: DataFrame) -> DataFrame:
+def next_pairs(rows: DataFrame, found: DataFrame, pairs: DataFrame, repeated: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``pivot, id`` of documents that are neighbours, by id, among those that have a seed
     in no passage found so far. The smallest document of a seed may hold a part of a passage
     only that others hold whole; these then meet each other. A seed in n documents
-    gives n - 1 pairs. ``several`` are the digests that more than one row has.
-
-    All seeds are numbered in the order of digest and id, and each is joined with the number
-    before it, so a seed that very many documents have is spread like all others."""
-    table = seed_table(with_done(rows, found))
-    maybe = bit_filter(several, several.count())
-    left = maybe(table).join(broadcast_if_small(several), "digest", "left_semi").groupBy("digest", "id").agg(F.sum("n").alias("n"))
-    order = stored(ranked(left, F.asc("digest"), F.asc("id"), name="at"), "open-seeds")
-    before = order.select((F.col("at") + 1).alias("at"), F.col("digest").alias("digest_before"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))
-    met = order.join(before, "at").where("digest = digest_before").groupBy("pivot", "id").agg(F.sum(F.least("n", "pivot_n")).alias("n"))
+    gives n - 1 pairs. ``repeated`` gives the seeds that more than one row has."""
+    left = stored(repeated(with_done(rows, found)), "open-seeds")
+    met = neighbours(left).groupBy("pivot", "id").agg(F.sum("n").alias("n"))
     out = stored(met.where(F.col("n") >= SEEDS_IN_COMMON).select("pivot", "id").join(pairs, ["pivot", "id"], "left_anti"), "next-pairs")
-    drop(order, several)
+    drop(left)
     return out
 
 
-def seed_table(docs: DataFrame) -> DataFrame:
+def neighbours(table: DataFrame) -> DataFrame:
+    """``pivot, id, n`` of each document of a digest and the one before it by id, from
+    stored rows ``id, digest, n``; ``n`` is the smaller of theirs.
+
+    Rows are dealt by ranges of digest and id and sorted in them, so a digest that very many
+    documents have is spread like all others. The last document of a range meets the
+    first of the next one: one row a task has both."""
+    ids = dict(table.dtypes)["id"]
+    dealt = table.select("digest", "id", "n").repartitionByRange("digest", "id").sortWithinPartitions("digest", "id")
+
+    def rows(t: pa.Table, pivot: np.ndarray, at: np.ndarray, part: int | None = None) -> pa.RecordBatch:
+        n = t.column("n").to_numpy()
+        many = [pa.array(np.minimum(n[pivot], n[at])), t.column("digest").combine_chunks().take(pa.array(at)), pa.array([part] * len(at), pa.int32())]
+        key = t.column("id").combine_chunks()
+        return pa.RecordBatch.from_arrays([key.take(pa.array(pivot)), key.take(pa.array(at)), *many], names=["pivot", "id", "n", "digest", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            if not t.num_rows:
+                continue
+            digest = t.column("digest").to_numpy()
+            key = t.column("id").combine_chunks().dictionary_encode().indices.to_numpy()
+            begin = np.flatnonzero(np.append(True, (digest[1:] != digest[:-1]) | (key[1:] != key[:-1])))
+            n = np.add.reduceat(t.column("n").to_numpy(), begin)
+            t = t.take(pa.array(begin)).set_column(2, "n", pa.array(n, pa.int64()))
+            # The last document may go on in the next batch; it and the one before it are held.
+            digest, last = digest[begin], len(begin) - 1
+            at = np.flatnonzero(digest[1:last] == digest[: max(0, last - 1)])
+            yield rows(t, at, at + 1)
+            first = t.slice(0, 1) if first is None and last else first
+            held = t.slice(max(0, last - 1))
+        if held is not None:
+            digest, last = held.column("digest").to_numpy(), np.array([held.num_rows - 1])
+            at = np.flatnonzero(digest[1:] == digest[:-1])
+            yield rows(held, at, at + 1)
+            part = TaskContext.get().partitionId()
+            for t, k in ((held.slice(0, 1) if first is None else first, np.array([0])), (held, last)):
+                yield rows(t, k, k, part)
+
+    met = stored(dealt.mapInArrow(run, f"pivot {ids}, id {ids}, n long, digest long, part int"), "seed-neighbours")
+    ends: dict[int, list] = {}
+    for r in met.where("part is not null").collect():  # two rows a task
+        ends.setdefault(r["part"], []).append(r)
+    across, before = [], None
+    for _, own in sorted(ends.items()):
+        low, high = sorted(own, key=lambda r: (r["digest"], r["id"]))
+        if before and before["digest"] == low["digest"]:
+            across.append((before["id"], low["id"], min(before["n"], low["n"])))
+        before = high
+    whole = met.where("part is null").select("pivot", "id", "n")
+    if not across:
+        return whole
+    more = pa.table(dict(zip(("pivot", "id", "n"), map(list, zip(*across, strict=True)), strict=True)))
+    return whole.unionByName(met.sparkSession.createDataFrame(more).select(*[F.col(c).cast(t) for c, t in whole.dtypes]))
+
+
+def seed_table(docs: DataFrame, marks: Broadcast | None = None) -> DataFrame:
     """``id, digest, n`` of all seeds of the rows ``id, text``; ``n`` windows of the text
-    are the seed. With a column ``done``, of those outside these passages."""
+    are the seed. With a column ``done``, of those outside these passages; with the bitmap
+    ``marks``, of those that it has."""
     ids, rest = dict(docs.dtypes)["id"], "done" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if marks is None else np.frombuffer(marks.value, np.uint8)
         for batch in batches:
             texts = as_strings(batch.column("text"))
             for start, end in blocks(texts, BLOCK_BYTES):
                 done = batch.column("done").slice(start, end - start).to_pylist() if rest else None
                 doc, h, n = seeds(texts.slice(start, end - start), done=done)
+                if bits is not None:
+                    place = h & np.uint64(8 * len(bits) - 1)
+                    have = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    doc, h, n = doc[have], h[have], n[have]
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc + start)), pa.array(h.astype(np.int64)), pa.array(n, pa.int64())], names=["id", "digest", "n"])
         give_back()
 
     return docs.mapInArrow(run, f"id {ids}, digest long, n long")
 
 
-def repeated_seeds(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``id, digest, n`` of the seeds that several rows have, and their digests. Of most seeds, which one row
-    has only, no more than the digest is shuffled."""
-    table = seed_table(docs)
-    several = stored(table.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "seeds-repeated")
-    maybe = bit_filter(several, several.count())
-    return stored(maybe(table).join(broadcast_if_small(several), "digest", "left_semi"), "seeds"), several
+def seed_marks(digests: DataFrame) -> Broadcast | None:
+    """A bitmap of the last bits of digests, of 16 MB at most; None if it would be larger."""
+    bits = 1 << max(15, (16 * digests.count() - 1).bit_length())
+    if bits > 2**MAX_FILTER_BITS:
+        return None
+    place = F.col("digest").bitwiseAND(bits - 1) + 1
+    parts = digests.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+    out = bytearray(bits // 8)
+    for r in parts.collect():
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bitmap"]
+    return digests.sparkSession.sparkContext.broadcast(bytes(out))
+
+
+def repeated_seeds(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``id, digest, n`` of the seeds that several rows have, and of a few others by chance; and
+    a function that gives these of other rows. Of most seeds, which one row has only, no more than
+    the digest is shuffled: a bitmap drops them where they are made. (A filter and then a semi-join
+    do not: Spark moves the semi-join below the filter.)"""
+    several = seed_table(docs).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    several = stored(several, "seeds-repeated")
+    marks = seed_marks(several)
+
+    def some(rows: DataFrame) -> DataFrame:
+        return seed_table(rows, marks) if marks is not None else seed_table(rows).join(several, "digest", "left_semi")
+
+    return stored(some(docs), "seeds"), some
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = MIN_SIMILARITY, partners: int = PARTNERS) -> DataFrame:
@@ -498,18 +603,17 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    table, several = repeated_seeds(rows)
+    table, repeated = repeated_seeds(rows)
     least_of = F.min(F.struct("id", "n"))
     pivots = table.groupBy("digest").agg(least_of["id"].alias("pivot"), least_of["n"].alias("pivot_n"), F.max("id").alias("top"))
     pivots = stored(pivots.where("pivot <> top").drop("top"), "seed-pivots")
     met = table.join(broadcast_if_small(pivots), "digest").where("id <> pivot").groupBy("pivot", "id").agg(F.sum(F.least("n", "pivot_n")).alias("n"))
     pairs = stored(met.where(F.col("n") >= SEEDS_IN_COMMON).select("pivot", "id"), "seed-pairs")
     # Any 20 equal words hold a seed: documents without a repeated one share no passage.
-    holders = stored(table.select("id").distinct(), "seed-holders")
-    rows = rows.join(broadcast_if_small(holders), "id", "left_semi")
+    rows = some_of(rows, table.select("id").distinct(), "seed-holders")
     drop(table, pivots)
     found = compared(rows, pairs, min_words, least, partners)
-    beside = next_pairs(rows, found, pairs, several)
+    beside = next_pairs(rows, found, pairs, repeated)
     more = open_pairs(rows, found, pairs.unionByName(beside), min_words)
     beside = stored(beside.unionByName(more), "open-both")
     return by_smallest(stored(found.unionByName(compared(rows, beside, min_words, least, partners)), "passages"))
@@ -529,10 +633,8 @@ def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, pa
     ids = dict(rows.dtypes)["id"]
     dealt = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / partners).cast("int").alias("blocks"))
     dealt = stored(dealt, "pivot-blocks")
-    needed = stored(pairs.select("id").unionByName(dealt.select(F.col("pivot").alias("id"))).distinct(), "passage-ids")
-    having = bit_filter(needed.select(F.col("id").alias("digest")), needed.count())
-    texts = having(rows.withColumn("digest", F.col("id"))).drop("digest").join(broadcast_if_small(needed), "id", "left_semi")
-    texts = stored(texts, "passage-texts")
+    needed = pairs.select("id").unionByName(dealt.select(F.col("pivot").alias("id"))).distinct()
+    texts = stored(some_of(rows, needed, "passage-ids"), "passage-texts")
     few = broadcast_if_small(dealt)
     left = pairs.join(few, "pivot").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), "blocks").cast("int"))
     # Groups cost far more than their bytes say, so adaptive plans should not merge them.
@@ -546,17 +648,17 @@ def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, pa
 
     def run(mine: pa.Table, pivot: pa.Table) -> pa.Table:
         mine = mine.sort_by([("pivot", "ascending"), ("id", "ascending")])
-        runs = mine.column("pivot").combine_chunks().dictionary_encode() if mine.num_rows else pa.array([], pa.string()).dictionary_encode()
-        ends = np.cumsum(np.bincount(runs.indices.to_numpy(), minlength=len(runs.dictionary))).tolist()
-        said: dict = {}
-        for k, text in set(zip(pivot.column("pivot").to_pylist(), pivot.column("pivot_text").to_pylist(), strict=True)):
-            said.setdefault(k, []).append(text)
-        every = as_strings(mine.column("text")) if mine.num_rows else pa.array([], pa.string())
+        # Each text with each text of its pivot.
+        said = pivot.select(["pivot", "pivot_text"]).group_by(["pivot", "pivot_text"]).aggregate([]).sort_by("pivot")
+        keys = pa.concat_arrays([x.column("pivot").combine_chunks() for x in (said, mine)]).dictionary_encode().indices.to_numpy()
+        keys, own = keys[: said.num_rows], keys[said.num_rows :]
+        low, high = (np.searchsorted(keys, own, side=side) for side in ("left", "right"))
+        row, at = _ranges(low, high - low)
+        every, others = (as_strings(x) for x in (mine.column("text").take(pa.array(row)), said.column("pivot_text")))
         found = []
-        for k, low, high in zip(runs.dictionary.to_pylist(), [0, *ends], ends, strict=False):
-            for text in said.get(k, ()):
-                for start, end in blocks(every.slice(low, high - low), BLOCK_BYTES):
-                    found += [(low + start + t, *rest) for t, *rest in passages(text, every.slice(low + start, end - start), min_words, least)]
+        for start, end in blocks(every, BLOCK_BYTES):
+            some, which = np.unique(at[start:end], return_inverse=True)
+            found += [(int(row[start + t]), *rest) for t, *rest in passages_of(as_strings(others.take(pa.array(some))), every.slice(start, end - start), which, min_words, least)]
         give_back()
         cols = list(zip(*found, strict=True)) or [()] * 6
         long = [pa.array(c, pa.int64()) for c in cols]
@@ -571,7 +673,7 @@ def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, pa
         })
 
     out = stored(left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, kind), "passages-found")
-    drop(texts, needed, dealt)
+    drop(texts, dealt)
     return out
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 _U = np.uint64
 GOLDEN = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(int(GOLDEN), -1, 2**64))
+_FIRST, _SECOND = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _PAD = _U(0x5851F42D4C957F2D)
@@ -17,12 +18,27 @@ _PAD = _U(0x5851F42D4C957F2D)
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    x = (x ^ (x >> _U(30))) * _FIRST
+    x = (x ^ (x >> _U(27))) * _SECOND
     return x ^ (x >> _U(31))
 
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+#: Bytes of which the powers are kept from call to call.
+_KEPT = 1 << 20
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base``."""
+    have = _powers.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(max(n, min(_KEPT, 2 * n)), base)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        if len(have) <= _KEPT:
+            _powers[int(base)] = have
+    return have[:n]
 
 
 def as_strings(texts: pa.Array | pa.ChunkedArray | Sequence[str | None]) -> pa.Array:
@@ -78,18 +94,12 @@ def word_hashes(texts: pa.Array | Sequence[str | None]) -> tuple[np.ndarray, np.
     if not len(starts):
         return sizes, np.zeros(0, np.uint64)
     # Polynomials of mixed bytes: a word's is the difference of two prefix sums.
-    power = np.full(len(data), GOLDEN)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    power *= _BYTES[data]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(power, out=sums[1:])
+    np.multiply(powers(GOLDEN, len(data)), _BYTES[data], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     word = sums[ends] - sums[starts]
     del sums
-    power.fill(_INVERSE)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    return sizes, mixed(word * power[starts] + (ends - starts).astype(np.uint64))
+    return sizes, mixed(word * powers(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
 
 
 def padded(sizes: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +120,14 @@ def window_hashes(sizes: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndar
     n = max(0, len(h) - width + 1)
     inside = doc[:n] == doc[len(h) - n :] if n else np.zeros(0, bool)
     at = np.flatnonzero(inside)
-    out = np.full(len(at), 7, np.uint64)
+    out, high = np.full(n, 7, np.uint64), np.empty(n, np.uint64)
     for k in range(width):
-        out = mixed(out * GOLDEN + h[at + k])
-    return doc[at], at - (np.cumsum(sizes) - sizes)[doc[at]], out
+        out *= GOLDEN
+        out += h[k : k + n]
+        # As ``mixed``, in place.
+        for shift, factor in ((30, _FIRST), (27, _SECOND), (31, None)):
+            np.right_shift(out, _U(shift), out=high)
+            out ^= high
+            if factor is not None:
+                out *= factor
+    return doc[at], at - (np.cumsum(sizes) - sizes)[doc[at]], out[at]
