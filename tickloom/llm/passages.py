@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -641,20 +642,27 @@ def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, pa
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = -(-pairs.count() // PAIRS)
     bucket = F.pmod(F.xxhash64("pivot", "block"), F.lit(max(1, buckets))).alias("bucket")
-    left = left.join(texts, "id").select(bucket, "pivot", "id", "text").repartition(tasks, "bucket")
-    right = dealt.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = right.join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot").select(bucket, "pivot", "pivot_text").repartition(tasks, "bucket")
+    right = dealt.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("id"))
+    # Whatever it is there for, a text is joined once, and goes to a bucket once.
+    asked = left.select(bucket, "pivot", "id").unionByName(right.select(bucket, "pivot", "id")).groupBy("bucket", "id").agg(F.collect_set("pivot").alias("pivots"))
+    dealt_texts = asked.join(texts, "id").select("bucket", "id", "text", "pivots").repartition(tasks, "bucket")
     kind = f"doc_id {ids}, start_word long, end_word long, other_id {ids}, other_start long, other_end long, words long"
 
-    def run(mine: pa.Table, pivot: pa.Table) -> pa.Table:
-        mine = mine.sort_by([("pivot", "ascending"), ("id", "ascending")])
-        # Each text with each text of its pivot.
-        said = pivot.select(["pivot", "pivot_text"]).group_by(["pivot", "pivot_text"]).aggregate([]).sort_by("pivot")
-        keys = pa.concat_arrays([x.column("pivot").combine_chunks() for x in (said, mine)]).dictionary_encode().indices.to_numpy()
-        keys, own = keys[: said.num_rows], keys[said.num_rows :]
-        low, high = (np.searchsorted(keys, own, side=side) for side in ("left", "right"))
+    def run(t: pa.Table) -> pa.Table:
+        lists = t.column("pivots").combine_chunks()
+        own, pivot = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+        keys = pa.concat_arrays([t.column("id").combine_chunks(), pivot]).dictionary_encode().indices.to_numpy()
+        ids_at, pivot_at = keys[: t.num_rows], keys[t.num_rows :]
+        # A text that asks for itself is a pivot; each of the others meets each text of its pivot.
+        is_pivot = ids_at[own] == pivot_at
+        said = pa.table({"key": ids_at[own[is_pivot]], "text": t.column("text").take(pa.array(own[is_pivot]))})
+        said = said.group_by(["key", "text"]).aggregate([]).sort_by("key")
+        pair = np.flatnonzero(~is_pivot)
+        pair = pair[np.lexsort((ids_at[own[pair]], pivot_at[pair]))]
+        low, high = (np.searchsorted(said.column("key").to_numpy(), pivot_at[pair], side=side) for side in ("left", "right"))
         row, at = _ranges(low, high - low)
-        every, others = (as_strings(x) for x in (mine.column("text").take(pa.array(row)), said.column("pivot_text")))
+        row = pair[row]
+        every, others = as_strings(t.column("text").take(pa.array(own[row]))), as_strings(said.column("text"))
         found = []
         for start, end in blocks(every, BLOCK_BYTES):
             some, which = np.unique(at[start:end], return_inverse=True)
@@ -663,16 +671,16 @@ def compared(rows: DataFrame, pairs: DataFrame, min_words: int, least: float, pa
         cols = list(zip(*found, strict=True)) or [()] * 6
         long = [pa.array(c, pa.int64()) for c in cols]
         return pa.table({
-            "doc_id": mine.column("id").take(long[0]),
+            "doc_id": t.column("id").take(pa.array(own[np.array(cols[0], np.int64)])),
             "start_word": long[1],
             "end_word": long[2],
-            "other_id": mine.column("pivot").take(long[0]),
+            "other_id": pivot.take(long[0]),
             "other_start": long[3],
             "other_end": long[4],
             "words": long[5],
         })
 
-    out = stored(left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, kind), "passages-found")
+    out = stored(dealt_texts.groupBy("bucket").applyInArrow(run, kind), "passages-found")
     drop(texts, dealt)
     return out
 
